@@ -1,0 +1 @@
+"""Empty: the reference has no streaming operator (no watermark, window, session or state), so none is built."""
