@@ -108,7 +108,7 @@ def threeway_fit(
     c = _time_start(x, features, times, b, r)
 
     fit, last = 0.0, -1.0
-    for _ in range(max(iterations, 1)):
+    for step in range(iterations + 1):
         z = _project(spark, x, features, times, b, c)
         cols = [f"z{k}" for k in range(q * r)]
         values, v = _leading(_uncentred(cross_moments(z, cols)), p)
@@ -117,11 +117,11 @@ def threeway_fit(
         geo = z.select("geo", *[combination(cols, weights[:, k]).alias(f"F{k + 1}") for k in range(p)])
         core = (v * scale).T.reshape(p, q, r)
         fit = float(values.sum()) / norm if norm > 0 else 0.0
-        if fit - last < tolerance:
+        # Geo factors and core belong to the b and c they were computed from, so the last pass updates neither.
+        if step == iterations or fit - last < tolerance:
             break
         last = fit
         b, c = _update(x, geo, features, times, p, q, r, c)
-    # The factors of the last pass belong to the b and c they were computed from.
     return ThreewayModel(geo, features, times, b, c, core, fit)
 
 
