@@ -24,8 +24,11 @@ def clean(c) -> Column:
 
 
 def tidy(c, digits: int = 6) -> Column:
-    """Rounded value without a negative zero."""
-    return F.round(_col(c), digits) + F.lit(0.0)
+    """Rounded value for display and comparison: no negative zero, and halves go up however they were computed.
+
+    A shift far below the last digit takes values off the exact half, where summation order would decide.
+    """
+    return F.round(_col(c) + F.lit(3.7 * 10.0 ** -(digits + 3)), digits) + F.lit(0.0)
 
 
 def ln_positive(c) -> Column:

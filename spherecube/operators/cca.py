@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import country_of
 from ..schema import KEYS
-from .moments import Moments, cross_moments, dependent_features
+from .moments import Moments, cross_moments, dependent_features, oriented_signs
 
 # Canonical variates every analysis reports.
 AXES = 2
@@ -60,7 +60,7 @@ def solve_cca(moments: Moments, x: Sequence[str], y: Sequence[str]) -> CcaModel:
     k = min(len(x), len(y))
     norm = np.sqrt(moments.n - 1)
     xcoef, ycoef = wx @ u[:, :k] / norm, wy @ vt.T[:, :k] / norm
-    sign = np.sign(xcoef[np.abs(xcoef).argmax(axis=0), np.arange(k)])
+    sign = oriented_signs(xcoef)
     return CcaModel(tuple(x), tuple(y), np.clip(cor, 0.0, 1.0), xcoef * sign, ycoef * sign)
 
 

@@ -10,20 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .cca import combination
-from .moments import Moments, cross_moments
-
-
-def _oriented(vectors: np.ndarray) -> np.ndarray:
-    """Columns with their largest entry positive."""
-    sign = np.sign(vectors[np.abs(vectors).argmax(axis=0), np.arange(vectors.shape[1])])
-    return vectors * np.where(sign == 0, 1, sign)
+from .moments import Moments, cross_moments, oriented_signs
 
 
 def _leading(gram: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k largest eigenvalues and their vectors."""
     values, vectors = np.linalg.eigh(gram)
     order = np.argsort(values)[::-1][:k]
-    return values[order], _oriented(vectors[:, order])
+    return values[order], vectors[:, order] * oriented_signs(vectors[:, order])
 
 
 @dataclass(frozen=True)

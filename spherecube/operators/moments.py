@@ -35,6 +35,14 @@ class Moments:
         return [self.names.index(c) for c in names]
 
 
+def oriented_signs(vectors: np.ndarray) -> np.ndarray:
+    """Signs that make the largest entry of every column positive, of equally large ones the first."""
+    size = np.abs(vectors)
+    first = (size >= size.max(axis=0) * (1 - 1e-9)).argmax(axis=0)
+    sign = np.sign(vectors[first, np.arange(vectors.shape[1])])
+    return np.where(sign == 0, 1.0, sign)
+
+
 def pair_moments(cube: DataFrame, x: Sequence[str], y: Sequence[str]) -> DataFrame:
     """(a, b, n, cov) for every pair of a feature in `x` with one in `y`; one aggregation."""
     pairs = [(a, b) for a in x for b in y]

@@ -74,6 +74,24 @@ def assemble_cube(series: Sequence[DataFrame], features: Sequence[str]) -> DataF
     return to_wide(rows, KEYS, "var_id", "value", features)
 
 
+def full_join_all(frames: Sequence[DataFrame], keys: Sequence[str] = KEYS) -> DataFrame:
+    """Full outer join of many frames with one row per key and columns of their own.
+
+    The frames are stacked and their rows merged by one aggregation, so there is one shuffle however many frames there
+    are; a second row for a key within a frame is an error.
+    """
+    values = [c for f in frames for c in f.columns if c not in keys]
+    if len(set(values)) < len(values):
+        raise ValueError("the frames share a column that is not a key")
+    rows = union_named({str(n): f for n, f in enumerate(frames)}, "_frame")
+    names = [str(n) for n in range(len(frames))]
+    merged = rows.groupBy(*keys).agg(
+        *[F.max(f"`{c}`").alias(c) for c in values],
+        (F.count(F.lit(1)) - reduce(Column.__add__, _marks("_frame", names))).alias("_repeats"),
+    )
+    return require(merged, F.col("_repeats") == 0, f"more than one row per ({', '.join(keys)})").drop("_repeats")
+
+
 def bind_by_key(left: DataFrame, right: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Columns of both frames side by side."""
     return left.join(right, list(keys), "full")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,30 +19,38 @@ def quarter_axis(first: Column, last: Column, spans: DataFrame) -> DataFrame:
     return days.select(quarter_label("quarter_start").alias("time"), "ord", "quarter_start")
 
 
-def resample_month_to_quarter(df: DataFrame, agg: Callable[[str], Column] = strict_mean) -> DataFrame:
+def resample_month_to_quarter(
+    df: DataFrame, agg: Callable[[str], Column] = strict_mean, by: Sequence[str] = ()
+) -> DataFrame:
     """Monthly rows -> one row per variable, region and quarter."""
-    return (
-        df.groupBy("var", "geo", quarter_label("TIME_PERIOD").alias("time"))
-        .agg(agg("values").alias("values"))
-    )
+    quarters = df.groupBy(*by, "var", "geo", quarter_label("TIME_PERIOD").alias("time"))
+    return quarters.agg(agg("values").alias("values"))
+
+
+def _four_quarters() -> Column:
+    year = F.year("TIME_PERIOD").cast("string")
+    return F.array(*[F.concat(year, F.lit(f"-Q{q}")) for q in (1, 2, 3, 4)])
 
 
 def complete_annual(df: DataFrame) -> DataFrame:
     """Annual rows -> the same value in each of the four quarters."""
-    labels = F.array(*[F.concat(F.year("TIME_PERIOD").cast("string"), F.lit(f"-Q{q}")) for q in (1, 2, 3, 4)])
-    return df.select("var", "geo", F.explode(labels).alias("time"), "values")
+    return df.select("var", "geo", F.explode(_four_quarters()).alias("time"), "values")
 
 
-def resample_time(df: DataFrame, agg: Callable[[str], Column] = strict_mean) -> DataFrame:
+def resample_time(
+    df: DataFrame, agg: Callable[[str], Column] = strict_mean, by: Sequence[str] = ()
+) -> DataFrame:
     """(var, geo, freq, TIME_PERIOD, values) of mixed frequency -> (var, geo, time, values) by quarter.
 
-    Each row follows its own `freq`: Q is kept, M aggregated, A repeated; any other frequency is an error.
+    Each row follows its own `freq`: Q is kept, M aggregated, A repeated; any other frequency is an error. Columns named
+    in `by` are kept as further keys.
     """
-    month, year = F.col("freq") == "M", F.year("TIME_PERIOD").cast("string")
+    monthly = F.coalesce(F.col("freq") == "M", F.lit(False))
+    unknown = F.raise_error(F.concat(F.lit("unknown frequency "), F.coalesce("freq", F.lit("NULL"))))
     labels = (
         F.when(F.col("freq") == "Q", F.array(quarter_label("TIME_PERIOD")))
-        .when(F.col("freq") == "A", F.array(*[F.concat(year, F.lit(f"-Q{q}")) for q in (1, 2, 3, 4)]))
-        .otherwise(F.raise_error(F.concat(F.lit("unknown frequency "), F.coalesce("freq", F.lit("NULL")))).cast("array<string>"))
+        .when(F.col("freq") == "A", _four_quarters())
+        .otherwise(unknown.cast("array<string>"))
     )
-    others = df.where(~F.coalesce(month, F.lit(False))).select("var", "geo", F.explode(labels).alias("time"), "values")
-    return resample_month_to_quarter(df.where(month), agg).unionByName(others)
+    others = df.where(~monthly).select(*by, "var", "geo", F.explode(labels).alias("time"), "values")
+    return resample_month_to_quarter(df.where(monthly), agg, by).unionByName(others)

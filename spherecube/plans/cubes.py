@@ -20,10 +20,9 @@ def ingest(
 ) -> DataFrame:
     """Raw indicator tables of any frequency and level -> quarterly (var, geo, time, values) of leaf regions."""
     series = union_named({code: indicator_series(df, code) for code, df in datasets.items()}, "code")
-    # The level is decided per dataset, so its name stays until the table is lifted.
-    with_code = series.withColumnRenamed("var", "_var").withColumnRenamed("code", "var")
-    lifted = resample_space(with_code, regions, levels, level_policy, by=["var"])
-    return resample_time(lifted.drop("var").withColumnRenamed("_var", "var").dropna(subset=["var"]))
+    quarterly = resample_time(series, by=["code"])
+    lifted = resample_space(quarterly, regions, levels, level_policy, by=["code"])
+    return lifted.drop("code")
 
 
 def ingest_and_store(
