@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import materialise
 from .cca import combination
 from .moments import Moments, cross_moments, oriented_signs
 
@@ -92,36 +93,38 @@ def threeway_fit(
     features, times = tuple(features), tuple(times)
     if q > len(features) or r > len(times) or p > q * r:
         raise ValueError(f"ranks {ranks} exceed the modes")
-    x = cube.where(F.col("time").isin(*times)).select(
-        "geo", "time", *[F.coalesce(F.col(f"`{f}`").cast("double"), F.lit(0.0)).alias(f) for f in features]
-    )
+    cols = [f"x{k}" for k in range(len(features))]
+    x = cube.where(F.col("time").isin(*times)).select("geo", "time", *[
+        F.coalesce(F.col(f"`{f}`").cast("double"), F.lit(0.0)).alias(c) for c, f in zip(cols, features)
+    ])
 
-    gram = _uncentred(cross_moments(x, features))
+    gram = _uncentred(cross_moments(x, cols))
     _, b = _leading(gram, q)
     norm = float(np.trace(gram))
-    c = _time_start(x, features, times, b, r)
+    c = _time_start(x, cols, times, b, r)
 
     fit, last = 0.0, -1.0
     for step in range(iterations + 1):
-        z = _project(spark, x, features, times, b, c)
-        cols = [f"z{k}" for k in range(q * r)]
-        values, v = _leading(_uncentred(cross_moments(z, cols)), p)
+        # A few numbers per region, used twice: stored rather than computed from the cube again.
+        z = materialise(_project(spark, x, cols, times, b, c))
+        kept = [f"z{k}" for k in range(q * r)]
+        values, v = _leading(_uncentred(cross_moments(z, kept)), p)
         scale = np.sqrt(np.maximum(values, 0))
         weights = v / np.where(scale > 0, scale, np.inf)
-        geo = z.select("geo", *[combination(cols, weights[:, k]).alias(f"F{k + 1}") for k in range(p)])
+        geo = z.select("geo", *[combination(kept, weights[:, k]).alias(f"F{k + 1}") for k in range(p)])
         core = (v * scale).T.reshape(p, q, r)
         fit = float(values.sum()) / norm if norm > 0 else 0.0
         # Geo factors and core belong to the b and c they were computed from, so the last pass updates neither.
         if step == iterations or fit - last < tolerance:
             break
         last = fit
-        b, c = _update(x, geo, features, times, p, q, r, c)
+        b, c = _update(x, geo, cols, times, p, q, r, c)
     return ThreewayModel(geo, features, times, b, c, core, fit)
 
 
-def _time_start(x: DataFrame, features, times, b: np.ndarray, r: int) -> np.ndarray:
+def _time_start(x: DataFrame, cols, times, b: np.ndarray, r: int) -> np.ndarray:
     q = b.shape[1]
-    scores = x.select("geo", "time", *[combination(features, b[:, k]).alias(f"s{k}") for k in range(q)])
+    scores = x.select("geo", "time", *[combination(cols, b[:, k]).alias(f"s{k}") for k in range(q)])
     wide = scores.groupBy("geo").agg(*[
         F.sum(F.when(F.col("time") == t, F.col(f"s{k}")).otherwise(F.lit(0.0))).alias(f"s{k}_{i}")
         for k in range(q) for i, t in enumerate(times)
@@ -132,29 +135,29 @@ def _time_start(x: DataFrame, features, times, b: np.ndarray, r: int) -> np.ndar
     return _leading(_uncentred(cross_moments(series, [f"t{i}" for i in range(len(times))])), r)[1]
 
 
-def _project(spark: SparkSession, x: DataFrame, features, times, b: np.ndarray, c: np.ndarray) -> DataFrame:
+def _project(spark: SparkSession, x: DataFrame, cols, times, b: np.ndarray, c: np.ndarray) -> DataFrame:
     """Per region the q x r numbers that remain of it, as columns z0, z1, ..."""
     q, r = b.shape[1], c.shape[1]
     weights = spark.createDataFrame(
         [(t, *map(float, c[i])) for i, t in enumerate(times)],
         "time string, " + ", ".join(f"c{k} double" for k in range(r)),
     )
-    scores = x.select("geo", "time", *[combination(features, b[:, k]).alias(f"s{k}") for k in range(q)])
+    scores = x.select("geo", "time", *[combination(cols, b[:, k]).alias(f"s{k}") for k in range(q)])
     return scores.join(weights, "time").groupBy("geo").agg(*[
         F.sum(F.col(f"s{j}") * F.col(f"c{k}")).alias(f"z{j * r + k}") for j in range(q) for k in range(r)
     ])
 
 
-def _update(x: DataFrame, geo: DataFrame, features, times, p: int, q: int, r: int, c: np.ndarray):
+def _update(x: DataFrame, geo: DataFrame, cols, times, p: int, q: int, r: int, weights: np.ndarray):
     """New feature and time factors, given the geo factors: regions are summed out, features x times numbers remain."""
     rows = x.join(geo, "geo").groupBy("time").agg(*[
-        F.sum(F.col(f"F{k + 1}") * F.col(f"`{f}`")).alias(f"y{k}_{j}") for k in range(p) for j, f in enumerate(features)
+        F.sum(F.col(f"F{k + 1}") * F.col(c)).alias(f"y{k}_{c}") for k in range(p) for c in cols
     ]).collect()  # one row per entry of the time axis
     at = {t: i for i, t in enumerate(times)}
-    y = np.zeros((p, len(features), len(times)))
+    y = np.zeros((p, len(cols), len(times)))
     for row in rows:
-        y[:, :, at[row["time"]]] = np.array(row[1:], dtype=float).reshape(p, len(features))
-    by_feature = np.einsum("pft,tr->fpr", y, c).reshape(len(features), -1)
+        y[:, :, at[row["time"]]] = np.array(row[1:], dtype=float).reshape(p, len(cols))
+    by_feature = np.einsum("pft,tr->fpr", y, weights).reshape(len(cols), -1)
     b = _leading(by_feature @ by_feature.T, q)[1]
     by_time = np.einsum("pft,fq->tpq", y, b).reshape(len(times), -1)
     return b, _leading(by_time @ by_time.T, r)[1]
