@@ -230,11 +230,9 @@ FROM (SELECT * FROM detrended UNPIVOT (value FOR var_id IN ({', '.join(FEATURES)
 add("processed_cube", f"""
 SELECT geo, time, {rs(['d.ord_value', 'd.ship_qty'])}, {rs(['s.ord_count', 's.nama_net'])}
 FROM detrended d JOIN scaled s USING (geo, time)""".replace("AS d.", "AS ").replace("AS s.", "AS "), "detrended", "scaled")
-add("build_cubes", f"""
-SELECT geo, time, var_id, {r('scaled')}, {r('detrended')}
-FROM (SELECT * FROM scaled UNPIVOT (scaled FOR var_id IN ({', '.join(FEATURES)})))
-JOIN (SELECT * FROM detrended UNPIVOT (detrended FOR var_id IN ({', '.join(FEATURES)}))) USING (geo, time, var_id)""",
-    "scaled", "detrended")
+add("build_cubes", " UNION ALL ".join(
+    f"SELECT '{k}' AS cube, geo, time, {rs(FEATURES)} FROM {k}" for k in ("raw", "scaled", "detrended")),
+    "raw", "scaled", "detrended")
 
 # --- canonical correlation --------------------------------------------------------------------------------------------
 

@@ -458,7 +458,7 @@ def demean_by(spark, d):
 
 def _detrend(by):
     def run(spark, d):
-        return rounded(normalize.detrend(fx.raw_cube(spark, d), by), *fx.CUBE_FEATURES)
+        return rounded(normalize.detrend(fx.stored_cube(spark, d), by), *fx.CUBE_FEATURES)
 
     run.__name__ = f"detrend_{by}"
     return query(run)
@@ -484,17 +484,16 @@ def processed_cube(spark, d):
     # The catalogue is literal; its features are those of the cube.
     ids = spark.createDataFrame([(c,) for c in fx.CUBE_FEATURES], "var_id string")
     features = normalize.with_feature_defaults(ids, fx.catalog(spark))
-    cube = views.processed(fx.raw_cube(spark, d), features, labels, ["Value", "Quantity"])
+    cube = views.processed(fx.stored_cube(spark, d), features, labels, ["Value", "Quantity"])
     return rounded(cube, "ord_value", "ship_qty", "ord_count", "nama_net")
 
 
 @query
 def build_cubes(spark, d):
-    series = [reshape.cube_to_long(f(spark, d)) for f in (fx.order_cells, fx.ship_cells)]
-    built = cubes.build_cubes(series, fx.CUBE_FEATURES, fx.catalog(spark), scratch_path(spark, "build"))
-    scaled = reshape.cube_to_long(built.scaled).withColumnRenamed("value", "scaled")
-    detrended = reshape.cube_to_long(built.detrended).withColumnRenamed("value", "detrended")
-    return rounded(scaled.join(detrended, ["geo", "time", "var_id"]), "scaled", "detrended")
+    frames = [f(spark, d) for f in (fx.order_cells, fx.ship_cells)]
+    built = cubes.build_cubes(frames, fx.catalog(spark), scratch_path(spark, "build"))
+    stacked = reshape.union_named({"raw": built.raw, "scaled": built.scaled, "detrended": built.detrended}, "cube")
+    return rounded(stacked, *fx.CUBE_FEATURES)
 
 
 # --- canonical correlation --------------------------------------------------------------------------------------------
@@ -539,7 +538,7 @@ def cca_loadings(spark, d):
 @query
 def cca_many(spark, d):
     """Five shipping and order features against three others, from the full cube: more features than pairs allow."""
-    cube = normalize.map_all(fx.raw_cube(spark, d), lambda c: c)
+    cube = fx.stored_cube(spark, d)
     wide = cube.withColumn("ord_size", F.col("ord_value") / F.col("ord_count")).withColumn("ship_sq", F.col("ship_qty") ** 2)
     full = materialise(normalize.zscore_impute(wide))
     model = cca.cca_fit(full, ["ord_value", "ord_count", "ord_size", "nama_net", "fin_share"], ["ship_qty", "ship_disc", "ship_sq"])
@@ -547,7 +546,7 @@ def cca_many(spark, d):
 
 
 def _pairs(spark, d):
-    cube = materialise(normalize.scaled_cube(fx.raw_cube(spark, d)))
+    cube = materialise(normalize.scaled_cube(fx.stored_cube(spark, d)))
     return cube, cca.pairwise_cca(cube, fx.SPHERE_FEATURES)
 
 
@@ -679,7 +678,7 @@ def pca_3(spark, d):
 
 @query
 def threeway_factors(spark, d):
-    cube = materialise(normalize.scaled_cube(fx.raw_cube(spark, d)))
+    cube = materialise(normalize.scaled_cube(fx.stored_cube(spark, d)))
     times = [r["time"] for r in fx.quarters(spark, d).sort("ord").collect()]  # the time axis
     model = factors.threeway_fit(cube, fx.CUBE_FEATURES, times, (2, 2, 2), iterations=3)
     return rounded(factors.threeway_factors(spark, model), "value")

@@ -59,12 +59,24 @@ def quarter_label(c) -> Column:
     return F.concat(F.year(c).cast("string"), F.lit("-Q"), F.quarter(c).cast("string"))
 
 
+def quarter_number(c) -> Column:
+    """Date -> consecutive number of its quarter: a key that is cheap to group and shuffle by."""
+    c = _col(c)
+    return F.year(c) * 4 + F.quarter(c) - 1
+
+
+def quarter_name(n) -> Column:
+    """Number of a quarter -> 'YYYY-Qn'."""
+    n = _col(n)
+    return F.concat(F.floor(n / 4).cast("string"), F.lit("-Q"), (F.pmod(n, F.lit(4)) + 1).cast("string"))
+
+
 def quarter_start(c) -> Column:
     """'YYYY-Qn' -> first day of that quarter; NULL for any other text."""
     c = _col(c)
-    year = F.regexp_substr(c, F.lit("^[0-9]{4}(?=-?Q[1-4]$)")).cast("int")
-    quarter = F.regexp_substr(c, F.lit("[1-4]$")).cast("int")
-    return F.make_date(year, (quarter - 1) * 3 + 1, F.lit(1))
+    year, quarter = F.substring(c, 1, 4).try_cast("int"), F.substring(c, 7, 1).try_cast("int")
+    well_formed = (F.length(c) == 7) & (F.substring(c, 5, 2) == "-Q") & quarter.between(1, 4)
+    return F.when(well_formed, F.make_date(year, quarter * 3 - 2, F.lit(1)))
 
 
 def days_since(c, epoch: str = "1970-01-01") -> Column:

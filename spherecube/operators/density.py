@@ -35,7 +35,7 @@ def density2d(
     if n < 2:
         raise ValueError(f"{n} points are too few for a density")
     if bandwidth is None:
-        q = quantiles(pts, ["x", "y"], [0.25, 0.75])
+        q = quantiles(pts, ["x", "y"], [0.25, 0.75], {"x": (n, row[1], row[2]), "y": (n, row[3], row[4])})
         bandwidth = [reference_bandwidth(sd, *q[c], n) for c, sd in (("x", row[5]), ("y", row[6]))]
     hx, hy = (h / 4 for h in bandwidth)
     if hx <= 0 or hy <= 0:

@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 
 from ..runtime import materialise
 from .cca import combination
-from .moments import Moments, cross_moments, oriented_signs
+from .moments import cross_moments, gram, oriented_signs
 
 
-def _leading(gram: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def _leading(matrix: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k largest eigenvalues and their vectors."""
-    values, vectors = np.linalg.eigh(gram)
+    values, vectors = np.linalg.eigh(matrix)
     order = np.argsort(values)[::-1][:k]
     return values[order], vectors[:, order] * oriented_signs(vectors[:, order])
 
@@ -73,10 +73,6 @@ class ThreewayModel:
     fit: float
 
 
-def _uncentred(m: Moments) -> np.ndarray:
-    return m.cov * (m.n - 1) + m.n * np.outer(m.mean, m.mean)
-
-
 def threeway_fit(
     cube: DataFrame, features: Sequence[str], times: Sequence[str], ranks: tuple[int, int, int] = (2, 2, 2),
     iterations: int = 10, tolerance: float = 1e-6,
@@ -98,9 +94,9 @@ def threeway_fit(
         F.coalesce(F.col(f"`{f}`").cast("double"), F.lit(0.0)).alias(c) for c, f in zip(cols, features)
     ])
 
-    gram = _uncentred(cross_moments(x, cols))
-    _, b = _leading(gram, q)
-    norm = float(np.trace(gram))
+    by_feature = gram(x, cols)
+    _, b = _leading(by_feature, q)
+    norm = float(np.trace(by_feature))
     c = _time_start(x, cols, times, b, r)
 
     fit, last = 0.0, -1.0
@@ -108,7 +104,7 @@ def threeway_fit(
         # A few numbers per region, used twice: stored rather than computed from the cube again.
         z = materialise(_project(spark, x, cols, times, b, c))
         kept = [f"z{k}" for k in range(q * r)]
-        values, v = _leading(_uncentred(cross_moments(z, kept)), p)
+        values, v = _leading(gram(z, kept), p)
         scale = np.sqrt(np.maximum(values, 0))
         weights = v / np.where(scale > 0, scale, np.inf)
         geo = z.select("geo", *[combination(kept, weights[:, k]).alias(f"F{k + 1}") for k in range(p)])
@@ -132,7 +128,8 @@ def _time_start(x: DataFrame, cols, times, b: np.ndarray, r: int) -> np.ndarray:
     series = wide.select(F.inline(F.array(*[
         F.struct(*[F.col(f"s{k}_{i}").alias(f"t{i}") for i in range(len(times))]) for k in range(q)
     ])))
-    return _leading(_uncentred(cross_moments(series, [f"t{i}" for i in range(len(times))])), r)[1]
+    names = [f"t{i}" for i in range(len(times))]
+    return _leading(gram(materialise(series), names), r)[1]
 
 
 def _project(spark: SparkSession, x: DataFrame, cols, times, b: np.ndarray, c: np.ndarray) -> DataFrame:

@@ -7,12 +7,13 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation, Summarizer
+from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Up to this many features all pairs fit into one generated aggregate (100 fields); above, MLlib sums dense products.
-PAIRWISE_FEATURES = 6
+# Up to this many features the products of all pairs fit into one generated aggregate (100 fields); above, MLlib sums
+# dense products.
+PAIRWISE_FEATURES = 12
 
 # Relative residual variance below which a feature counts as a combination of others.
 RANK_TOLERANCE = 1e-10
@@ -58,39 +59,44 @@ def pair_moments(cube: DataFrame, x: Sequence[str], y: Sequence[str]) -> DataFra
     return row.select(F.inline(F.array(*entries)))
 
 
-def cross_moments(cube: DataFrame, features: Sequence[str]) -> Moments:
-    """Size, means and covariance matrix of complete features; one pass, p x p numbers to the driver."""
-    names = tuple(dict.fromkeys(features))
-    if len(names) <= PAIRWISE_FEATURES:
-        return _moments_by_pairs(cube, names)
-    return _moments_by_vectors(cube, names)
+def _sizes(cube: DataFrame, names: Sequence[str]) -> tuple[int, np.ndarray]:
+    """Number of rows and means of complete features."""
+    row = cube.agg(F.count(F.lit(1)), *[F.count(c) for c in names], *[F.avg(c) for c in names]).first()
+    _check_complete(row[0], dict(zip(names, row[1:len(names) + 1])))
+    return row[0], np.array(row[len(names) + 1:], dtype=float)
 
 
-def _moments_by_pairs(cube: DataFrame, names: Sequence[str]) -> Moments:
+def _products(cube: DataFrame, names: Sequence[str], centre: np.ndarray) -> np.ndarray:
+    """Sums of the products of all pairs of features, taken from `centre`."""
+    at = [F.col(c) - F.lit(float(m)) if m else F.col(c) for c, m in zip(names, centre)]
     p = len(names)
-    row = cube.agg(
-        F.count(F.lit(1)),
-        *[F.count(c) for c in names],
-        *[F.avg(c) for c in names],
-        *[F.covar_samp(names[i], names[j]) for i in range(p) for j in range(i + 1)],
-    ).first()
-    n, present, means, pairs = row[0], row[1:p + 1], row[p + 1:2 * p + 1], row[2 * p + 1:]
-    _check_complete(n, dict(zip(names, present)))
-    cov = np.zeros((p, p))
-    cov[np.tril_indices(p)] = np.array(pairs, dtype=float)
-    return Moments(tuple(names), n, np.array(means, dtype=float), cov + np.tril(cov, -1).T)
-
-
-def _moments_by_vectors(cube: DataFrame, names: Sequence[str]) -> Moments:
-    counted = cube.agg(F.count(F.lit(1)).alias("n"), *[F.count(c).alias(f"_{k}") for k, c in enumerate(names)]).first()
-    _check_complete(counted[0], dict(zip(names, counted[1:])))
+    sums = cube.agg(*[F.sum(at[i] * at[j]).alias(f"_{i}_{j}") for i in range(p) for j in range(i + 1)]).first()
+    out = np.zeros((p, p))
+    out[np.tril_indices(p)] = np.array(sums, dtype=float)
+    return out + np.tril(out, -1).T
+
+
+def cross_moments(cube: DataFrame, features: Sequence[str]) -> Moments:
+    """Size, means and covariance matrix of complete features: p x p numbers to the driver.
+
+    Means first, products around them second: two passes over `cube` (three with many features), so pass a stored one.
+    """
+    names = tuple(dict.fromkeys(features))
+    n, mean = _sizes(cube, names)
+    if len(names) <= PAIRWISE_FEATURES:
+        return Moments(names, n, mean, _products(cube, names, mean) / (n - 1))
+    sd = np.array(cube.agg(*[F.stddev_samp(c).alias(f"_{k}") for k, c in enumerate(names)]).first(), dtype=float)
     vectors = VectorAssembler(inputCols=list(names), outputCol="v").transform(cube).select("v")
-    stats = vectors.select(Summarizer.metrics("mean", "std").summary(F.col("v")).alias("s")).select("s.*").first()
-    sd = stats["std"].toArray()
-    varying = sd > 0
     corr = np.nan_to_num(Correlation.corr(vectors, "v").first()[0].toArray())
-    cov = np.where(np.outer(varying, varying), corr * np.outer(sd, sd), 0.0)
-    return Moments(tuple(names), counted[0], stats["mean"].toArray(), cov)
+    return Moments(names, n, mean, np.where(np.outer(sd > 0, sd > 0), corr * np.outer(sd, sd), 0.0))
+
+
+def gram(df: DataFrame, cols: Sequence[str]) -> np.ndarray:
+    """Sums of the products of all pairs of complete columns, not centred."""
+    if len(cols) <= PAIRWISE_FEATURES:
+        return _products(df, cols, np.zeros(len(cols)))
+    m = cross_moments(df, cols)
+    return m.cov * (m.n - 1) + m.n * np.outer(m.mean, m.mean)
 
 
 def _check_complete(n: int, present: dict[str, int]) -> None:

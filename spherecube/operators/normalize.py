@@ -139,8 +139,8 @@ def with_feature_defaults(ids: DataFrame, catalog: DataFrame) -> DataFrame:
 
 def detrended_long(detrended: DataFrame, catalog: DataFrame) -> DataFrame:
     """Long form with the catalogue entry and the first day of the quarter."""
-    long = with_feature_defaults(cube_to_long(detrended), catalog)
-    return long.withColumn("time", quarter_start("time"))
+    dated = detrended.withColumn("time", quarter_start("time"))
+    return with_feature_defaults(cube_to_long(dated), catalog)
 
 
 def coverage(cube: DataFrame, expected: Column, max_na: float = 0.1, features: Sequence[str] | None = None) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 from math import floor
 
 from pyspark.sql import Column, DataFrame
@@ -11,87 +11,84 @@ from pyspark.sql import functions as F
 
 from ..functions import clean
 
-# Accuracy of the approximate percentiles that bracket the exact ones.
-ACCURACY = 10_000
+# Bins a search interval is cut into per pass over the data.
+BINS = 1000
 
 
 @dataclass(frozen=True)
 class _Search:
-    """The value of 0-based rank `k` among the `n` values of `col` strictly between `low` and `high`."""
+    """The value of 0-based rank `k` among the values of `col` from `low` to `high`."""
 
     col: str
     k: int
-    n: int
-    low: float | None = None
-    high: float | None = None
-
-    def inside(self) -> Column:
-        v, ok = clean(self.col), F.lit(True)
-        if self.low is not None:
-            ok = ok & (v > self.low)
-        if self.high is not None:
-            ok = ok & (v < self.high)
-        return F.when(ok, v)
-
-    def bracket(self) -> Column:
-        slack = 2 / ACCURACY if self.n > ACCURACY else 0.0
-        at = (self.k + 0.5) / self.n
-        ends = [max(0.0, at - slack), min(1.0, at + slack)]
-        return F.percentile_approx(self.inside(), ends, ACCURACY)
-
-    def counts(self, lo: float, hi: float) -> Column:
-        v = self.inside()
-        return F.array(
-            F.count(F.when(v < lo, 1)), F.count(F.when(v == lo, 1)),
-            F.count(F.when((v > lo) & (v < hi), 1)), F.count(F.when((v == hi) & (v > lo), 1)),
-        )
-
-    def narrow(self, lo: float, hi: float, counts: Sequence[int]) -> float | _Search:
-        below, at_lo, between, at_hi = counts
+    low: float
+    high: float
+
+    def bin(self) -> Column:
+        """Bin of a value, NULL outside the interval. Its ends never share a bin, so every pass narrows the search."""
+        v = clean(self.col)
+        width = (self.high - self.low) / BINS
+        at = F.least(F.floor((v - F.lit(self.low)) / F.lit(width)), F.lit(BINS - 1)) if width > 0 else F.lit(0)
+        at = F.when(v == self.low, 0).when(v == self.high, BINS).otherwise(at).cast("int")
+        return F.when(v.between(self.low, self.high), at)
+
+    def narrow(self, bins: Sequence[tuple[int, int, float, float]]) -> float | _Search:
+        """`bins` are (bin, count, smallest, largest) in order of the bins."""
         k = self.k
-        if k < below:
-            return replace(self, n=below, high=lo)
-        k -= below
-        if k < at_lo:
-            return lo
-        k -= at_lo
-        if k < between:
-            return replace(self, k=k, n=between, low=lo, high=hi)
-        k -= between
-        if k < at_hi:
-            return hi
-        return replace(self, k=k - at_hi, n=self.n - sum(counts), low=hi)
+        for _, count, smallest, largest in bins:
+            if k < count:
+                return smallest if smallest == largest else _Search(self.col, k, smallest, largest)
+            k -= count
+        raise ValueError(f"rank {self.k} lies beyond the values of {self.col}")
 
 
 def order_statistics(df: DataFrame, searches: Sequence[_Search]) -> list[float]:
-    """All searches share their passes: one for approximate brackets, one to count around them, until none is open.
-
-    Each round leaves a search the values strictly inside its bracket, a few ten-thousandths of what it had.
-    """
+    """All open searches share a pass: values are counted by bin of each search, and each goes on within one bin."""
     found: list[float | _Search] = list(searches)
     while any(isinstance(s, _Search) for s in found):
-        at = [k for k, s in enumerate(found) if isinstance(s, _Search)]
-        brackets = df.agg(*[found[k].bracket() for k in at]).first()
-        counts = df.agg(*[found[k].counts(*b) for k, b in zip(at, brackets)]).first()
-        for k, (lo, hi), c in zip(at, brackets, counts):
-            found[k] = found[k].narrow(lo, hi, c)
+        # Searches for different ranks of one interval share its bins.
+        intervals = list(dict.fromkeys((s.col, s.low, s.high) for s in found if isinstance(s, _Search)))
+        cells = F.array(*[
+            F.struct(F.lit(n).alias("interval"), _Search(c, 0, low, high).bin().alias("bin"), clean(c).alias("v"))
+            for n, (c, low, high) in enumerate(intervals)
+        ])
+        counted = (
+            df.select(F.inline(cells)).where(F.col("bin").isNotNull())
+            .groupBy("interval", "bin").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+            .collect()  # a row per interval and bin
+        )
+        bins: dict[int, list] = {n: [] for n in range(len(intervals))}
+        for row in sorted(counted, key=lambda r: r["bin"]):
+            bins[row["interval"]].append((row["bin"], row["n"], row["low"], row["high"]))
+        found = [
+            s.narrow(bins[intervals.index((s.col, s.low, s.high))]) if isinstance(s, _Search) else s for s in found
+        ]
     return found
 
 
-def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> dict[str, list[float]]:
-    """Quantiles of every column, interpolated linearly between neighbouring values; missing values are skipped."""
-    sizes = dict(zip(cols, df.agg(*[F.count(clean(c)) for c in cols]).first()))
-    if not all(sizes.values()):
+def quantiles(
+    df: DataFrame, cols: Sequence[str], probs: Sequence[float],
+    extent: dict[str, tuple[int, float, float]] | None = None,
+) -> dict[str, list[float]]:
+    """Quantiles of every column, interpolated linearly between neighbouring values; missing values are skipped.
+
+    `extent` holds number, smallest and largest of each column's values, if they are known already.
+    """
+    if extent is None:
+        row = df.agg(*[F.struct(F.count(clean(c)), F.min(clean(c)), F.max(clean(c))) for c in cols]).first()
+        extent = {c: tuple(v) for c, v in zip(cols, row)}
+    if not all(n for n, _, _ in extent.values()):
         raise ValueError("a column without values has no quantiles")
-    ends = {}
+    places = {}
     for c in cols:
+        last = extent[c][0] - 1
         for p in probs:
-            place = (sizes[c] - 1) * p
-            low = min(floor(place + 1e-9), sizes[c] - 1)
-            ends[c, p] = (low, min(low + 1, sizes[c] - 1), max(place - low, 0.0))
-    wanted = sorted({(c, k) for (c, _), (low, high, _) in ends.items() for k in (low, high)})
-    values = dict(zip(wanted, order_statistics(df, [_Search(c, k, sizes[c]) for c, k in wanted])))
-    return {
-        c: [values[c, ends[c, p][0]] * (1 - ends[c, p][2]) + values[c, ends[c, p][1]] * ends[c, p][2] for p in probs]
-        for c in cols
-    }
+            low = min(floor(last * p + 1e-9), last)
+            places[c, p] = (low, min(low + 1, last), max(last * p - low, 0.0))
+    wanted = sorted({(c, k) for (c, _), (low, high, _) in places.items() for k in (low, high)})
+    values = dict(zip(wanted, order_statistics(df, [_Search(c, k, *extent[c][1:]) for c, k in wanted])))
+
+    def between(c: str, low: int, high: int, share: float) -> float:
+        return values[c, low] * (1 - share) + values[c, high] * share
+
+    return {c: [between(c, *places[c, p]) for p in probs] for c in cols}

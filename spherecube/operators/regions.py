@@ -88,15 +88,17 @@ def resample_space(
         placed = df.withColumn("_level", chosen.scalar())
     tree = ancestors(regions).withColumnRenamed("level", "_level")
 
-    above = placed.where(F.col("_level") < LEAF_LEVEL).withColumnRenamed("geo", "parent")
-    lifted = above.join(tree, ["parent", "_level"]).withColumnRenamed("leaf", "geo").select(*df.columns)
-    leaves = placed.where(F.col("_level") == LEAF_LEVEL)
+    below = placed.join(tree, (F.col("geo") == F.col("parent")) & (placed["_level"] == tree["_level"]), "left")
+    leaf_rows = placed["_level"] == LEAF_LEVEL
+    lifted = below.where(leaf_rows | F.col("leaf").isNotNull()).withColumn("geo", F.coalesce("leaf", "geo")).select(*df.columns)
     if level_policy == "majority":
-        return leaves.select(*df.columns).unionByName(lifted)
+        return lifted
 
-    leaves = leaves.join(levels.where(F.col("level") == LEAF_LEVEL), "geo", "left_semi").select(*df.columns)
+    # Rows of a leaf-level dataset that are no leaves themselves do not count.
+    codes = levels.where(F.col("level") == LEAF_LEVEL)
+    lifted = lifted.join(codes, "geo", "left_semi").select(*df.columns)
     # Leaves of each lifted dataset's level whose parent has no row. The right join counts datasets times leaves.
     wanted = chosen.where(F.col("_level") < LEAF_LEVEL).join(tree, "_level")
-    present = above.select(*by, "parent").distinct()
+    present = placed.select(*by, F.col("geo").alias("parent")).distinct()
     childless = wanted.join(present, [*by, "parent"], "left_anti").select(*by, F.col("leaf").alias("geo"))
-    return leaves.unionByName(lifted).unionByName(childless, allowMissingColumns=True)
+    return lifted.unionByName(childless, allowMissingColumns=True)

@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import quarter_label, strict_mean
+from ..functions import quarter_label, quarter_name, quarter_number, strict_mean
 
 
 def quarter_axis(first: Column, last: Column, spans: DataFrame) -> DataFrame:
@@ -23,8 +23,8 @@ def resample_month_to_quarter(
     df: DataFrame, agg: Callable[[str], Column] = strict_mean, by: Sequence[str] = ()
 ) -> DataFrame:
     """Monthly rows -> one row per variable, region and quarter."""
-    quarters = df.groupBy(*by, "var", "geo", quarter_label("TIME_PERIOD").alias("time"))
-    return quarters.agg(agg("values").alias("values"))
+    quarters = df.groupBy(*by, "var", "geo", quarter_number("TIME_PERIOD").alias("_quarter")).agg(agg("values").alias("values"))
+    return quarters.select(*by, "var", "geo", quarter_name("_quarter").alias("time"), "values")
 
 
 def _four_quarters() -> Column:

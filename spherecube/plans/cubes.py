@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from ..operators.datasets import indicator_series
 from ..operators.normalize import detrended_cube, detrended_long, scaled_cube
 from ..operators.regions import resample_space
-from ..operators.reshape import assemble_cube, union_named
+from ..operators.reshape import full_join_all, union_named
 from ..operators.timeaxis import resample_time
 from ..sources import write_cube
 
@@ -40,10 +40,10 @@ class Cubes:
     detrended_long: DataFrame
 
 
-def build_cubes(series: Sequence[DataFrame], features: Sequence[str], catalog: DataFrame, path: str) -> Cubes:
-    """Assemble the raw cube once, store it as a table below `path`, and derive the others from the stored table."""
-    spark = series[0].sparkSession
-    assemble_cube(series, features).write.mode("overwrite").parquet(f"{path}/raw")
+def build_cubes(frames: Sequence[DataFrame], catalog: DataFrame, path: str) -> Cubes:
+    """Join frames of features into the raw cube, store it as a table below `path`, derive the others from the table."""
+    spark = frames[0].sparkSession
+    full_join_all(frames).write.mode("overwrite").parquet(f"{path}/raw")
     raw = spark.read.parquet(f"{path}/raw")
     detrended = detrended_cube(raw)
     return Cubes(raw, scaled_cube(raw), detrended, detrended_long(detrended, catalog))

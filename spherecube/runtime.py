@@ -36,8 +36,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write `df` once to the shared folder, so that several actions can start from it and lost executors cost little."""
+    """Write `df` once as a table in the shared folder and go on from the table.
+
+    For data several actions or several branches of a plan start from: none of them computes it again, each reads only
+    the columns it needs, and a lost executor costs no more than a part of the table.
+    """
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint()
+    path = scratch_path(spark, "stage")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -32,8 +32,9 @@ def reference_cca(x, y):
     return cor, np.linalg.solve(rx, u), np.linalg.solve(ry, vt.T)
 
 
-@pytest.mark.parametrize("p", [4, 9])
-def test_cross_moments(cube, data, p):
+@pytest.mark.parametrize("p, pairs", [(4, 12), (9, 12), (9, 5)])
+def test_cross_moments(cube, data, p, pairs, monkeypatch):
+    monkeypatch.setattr(moments, "PAIRWISE_FEATURES", pairs)
     m = moments.cross_moments(cube, NAMES[:p])
     assert m.n == 400
     assert m.mean == pytest.approx(data[:, :p].mean(axis=0))
@@ -80,6 +81,12 @@ def test_dependent_features_are_named(cube):
         cca.cca_fit(cube, ["v0"], ["v2", "v3"])
 
 
+def test_gram(cube, data, monkeypatch):
+    assert moments.gram(cube, NAMES) == pytest.approx(data.T @ data)
+    monkeypatch.setattr(moments, "PAIRWISE_FEATURES", 3)
+    assert moments.gram(cube, NAMES) == pytest.approx(data.T @ data)
+
+
 @pytest.mark.parametrize("p", [2, 8])
 def test_missing_values_are_refused(cube, p):
     gaps = cube.withColumn("v0", F.when(F.col("v0") > 0, F.col("v0")))
@@ -140,7 +147,7 @@ def test_density_against_direct_sum(cube, data):
 
 @pytest.mark.parametrize("kind", ["normal", "ties", "two", "hot"])
 def test_exact_quantiles(spark, kind, monkeypatch):
-    monkeypatch.setattr(quantiles, "ACCURACY", 50)  # far fewer than rows, so that searches need several rounds
+    monkeypatch.setattr(quantiles, "BINS", 7)  # few, so that searches need several rounds
     rng = np.random.default_rng(3)
     v = {
         "normal": rng.normal(size=5000),
