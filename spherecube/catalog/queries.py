@@ -320,12 +320,14 @@ def infer_level(spark, d):
 
 @query
 def expand_level2(spark, d):
-    return rounded(regions.expand_to_children(fx.at_level(spark, d, 2, "v"), fx.regions(spark, d), 2), "values", digits=2)
+    data = rounded(fx.at_level(spark, d, 2, "v"), "values", digits=2)
+    return regions.expand_to_children(data, fx.regions(spark, d), 2)
 
 
 @query
 def expand_level0(spark, d):
-    return rounded(regions.expand_to_children(fx.at_level(spark, d, 0, "v"), fx.regions(spark, d), 0), "values", digits=2)
+    data = rounded(fx.at_level(spark, d, 0, "v"), "values", digits=2)
+    return regions.expand_to_children(data, fx.regions(spark, d), 0)
 
 
 def _large_segments(spark, d):
@@ -344,8 +346,8 @@ def expand_finest_right(spark, d):
 @query
 def resample_space_majority(spark, d):
     tree = fx.regions(spark, d)
-    out = regions.resample_space(fx.mixed_level(spark, d), tree, regions.region_levels(tree), "majority", ["var"])
-    return rounded(out, "values", digits=2)
+    data = rounded(fx.mixed_level(spark, d), "values", digits=2)
+    return regions.resample_space(data, tree, regions.region_levels(tree), "majority", ["var"])
 
 
 @query
@@ -359,7 +361,8 @@ def resample_space_finest(spark, d):
 def ingest_datasets(spark, d):
     tree = fx.regions(spark, d)
     tables = {"ord_val": fx.indicator(spark, d), "ord_avg": fx.indicator_annual(spark, d)}
-    return rounded(cubes.ingest(tables, tree, regions.region_levels(tree)), "values", digits=4)
+    exact = {code: rounded(df, "values", digits=4) for code, df in tables.items()}
+    return cubes.ingest(exact, tree, regions.region_levels(tree))
 
 
 # --- datasets and catalogue -------------------------------------------------------------------------------------------

@@ -28,7 +28,8 @@ def tidy(c, digits: int = 6) -> Column:
 
     A shift far below the last digit takes values off the exact half, where summation order would decide.
     """
-    return F.round(_col(c) + F.lit(3.7 * 10.0 ** -(digits + 3)), digits) + F.lit(0.0)
+    unit = 10.0 ** digits
+    return F.rint((_col(c) + F.lit(3.7 / unit / 1000)) * F.lit(unit)) / F.lit(unit) + F.lit(0.0)
 
 
 def ln_positive(c) -> Column:

@@ -14,6 +14,9 @@ from .keys import require
 
 LEAF_LEVEL = 3
 
+# Up to this many datasets their levels are computed first and sent along; beyond, they are joined.
+FEW_DATASETS = 10_000
+
 
 def region_parents(levels: DataFrame) -> DataFrame:
     """(geo, level) -> (geo3, geo2, geo1, geo0) of the leaf regions."""
@@ -70,6 +73,12 @@ def expand_to_children_right(df: DataFrame, regions: DataFrame, level: int) -> D
     return expand_to_children(df, regions, level).unionByName(childless, allowMissingColumns=True)
 
 
+def _known_if_few(levels: DataFrame) -> DataFrame:
+    """The level of every dataset as a local table if there are few datasets, which spares shuffling them by name."""
+    rows = levels.limit(FEW_DATASETS + 1).collect()
+    return levels.sparkSession.createDataFrame(rows, levels.schema) if len(rows) <= FEW_DATASETS else levels
+
+
 def resample_space(
     df: DataFrame, regions: DataFrame, levels: DataFrame, level_policy: str = "majority", by: Sequence[str] = ()
 ) -> DataFrame:
@@ -80,12 +89,9 @@ def resample_space(
     and leaves without a value appear with NULL.
     """
     choose = {"majority": majority_level, "finest": infer_level}[level_policy]
-    chosen = choose(df, levels, by).withColumnRenamed("level", "_level")
+    chosen = _known_if_few(choose(df, levels, by)).withColumnRenamed("level", "_level")
     chosen = require(chosen, F.col("_level").between(0, LEAF_LEVEL), "region level not between 0 and 3")
-    if by:
-        placed = df.join(chosen, list(by))
-    else:
-        placed = df.withColumn("_level", chosen.scalar())
+    placed = df.join(chosen, list(by)) if by else df.withColumn("_level", chosen.scalar())
     tree = ancestors(regions).withColumnRenamed("level", "_level")
 
     below = placed.join(tree, (F.col("geo") == F.col("parent")) & (placed["_level"] == tree["_level"]), "left")
