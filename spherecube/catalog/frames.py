@@ -195,13 +195,11 @@ def at_level(spark: SparkSession, sf_dir: str, level: int, var: str) -> DataFram
 
 
 def mixed_level(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three datasets: `deep` has levels 2 and 1, `top` level 0, `leaf` levels 3 and 0."""
+    """Three datasets: `deep` has levels 2 and 1, `top` level 0, `leaf` levels 3 and 0; all from one reading."""
     parts = [(2, "deep"), (1, "deep"), (0, "top"), (3, "leaf"), (0, "leaf")]
-    frames = [at_level(spark, sf_dir, level, var) for level, var in parts]
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+    places = F.array(*[F.struct(F.lit(var).alias("var"), F.col(f"geo{level}").alias("geo")) for level, var in parts])
+    placed = sales(spark, sf_dir).select(F.inline(places), "time", "price")
+    return placed.groupBy("var", "geo", "time").agg(F.sum("price").alias("values"))
 
 
 def indicator(spark: SparkSession, sf_dir: str) -> DataFrame:

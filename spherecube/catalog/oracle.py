@@ -389,6 +389,44 @@ add("pca_2_scores", f"""
 SELECT geo, time, {r('(zv + zc) * sqrt(0.5)', 'PC1')}, {r('(zv - zc) * sqrt(0.5)', 'PC2')}
 FROM (SELECT geo, time, {zscore('ord_value')} AS zv, {zscore('ord_count')} AS zc FROM order_cells)""", "order_cells")
 
+
+
+def three_components(x: str, y: str, z: str, table: str) -> str:
+    """Tables ending in `pc`: means, deviations and first two component vectors (v11 .. v23) of three columns.
+
+    Closed form of the eigenvalues of a 3 x 3 correlation matrix; a vector is the cross product of two rows.
+    """
+    def vector(k: int) -> str:
+        e = f"(1 - l{k})"
+        return f"a * c - b * {e} AS v{k}1, a * b - c * {e} AS v{k}2, {e} * {e} - a * a AS v{k}3"
+
+    def scale(k: int) -> str:
+        a, b, c = (f"v{k}{i}" for i in (1, 2, 3))
+        top = f"CASE greatest(abs({a}), abs({b}), abs({c})) WHEN abs({a}) THEN {a} WHEN abs({b}) THEN {b} ELSE {c} END"
+        return f"sign({top}) / sqrt({a} * {a} + {b} * {b} + {c} * {c}) AS s{k}"
+
+    moments = ", ".join(f"avg({c}) AS m{i}, stddev_samp({c}) AS d{i}" for i, c in enumerate((x, y, z), 1))
+    return f"""
+pc0 AS (SELECT {moments}, corr({x}, {y}) AS a, corr({x}, {z}) AS b, corr({y}, {z}) AS c FROM {table}),
+pc1 AS (SELECT *, sqrt((a * a + b * b + c * c) / 3) AS p FROM pc0),
+pc2 AS (SELECT *, acos(greatest(-1, least(1, a * b * c / (p * p * p)))) / 3 AS phi FROM pc1),
+pc3 AS (SELECT *, 1 + 2 * p * cos(phi) AS l1, 1 + 2 * p * cos(phi + 2 * pi() / 3) AS l3 FROM pc2),
+pc4 AS (SELECT *, 3 - l1 - l3 AS l2 FROM pc3),
+pc5 AS (SELECT *, {vector(1)}, {vector(2)} FROM pc4),
+pc AS (SELECT *, {scale(1)}, {scale(2)} FROM pc5)"""
+
+
+def _component(k: int) -> str:
+    terms = zip(("Biosphere", "Atmosphere", "Socioeconomics"), (1, 2, 3))
+    return " + ".join(f"({c} - m{i}) / d{i} * v{k}{i} * s{k}" for c, i in terms)
+
+
+_path = "path AS (SELECT * FROM domains_wide WHERE country = 'NATION_1' AND cca_axis = 'CCA1')"
+_head = with_frames("SELECT 1", "domains_wide")
+_SQL["pca_3"] = f"""{_head[: _head.rindex(chr(10) + 'SELECT 1')]},
+{_path}, {three_components('Biosphere', 'Atmosphere', 'Socioeconomics', 'path')}
+SELECT country, year, {r(_component(1), 'PC1')}, {r(_component(2), 'PC2')} FROM path CROSS JOIN pc WHERE year <= 1999"""
+
 # --- country study ----------------------------------------------------------------------------------------------------
 
 DOMAINS = ["Biosphere", "Atmosphere", "Socioeconomics"]

@@ -683,7 +683,7 @@ def pca_3(spark, d):
 def threeway_factors(spark, d):
     cube = materialise(normalize.scaled_cube(fx.stored_cube(spark, d)))
     times = [r["time"] for r in fx.quarters(spark, d).sort("ord").collect()]  # the time axis
-    model = factors.threeway_fit(cube, fx.CUBE_FEATURES, times, (2, 2, 2), iterations=3)
+    model = factors.threeway_fit(cube, fx.CUBE_FEATURES, times, (2, 2, 2), iterations=2)
     return rounded(factors.threeway_factors(spark, model), "value")
 
 

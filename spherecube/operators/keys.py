@@ -68,8 +68,11 @@ def natural_left_chain(frames: Sequence[DataFrame], keys: Sequence[str]) -> Data
 
 
 def common_observations(frames: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
-    """Keys that occur in every frame."""
-    return reduce(DataFrame.intersect, [f.select(*keys) for f in frames])
+    """Distinct keys that occur in every frame, a missing key equal to a missing key; one shuffle for all frames."""
+    marked = [f.select(*keys, F.lit(n).alias("_frame")) for n, f in enumerate(frames)]
+    in_all = reduce(Column.__and__, [F.bool_or(F.col("_frame") == n) for n in range(len(frames))])
+    seen = reduce(DataFrame.unionByName, marked).groupBy(*keys).agg(in_all.alias("_in_all"))
+    return seen.where("_in_all").drop("_in_all")
 
 
 def concat_unique(df: DataFrame, keys: Sequence[str], col: str, sep: str, name: str) -> DataFrame:

@@ -146,5 +146,5 @@ def detrended_long(detrended: DataFrame, catalog: DataFrame) -> DataFrame:
 def coverage(cube: DataFrame, expected: Column, max_na: float = 0.1, features: Sequence[str] | None = None) -> DataFrame:
     """(var_id, n, missing, complete): share of the expected cells without a value, and whether it is within `max_na`."""
     counted = column_moments(cube, features).select("var_id", "n").withColumn("_expected", expected)
-    missing = 1 - F.col("n") / F.col("_expected")
+    missing = 1 - F.try_divide("n", "_expected")
     return counted.select("var_id", "n", missing.alias("missing"), (missing <= max_na).alias("complete"))
