@@ -6,7 +6,7 @@ are prefixes of 4, 3 and 2 characters. Cubes hold one row per customer and quart
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import quarter_label, quarter_name, quarter_number
@@ -61,19 +61,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _codes(level0: Column) -> dict[str, Column]:
-    level1 = F.concat(level0, F.char(F.col("n_nationkey") + 65))
-    level2 = F.concat(level1, F.substring("c_mktsegment", 1, 1))
-    return {"geo0": level0, "geo1": level1, "geo2": level2, "geo3": F.concat(level2, F.col("c_custkey").cast("string"))}
-
-
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = table(spark, sf_dir, "nation")
-    codes = _codes(F.concat(F.lit("R"), F.col("n_regionkey").cast("string")))
-    joined = table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-    return joined.select("c_custkey", "c_acctbal", "c_nationkey", F.col("n_name").alias("country"), *[
-        c.alias(n) for n, c in codes.items()
-    ])
+    joined = table(spark, sf_dir, "customer").join(nation, F.expr("c_nationkey = n_nationkey"))
+    level0 = "concat('R', n_regionkey)"
+    level1 = "concat('R', n_regionkey, char(n_nationkey + 65))"
+    level2 = "concat('R', n_regionkey, char(n_nationkey + 65), substring(c_mktsegment, 1, 1))"
+    level3 = "concat('R', n_regionkey, char(n_nationkey + 65), substring(c_mktsegment, 1, 1), c_custkey)"
+    return joined.selectExpr(
+        "c_custkey", "c_acctbal", "c_nationkey", "n_name AS country",
+        f"{level0} AS geo0", f"{level1} AS geo1", f"{level2} AS geo2", f"{level3} AS geo3",
+    )
 
 
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,13 +79,11 @@ def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders")
-    day = F.col("o_orderdate").cast("date")
-    return orders.join(customers(spark, sf_dir), F.col("o_custkey") == F.col("c_custkey")).select(
-        F.col("o_orderkey").alias("id"), "country", "geo0", "geo1", "geo2", "geo3", day.alias("day"),
-        quarter_label(day).alias("time"), F.col("o_totalprice").alias("price"), F.col("o_orderstatus").alias("status"),
-        F.col("o_orderpriority").alias("priority"),
-    )
+    joined = table(spark, sf_dir, "orders").join(customers(spark, sf_dir), F.expr("o_custkey = c_custkey"))
+    return joined.selectExpr(
+        "o_orderkey AS id", "country", "geo0", "geo1", "geo2", "geo3", "date(o_orderdate) AS day", "o_totalprice AS price",
+        "o_orderstatus AS status", "o_orderpriority AS priority",
+    ).withColumn("time", quarter_label("day"))
 
 
 # Cells are aggregated by customer and quarter number first; codes and labels join to cells instead of to rows.

@@ -28,8 +28,10 @@ def tidy(c, digits: int = 6) -> Column:
 
     A shift far below the last digit takes values off the exact half, where summation order would decide.
     """
-    unit = 10.0 ** digits
-    return F.rint((_col(c) + F.lit(3.7 / unit / 1000)) * F.lit(unit)) / F.lit(unit) + F.lit(0.0)
+    unit, shift = 10.0 ** digits, 3.7 * 10.0 ** -(digits + 3)
+    if isinstance(c, str):
+        return F.expr(f"rint((`{c}` + {shift!r}D) * {unit!r}D) / {unit!r}D + 0D")
+    return F.rint((c + F.lit(shift)) * F.lit(unit)) / F.lit(unit) + F.lit(0.0)
 
 
 def ln_positive(c) -> Column:

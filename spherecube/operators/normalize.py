@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import clean, ln_positive, quarter_start
+from ..functions import ln_positive, quarter_start
 from ..schema import DEFAULT_SPHERE, KEYS, LOG_PREFIX, features_of
 from .reshape import cube_to_long
 
@@ -38,15 +38,16 @@ def map_all(df: DataFrame, f: Callable[[Column], Column]) -> DataFrame:
     return map_columns(df, df.columns, f)
 
 
+def _present(c: str) -> str:
+    """SQL of a feature with NaN as missing. Per-feature expressions are texts: one call to the JVM for each."""
+    return f"nullif(`{c}`, double('NaN'))"
+
+
 def _moments(cube: DataFrame, features: Sequence[str]) -> DataFrame:
     """One row, one struct (n, mean, sd) per feature."""
     return cube.agg(*[
-        F.struct(
-            F.count(clean(_quoted(c))).alias("n"),
-            F.avg(clean(_quoted(c))).alias("mean"),
-            F.stddev_samp(clean(_quoted(c))).alias("sd"),
-        ).alias(c)
-        for c in features
+        F.expr(f"struct(count({v}) AS n, avg({v}) AS mean, stddev_samp({v}) AS sd) AS `{c}`")
+        for c, v in ((c, _present(c)) for c in features)
     ])
 
 
@@ -62,9 +63,8 @@ def zscore_impute(cube: DataFrame, features: Sequence[str] | None = None) -> Dat
     moments = _moments(cube, features).select(F.struct("*")).scalar()
 
     def scale(c: str) -> Column:
-        m = F.col("_moments")[c]
-        z = F.try_divide(clean(_quoted(c)) - m["mean"], m["sd"])
-        return F.coalesce(clean(z), F.lit(0.0)).alias(c)
+        z = f"try_divide({_present(c)} - _moments.`{c}`.mean, _moments.`{c}`.sd)"
+        return F.expr(f"coalesce(nullif({z}, double('NaN')), 0D) AS `{c}`")
 
     kept = [c for c in cube.columns if c not in features]
     return cube.withColumn("_moments", moments).select(*kept, *[scale(c) for c in features])
@@ -90,12 +90,12 @@ def demean_by(df: DataFrame, keys: Sequence, cols: Sequence[str]) -> DataFrame:
     keyed = df.select("*", *[k.alias(f"_k{n}") for n, k in enumerate(keys)])
     means = (
         keyed.groupBy(*[F.col(f"_k{n}").alias(f"_g{n}") for n in range(len(keys))])
-        .agg(F.struct(*[F.avg(clean(_quoted(c))).alias(c) for c in cols]).alias("_mean"))
+        .agg(F.expr(f"struct({', '.join(f'avg({_present(c)}) AS `{c}`' for c in cols)}) AS _mean"))
     )
     same = reduce(Column.__and__, [F.col(f"_k{n}").eqNullSafe(F.col(f"_g{n}")) for n in range(len(keys))])
     joined = keyed.join(means, same, "left")
     return joined.select(*[
-        (clean(_quoted(c)) - F.col("_mean")[c]).alias(c) if c in cols else _quoted(c) for c in df.columns
+        F.expr(f"{_present(c)} - _mean.`{c}` AS `{c}`") if c in cols else _quoted(c) for c in df.columns
     ])
 
 
