@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +11,8 @@ def tune(spark: SparkSession) -> SparkSession:
     """Adaptive execution with skew splitting, also where splitting costs one more shuffle.
 
     No operator hints a broadcast of data whose size it does not know: Spark broadcasts a side whose measured size is
-    below `spark.sql.autoBroadcastJoinThreshold` and sort-merge joins the rest, splitting hot partitions.
+    below `spark.sql.autoBroadcastJoinThreshold` and sort-merge joins the rest, splitting hot partitions. The session's
+    time zone becomes UTC, in which the catalogue's dates are read.
     """
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -22,10 +22,17 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in `spark.checkpoint.dir`; a local one only where it names none, as in tests."""
+    """The folder the cluster names in `spark.checkpoint.dir`; where it names none, one below the warehouse.
+
+    A warehouse on a local disk is not shared by the machines of a cluster, so there it is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named is None:
-        named = tempfile.mkdtemp(prefix="spherecube-")
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        scheme = warehouse.partition(":")[0] if ":" in warehouse else "file"
+        if scheme == "file" and not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all machines share; {warehouse} is a local one")
+        named = f"{warehouse.rstrip('/')}/_stages"
         spark.conf.set("spark.checkpoint.dir", named)
     return named
 
@@ -45,3 +52,14 @@ def materialise(df: DataFrame) -> DataFrame:
     path = scratch_path(spark, "stage")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def remove_stage(df: DataFrame) -> None:
+    """Delete the table behind a frame that `materialise` returned, once nothing reads it any more."""
+    spark = df.sparkSession
+    root = shared_dir(spark).rstrip("/").partition(":")[2] or shared_dir(spark).rstrip("/")
+    jvm = spark.sparkContext._jvm
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if "/stage-" in folder and root.lstrip("/") in folder:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
