@@ -25,7 +25,7 @@ from .common import SLICE_CHARS
 #: The rank file of the registered queries.
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Cuts that a worker remembers, how long they may be, and characters of one call of the library.
-MAX_CACHE, MAX_CUT, CALL_CHARS = 300_000, 64, 50_000
+MAX_CACHE, MAX_CUT, CALL_CHARS = 300_000, 64, 10_000
 
 CUT = re.compile(r"(?<=\S)(?= \S)")
 
@@ -101,26 +101,21 @@ class Encoder:
         self.alone: dict[str, bytes] = {}
 
     def _several(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<i4").tobytes() for e in found]
 
     def _learn(self, cuts: list[str]) -> None:
         """Ids of cuts that follow a space; neither begins nor ends with white space, so they are encoded in a row."""
-        start = 0
-        while start < len(cuts):
-            end, size = start, 0
-            while end < len(cuts) and (end == start or size + len(cuts[end]) < CALL_CHARS):
-                size += len(cuts[end]) + 1
-                end += 1
-            group = cuts[start:end]
-            ids = np.array(self.tokenizer.encode("".join([" " + c for c in group]), add_special_tokens=False).ids, dtype="<i4")
+        groups = [cuts[a:b] for a, b in slices([len(c) + 1 for c in cuts], CALL_CHARS)]
+        found = self._several(["".join([" " + c for c in g]) for g in groups])
+        for group, data in zip(groups, found, strict=True):
+            ids = np.frombuffer(data, dtype="<i4")
             ends = np.cumsum([len(c.encode()) + 1 for c in group])
             at = np.searchsorted(np.cumsum(self.lengths[ids]), ends, side="right").tolist()
             last = 0
             for c, a in zip(group, at, strict=True):
                 self.after[c] = ids[last:a].tobytes()
                 last = a
-            start = end
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         if len(self.after) + len(self.alone) > MAX_CACHE:
@@ -128,7 +123,7 @@ class Encoder:
         plans, new_after, new_alone = [], set(), set()
         for text in texts:
             first, *rest = (text or "").split(" ")
-            unseen = set(rest) - self.after.keys()
+            unseen = {c for c in set(rest) if c not in self.after}
             odd = any(not c or c[0].isspace() or c[-1].isspace() for c in unseen) or (rest and (not first or first[-1].isspace()))
             if odd:
                 first, rest, unseen = None, CUT.split(text), set()

@@ -1,15 +1,16 @@
 """N-gram Jaccard self-join by vertical partitioning.
 
-The global order of shingles is the order of their 64-bit hashes. Documents of similar set size share a size class; a
-class cuts the order at equal distances into fragments, so many that two linked sets must agree on at least one
-fragment in full (pigeonhole principle on the shingles that a linked pair may differ in). Equal fragments give the
-candidates; of each candidate pair the overlaps are counted fragment by fragment and summed, and the sum decides.
-
-No pairs are formed within a group of copies: equal sets are one class beforehand, and of the documents with an equal
-fragment each is first compared with the smallest only. Links found so contract documents to components; a second
-comparison takes the remaining pairs with an equal fragment whose components differ. So every link between documents
-of different components has been tried, which makes the components exact, while links inside a component are not all
-listed.
+The global order of shingles is by document frequency, rare ones first. It is cut into fragments: the head of a document's
+own sequence in that order, which by its size two linked sets must meet in, gives the candidates (prefix and positional
+filters). Of each candidate pair the overlaps are counted fragment by fragment, in fragments of the hash order, and
+summed, and the sum decides. Shingles of one document only come first and link nothing, and passages that many
+documents share come last, so most documents show nothing at all.
+
+No pairs are formed within a group of copies: equal sets are one class beforehand, and of the documents that show the same
+shingle each is first compared with the smallest only. Links found so contract documents to components; a second
+comparison takes the remaining pairs that the filters leave and whose components differ. So every link between
+documents of different components has been tried, which makes the components exact, while links inside a component are
+not all listed.
 
 Sets are compared by 64-bit hashes of shingles: two different shingles of one pair count as equal with a chance of 2^-64.
 """
@@ -30,9 +31,15 @@ from .words import ODD, batch_words, mix, texts_of
 
 #: Bits of the filter that keeps documents without a candidate out of the second reading (4 MiB).
 FILTER_BITS = 1 << 25
+#: About how many shingles are counted together, and how many documents' sequences are made together.
+BUCKET, GROUP = 500_000, 5000
+#: A shingle is reported by a slice if one in OFTEN of its documents has it, and hot if all reports together are one in HOT
+#: of all documents, LEAST_HOT at least.
+OFTEN, HOT, LEAST_HOT = 64, 256, 5000
 #: Fragments of the order in which overlaps are counted: 2 to this power.
 COUNT_BITS = 3
 
+
 def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     words, bounds = batch_words(texts)
@@ -53,64 +60,6 @@ def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
     return out
 
 
-class SizeClasses:
-    """Size classes and their fragments for links of Jaccard similarity `percent` / 100 and more."""
-
-    def __init__(self, percent: int):
-        self.percent, self.tops = percent, [0]
-
-    def largest_partner(self, n: int) -> int:
-        return 100 * n // self.percent
-
-    def differing(self, sizes: int) -> int:
-        """The most elements that two linked sets of `sizes` elements together may not share."""
-        return (100 - self.percent) * sizes // (100 + self.percent)
-
-    def of(self, n: int) -> list[int]:
-        """The class of size `n`, and the next one if a linked set may be there."""
-        while self.tops[-1] < self.largest_partner(n):
-            self.tops.append(self.largest_partner(self.largest_partner(self.tops[-1] + 1)))
-        k = int(np.searchsorted(self.tops, n))
-        return [k, k + 1] if self.largest_partner(n) > self.tops[k] else [k]
-
-    def fragments(self, k: int) -> tuple[int, int]:
-        """Into how many fragments class `k` cuts the order, and how many of them may be empty without harm."""
-        most = self.differing(2 * self.tops[k])
-        spare = 1 + most // 16
-        return (most + 1 + spare if most else 0), spare
-
-    def needed(self, n: int, k: int) -> int:
-        """How many first fragments a set of size `n` shows: linked sets then agree on one that is not empty."""
-        both_here = 2 * self.tops[k]
-        return self.differing(min(both_here, n + self.largest_partner(n))) + 1 + self.fragments(k)[1]
-
-
-def signatures(tokens: np.ndarray, classes: SizeClasses) -> np.ndarray:
-    """A hash of the class, the fragment and its tokens, for each fragment that the set shows.
-
-    Empty fragments are shown only by a set that has more of them than its class allows for: of the fragments on which
-    a linked pair agrees, at least one more than that number is then empty on both sides.
-    """
-    out = []
-    for k in classes.of(len(tokens)):
-        cuts, spare = classes.fragments(k)
-        if not cuts:
-            continue
-        shown = min(cuts, classes.needed(len(tokens), k))
-        at = ((tokens >> np.uint64(32)) * np.uint64(cuts)) >> np.uint64(32)
-        starts = np.flatnonzero(np.diff(at, prepend=np.uint64(1 << 40)))
-        held = at[starts]
-        sums = np.add.reduceat(mix(tokens ^ ODD), starts)
-        names = np.uint64(k << 40) + held
-        first = held < shown
-        out.append(mix(sums * ODD + mix(names))[first])
-        empty = shown - int(first.sum())
-        if empty > spare:
-            missing = np.setdiff1d(np.arange(shown, dtype=np.uint64), held[first])
-            out.append(mix(mix(np.uint64(k << 40) + missing) + np.uint64(1)))
-    return np.concatenate(out) if out else np.empty(0, dtype=np.uint64)
-
-
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
     offsets = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
     values = np.concatenate(arrays).view(np.int64) if arrays else np.empty(0, dtype=np.int64)
@@ -122,37 +71,166 @@ def _digest(tokens: np.ndarray) -> tuple[int, int]:
     return int(digest[0]), int(digest[1])
 
 
-def shingle_table(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """doc_id, n (set size), s1 and s2 (digest of the set), sigs (signatures), per document."""
+def shingle_table(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, n (set size), s1 and s2 (digest of the set), per document.
+
+    The first row of a slice of the input also has `often`, the shingles of one in OFTEN of its documents, with `times`.
+    """
 
     def run(batches):
-        classes = SizeClasses(percent)
         for batch in in_slices(batches):
             sets = shingle_sets(texts_of(batch), width)
+            tokens, times = np.unique(np.concatenate(sets).view(np.int64), return_counts=True)
+            often = times >= max(4, len(sets) / OFTEN)
+            rest = [np.empty(0, np.int64)] * (len(sets) - 1)
             digests = [_digest(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()),
-                 _lists([signatures(s, classes) for s in sets])],
-                names=["doc_id", "n", "s1", "s2", "sigs"],
+                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()),
+                 pa.array([tokens[often], *rest], pa.list_(pa.int64())), pa.array([times[often], *rest], pa.list_(pa.int64()))],
+                names=["doc_id", "n", "s1", "s2", "often", "times"],
             )
 
-    schema = "doc_id long, n long, s1 long, s2 long, sigs array<long>"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+        run, "doc_id long, n long, s1 long, s2 long, often array<long>, times array<long>"
+    )
+
+
+def _kept(docs: DataFrame, wanted: DataFrame):
+    """doc_id, text and filter positions of all rows with an id, and a function that keeps those of the ids in `wanted`.
+
+    It also keeps a few others, and all of them where there are more ids than the filter can tell apart.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(bloom_filter(wanted, "doc_id", FILTER_BITS))
+    key = F.col("doc_id").cast("long")
+
+    def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
+        places = [batch.column(f"_b{i}").to_numpy(zero_copy_only=False) for i in range(3)]
+        return batch.filter(pa.array(in_filter(shared.value, places)))
+
+    return docs.where(F.col("doc_id").isNotNull()).select(key.alias("doc_id"), "text", *bloom_positions(key, FILTER_BITS)), keep
+
+
+def frequent_shingles(sets: DataFrame) -> np.ndarray:
+    """The shingles of so many documents that one task should not count them; at most 2 * HOT times the mean set size."""
+    least = max(LEAST_HOT, sets.count() // HOT)
+    pairs = sets.select(F.explode(F.arrays_zip("often", "times")).alias("x"))
+    found = pairs.groupBy(F.col("x.often").alias("token")).agg(F.sum("x.times").alias("k")).where(F.col("k") >= least)
+    return np.sort(np.array([r["token"] for r in found.select("token").toLocalIterator()], dtype=np.int64).view(np.uint64))
+
+
+def shown_shingles(docs: DataFrame, reps: DataFrame, hot: np.ndarray, total: int, width: int, percent: int) -> DataFrame:
+    """token, rep, n, pos: the shingles of more than one document in the head of each document's sequence.
+
+    The shingles of `hot` come last in every sequence and are not counted; a document shows them where its others do not
+    fill its head, so that no task meets all documents of a passage that very many share.
+
+    Shingles are sent to buckets of their hash, there counted, and those of several documents go back to groups of
+    documents. A bucket holds about BUCKET shingles and a group about GROUP documents, whatever their total. What
+    differs in the last 16 bits of its hash only is one shingle here; it is not in the counts of overlaps.
+    """
+    bits = max(4, (max(1, total) // BUCKET).bit_length())
+    rows, keep = _kept(docs, reps.withColumnRenamed("rep", "doc_id"))
+    groups = max(1, reps.count() // GROUP)
+    late = docs.sparkSession.sparkContext.broadcast(hot)
+    shows = lambda n: n - (percent * n + 99) // 100 + 1  # noqa: E731  how many first shingles are a document's head
+
+    def deal(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            for piece in in_slices([keep(batch)]):
+                sets = shingle_sets(texts_of(piece), width)
+                sizes = np.array([len(x) for x in sets])
+                ids = piece.column("doc_id").to_numpy(zero_copy_only=False)
+                tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+                after, extra = np.zeros(len(sets), dtype=np.int64), [np.empty(0, dtype=np.int64)] * 4
+                if len(late.value):
+                    place = np.searchsorted(late.value, tokens).clip(max=len(late.value) - 1)
+                    is_hot = late.value[place] == tokens
+                    after = np.bincount(owner[is_hot], minlength=len(sets))
+                    places, whose = place[is_hot], owner[is_hot]  # by document, in the order of `hot`
+                    rank = np.arange(len(whose)) - np.repeat(np.cumsum(after) - after, after)
+                    pos = sizes[whose] - after[whose] + rank
+                    show = pos < shows(sizes[whose])
+                    extra = [ids[whose[show]], sizes[whose[show]], -1 - pos[show], -1 - places[show]]
+                    tokens, owner = tokens[~is_hot], owner[~is_hot]
+                bucket = (tokens >> np.uint64(64 - bits)).astype(np.int32)
+                if not len(bucket) and len(extra[0]):
+                    yield row(0, ids[:0], sizes[:0], after[:0], sizes[:0], b"", extra)
+                order = np.argsort(bucket, kind="stable")
+                tokens, owner, bucket = tokens[order], owner[order], bucket[order]
+                keys = ((tokens << np.uint64(bits)) >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+                starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+                for a, b in zip(starts.tolist(), np.append(starts[1:], len(bucket)).tolist(), strict=True):
+                    runs = np.flatnonzero(np.diff(owner[a:b], prepend=-1))
+                    held = owner[a:b][runs]
+                    yield row(bucket[a], ids[held], sizes[held], after[held], np.diff(np.append(runs, b - a)), keys[a:b].tobytes(), extra)
+                    extra = [np.empty(0, dtype=np.int64)] * 4
+
+    def row(bucket, ids, sizes, after, counts, keys, extra):
+        lists = [pa.array([x], pa.list_(pa.int64())) for x in (ids, sizes, after, counts)]
+        more = [pa.array([x], pa.list_(pa.int64())) for x in extra]
+        return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), *lists, pa.array([keys], pa.binary()), *more], names=names_dealt)
+
+    def count(table: pa.Table) -> pa.Table:
+        flat = lambda name: table[name].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        counts = flat("counts")
+        docs_, sizes, after = (np.repeat(flat(n), counts) for n in ("ids", "sizes", "after"))
+        packed = np.frombuffer(b"".join(table["keys"].to_pylist()), np.uint8).reshape(-1, 6)
+        keys = np.zeros((len(packed), 8), dtype=np.uint8)
+        keys[:, :6] = packed
+        order = np.lexsort((docs_, keys.view("<u8").ravel()))
+        keys, docs_, sizes, after = keys.view("<u8").ravel()[order], docs_[order], sizes[order], after[order]
+        again = np.concatenate([[False], (keys[1:] == keys[:-1]) & (docs_[1:] == docs_[:-1]) & (sizes[1:] == sizes[:-1])])
+        keys, docs_, sizes, after = keys[~again], docs_[~again], sizes[~again], after[~again]
+        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, int)
+        frequency = np.diff(np.append(starts, len(keys)))
+        df = np.repeat(frequency, frequency)
+        several = df > 1
+        names = ((table["bucket"][0].as_py() << 48) | keys[several].astype(np.int64))
+        # Hot shingles have their place already, which stands for the frequency as a negative number.
+        late_docs, late_sizes, late_pos, late_names = (flat(n) for n in names_dealt[-4:])
+        columns = [
+            np.concatenate(x) for x in ((docs_[several], late_docs), (sizes[several], late_sizes), (after[several], 0 * late_docs), (df[several], late_pos), (names, late_names))
+        ]
+        group = (mix(columns[0].astype(np.int64).view(np.uint64)) % np.uint64(groups)).astype(np.int64)
+        order = np.argsort(group, kind="stable")
+        group, columns = group[order], [c[order] for c in columns]
+        starts = np.flatnonzero(np.diff(group, prepend=-1))
+        parts = [[c for c in np.split(x, starts[1:])] if len(starts) else [] for x in columns]
+        return pa.table({"g": pa.array(group[starts], pa.int64()), **{n: pa.array(x, pa.list_(pa.int64())) for n, x in zip(names_counted, parts, strict=True)}})
+
+    def heads(table: pa.Table) -> pa.Table:
+        columns = [table[n].combine_chunks().flatten().to_numpy(zero_copy_only=False) for n in names_counted]
+        placed = columns[3] < 0
+        late_docs, late_sizes, _, late_pos, late_names = (c[placed] for c in columns)
+        docs_, sizes, after, df, names = (c[~placed] for c in columns)
+        order = np.lexsort((names, df, sizes, docs_))
+        docs_, sizes, after, names = docs_[order], sizes[order], after[order], names[order]
+        starts = np.flatnonzero(np.concatenate([[True], (docs_[1:] != docs_[:-1]) | (sizes[1:] != sizes[:-1])])) if len(docs_) else np.empty(0, int)
+        held = np.diff(np.append(starts, len(docs_)))
+        pos = np.arange(len(docs_)) - np.repeat(starts, held) + sizes - after - np.repeat(held, held)
+        shown = pos < shows(sizes)
+        out = (names[shown], late_names), (docs_[shown], late_docs), (sizes[shown], late_sizes), (pos[shown], -1 - late_pos)
+        return pa.table({n: np.concatenate(x) for n, x in zip(("token", "rep", "n", "pos"), out, strict=True)})
+
+    names_counted = ["docs", "sizes", "after", "df", "names"]
+    names_dealt = ["bucket", "ids", "sizes", "after", "counts", "keys", "late_docs", "late_sizes", "late_pos", "late_names"]
+    lists = lambda names: ", ".join(f"{n} array<long>" for n in names)
+    dealt = rows.mapInArrow(deal, f"bucket int, {lists(names_dealt[1:5])}, keys binary, {lists(names_dealt[6:])}")
+    counted = dealt.groupBy("bucket").applyInArrow(count, f"g long, {lists(names_counted)}")
+    return counted.groupBy("g").applyInArrow(heads, "token long, rep long, n long, pos long")
 
 
 def token_fragments(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """doc_id, s1, n, f, tokens: the fragments for counting of the documents whose ids are in `wanted`, and of few others."""
-    words = bloom_filter(wanted, "doc_id", FILTER_BITS)
-    shared = docs.sparkSession.sparkContext.broadcast(words)
+    rows_, keep = _kept(docs, wanted)
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            places = [batch.column(f"_b{i}").to_numpy(zero_copy_only=False) for i in range(3)]
-            kept = batch.filter(pa.array(in_filter(shared.value, places)))
-            for piece in in_slices([kept]):
+            for piece in in_slices([keep(batch)]):
                 ids, owners, sizes, at, parts = piece.column("doc_id").to_pylist(), [], [], [], []
                 rows = []
                 for doc, tokens in zip(ids, shingle_sets(texts_of(piece), width), strict=True):
@@ -171,10 +249,7 @@ def token_fragments(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame
                         names=["doc_id", "s1", "n", "f", "tokens"],
                     )
 
-    key = F.col("doc_id").cast("long")
-    return docs.where(F.col("doc_id").isNotNull()).select(key.alias("doc_id"), "text", *bloom_positions(key, FILTER_BITS)).mapInArrow(
-        run, "doc_id long, s1 long, n long, f int, tokens array<long>"
-    )
+    return rows_.mapInArrow(run, "doc_id long, s1 long, n long, f int, tokens array<long>")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -206,34 +281,42 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Da
     """
     if not 50 < percent <= 100:
         raise ValueError("percent must be over 50 and at most 100")
-    sets = materialise(shingle_table(docs, width, percent))
+    sets = materialise(shingle_table(docs, width))
     full = sets.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     copies = full.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
-    members = materialise(full.select("doc_id", "n", "s1", "s2").join(copies, ["n", "s1", "s2"]).select("doc_id", "rep", "n"))
-    reps = members.where("doc_id = rep").select("rep").distinct()
-    shown = full.join(reps, F.col("doc_id") == F.col("rep")).select("rep", F.explode("sigs").alias("sig"))
-    groups = shown.groupBy("sig").agg(F.min("rep").alias("head"), F.max("rep").alias("last"), F.count("*").alias("k")).where("head < last")
-    shared = materialise(shown.join(groups.select("sig", "head", "k").hint("shuffle_hash"), "sig"))
-    pairs = materialise(shared.where("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct())
+    members = materialise(full.join(copies, ["n", "s1", "s2"]).select("doc_id", "rep", "n"))
+    reps = members.where("doc_id = rep").groupBy("rep").agg(F.sum("n").alias("n"))
+    total = reps.agg(F.sum("n")).first()[0] or 0
+    hot = frequent_shingles(sets)
+    shown = materialise(shown_shingles(docs, reps.select("rep"), hot, total, width, percent))
+    groups = shown.groupBy("token").agg(F.min(F.struct("rep", "n", "pos")).alias("head"), F.max("rep").alias("last"), F.count("*").alias("k"))
+    shared = materialise(shown.join(groups.where("head.rep < last").select("token", "head", "k"), "token"))
+
+    def may_link(na, pa_, nb, pb):
+        """From their places in both sequences on, two sets can still share as much as a link takes."""
+        need = percent * (F.col(na) + F.col(nb))
+        return ((100 + percent) * (F.col(na) - F.col(pa_)) >= need) & ((100 + percent) * (F.col(nb) - F.col(pb)) >= need)
+
+    star = shared.where(F.col("rep") != F.col("head.rep")).where(may_link("n", "pos", "head.n", "head.pos"))
+    pairs = materialise(star.select(F.col("head.rep").alias("a"), F.col("rep").alias("b")).distinct())
     links = materialise(verified(pairs, docs, width, percent))
     versions = members.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("a", "b")
     links = links.union(versions)
     near = materialise(connected_components(links))
 
-    several = shared.where("k > 2").select("sig", "rep").join(near.select(F.col("v").alias("rep"), "component"), "rep", "left")
-    several = several.select("sig", "rep", F.coalesce("component", "rep").alias("c"))
-    mixed = several.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("sig")
-    mixed = materialise(several.join(mixed.hint("shuffle_hash"), "sig"))
-    rest = (
-        mixed.select("sig", F.col("rep").alias("a"), F.col("c").alias("ca"))
-        .join(mixed.select("sig", F.col("rep").alias("b"), F.col("c").alias("cb")), "sig")
-        .where("a < b and ca <> cb").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-    )
+    several = shared.where("k > 2").select("token", "rep", "n", "pos").join(near.select(F.col("v").alias("rep"), "component"), "rep", "left")
+    several = several.select("token", "rep", "n", "pos", F.coalesce("component", "rep").alias("c"))
+    mixed = several.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("token")
+    mixed = materialise(several.join(mixed, "token"))
+    left, right = (mixed.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("rep", "n", "pos", "c")]) for x in "ab")
+    rest = left.join(right, "token").where("rep_a < rep_b and c_a <> c_b").where(may_link("n_a", "pos_a", "n_b", "pos_b"))
+    rest = rest.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
     rest = materialise(rest)
-    remove_stage(shared)
     if not rest.isEmpty():
         links = materialise(links.union(verified(rest, docs, width, percent)))
         near = materialise(connected_components(links))
+    for stage in (shown, shared, mixed, rest, pairs):
+        remove_stage(stage)
     classes = members.select("doc_id", "rep").distinct().join(near.withColumnRenamed("v", "rep"), "rep", "left")
     classes = classes.groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
     return (
