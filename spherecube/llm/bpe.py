@@ -120,25 +120,28 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         if len(self.after) + len(self.alone) > MAX_CACHE:
             self.after, self.alone = {}, {}
-        plans, new_after, new_alone = [], set(), set()
+        plans, new_after, new_alone, known = [], set(), set(), self.after.get
         for text in texts:
-            first, *rest = (text or "").split(" ")
-            unseen = {c for c in set(rest) if c not in self.after}
+            rest = (text or "").split(" ")
+            first = rest.pop(0)
+            found = list(map(known, rest))
+            unseen = {c for c, ids in zip(rest, found, strict=True) if ids is None} if None in found else ()
             odd = any(not c or c[0].isspace() or c[-1].isspace() for c in unseen) or (rest and (not first or first[-1].isspace()))
             if odd:
-                first, rest, unseen = None, CUT.split(text), set()
+                first, rest = None, CUT.split(text)
                 new_alone.update(c for c in rest if c not in self.alone)
-            elif first:
-                new_alone.add(first) if first not in self.alone else None
-            new_after |= unseen
-            plans.append((first, rest, odd))
+            else:
+                new_after.update(unseen)
+                if first and first not in self.alone:
+                    new_alone.add(first)
+            plans.append((first, rest, self.alone if odd else self.after, None if odd or unseen else found))
         self._learn(list(new_after))
         alone = list(new_alone)
         self.alone.update(zip(alone, self._several(alone) if alone else [], strict=True))
         out = []
-        for first, rest, odd in plans:
-            ids = map((self.alone if odd else self.after).__getitem__, rest)
-            out.append(np.frombuffer((self.alone[first] if first else b"") + b"".join(ids), dtype="<i4"))
+        for first, rest, memory, found in plans:
+            ids = b"".join(found if found is not None else map(memory.__getitem__, rest))
+            out.append(np.frombuffer(self.alone[first] + ids if first else ids, dtype="<i4"))
         for memory, new in ((self.after, new_after), (self.alone, new_alone)):
             for c in new:
                 if len(c) > MAX_CUT:
