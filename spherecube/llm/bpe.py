@@ -233,7 +233,7 @@ def decoded(docs: DataFrame, ids: str = "ids", name: str = "bytes", vocabulary:
 
 def readable(name: str | Column) -> Column:
     """Decoded bytes as text; bytes of a character cut off become the replacement character."""
-    return F.decode(F.col(name) if isinstance(name, str) else name, F.lit("UTF-8"))
+    return F.make_valid_utf8((F.col(name) if isinstance(name, str) else name).cast("string"))
 
 
 def round_trip(docs: DataFrame, vocabulary: Vocabulary | None = None) -> DataFrame:

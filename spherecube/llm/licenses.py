@@ -24,8 +24,8 @@ REACH = 24
 
 #: Names of licenses as they are written in prose: the label and a pattern of normalised words, most specific first.
 NAMES = [
-    ("apache-2.0", r"apache(?: software)?", r"(?: version| v)? 2(?: 0)?"),
-    ("apache-1.1", r"apache(?: software)?", r"(?: version| v)? 1 1"),
+    ("apache-2.0", r"apache(?: software)?", r"(?: version| v)? v?2(?: 0)?"),
+    ("apache-1.1", r"apache(?: software)?", r"(?: version| v)? v?1 1"),
     ("apache", r"apache(?: software)?", r""),
     ("mit", r"(?:mit|expat|x11)", r""),
     ("mit-0", r"mit no attribution", r""),
@@ -34,22 +34,22 @@ NAMES = [
     ("bsd-4-clause", r"(?:bsd 4 clause|original bsd)", r""),
     ("bsd-0-clause", r"(?:bsd zero clause|0bsd|bsd 0 clause)", r""),
     ("bsd", r"bsd(?: style)?", r""),
-    ("agpl-3.0", r"(?:gnu )?affero general public", r"(?: version| v)? 3(?: 0)?"),
+    ("agpl-3.0", r"(?:gnu )?affero general public", r"(?: version| v)? v?3(?: 0)?"),
     ("agpl", r"(?:gnu )?affero general public", r""),
-    ("lgpl-3.0", r"(?:gnu )?lesser general public", r"(?: version| v)? 3(?: 0)?"),
-    ("lgpl-2.1", r"(?:gnu )?lesser general public", r"(?: version| v)? 2 1"),
-    ("lgpl-2.0", r"(?:gnu )?library general public", r"(?: version| v)? 2(?: 0)?"),
+    ("lgpl-3.0", r"(?:gnu )?lesser general public", r"(?: version| v)? v?3(?: 0)?"),
+    ("lgpl-2.1", r"(?:gnu )?lesser general public", r"(?: version| v)? v?2 1"),
+    ("lgpl-2.0", r"(?:gnu )?library general public", r"(?: version| v)? v?2(?: 0)?"),
     ("lgpl", r"(?:gnu )?(?:lesser|library) general public", r""),
-    ("gpl-3.0", r"(?:gnu )?general public", r"(?: as published by the free software foundation either)?(?: version| v)? 3(?: 0)?"),
-    ("gpl-2.0", r"(?:gnu )?general public", r"(?: as published by the free software foundation either)?(?: version| v)? 2(?: 0)?"),
-    ("gpl-1.0", r"(?:gnu )?general public", r"(?: as published by the free software foundation either)?(?: version| v)? 1(?: 0)?"),
+    ("gpl-3.0", r"(?:gnu )?general public", r"(?: as published by the free software foundation either)?(?: version| v)? v?3(?: 0)?"),
+    ("gpl-2.0", r"(?:gnu )?general public", r"(?: as published by the free software foundation either)?(?: version| v)? v?2(?: 0)?"),
+    ("gpl-1.0", r"(?:gnu )?general public", r"(?: as published by the free software foundation either)?(?: version| v)? v?1(?: 0)?"),
     ("gpl", r"(?:gnu )?general public", r""),
     ("gfdl", r"(?:gnu )?free documentation", r""),
-    ("mpl-2.0", r"mozilla public", r"(?: version| v)? 2(?: 0)?"),
-    ("mpl-1.1", r"mozilla public", r"(?: version| v)? 1 1"),
+    ("mpl-2.0", r"mozilla public", r"(?: version| v)? v?2(?: 0)?"),
+    ("mpl-1.1", r"mozilla public", r"(?: version| v)? v?1 1"),
     ("mpl", r"mozilla public", r""),
-    ("epl-2.0", r"eclipse public", r"(?: version| v)? 2(?: 0)?"),
-    ("epl-1.0", r"eclipse public", r"(?: version| v)? 1(?: 0)?"),
+    ("epl-2.0", r"eclipse public", r"(?: version| v)? v?2(?: 0)?"),
+    ("epl-1.0", r"eclipse public", r"(?: version| v)? v?1(?: 0)?"),
     ("epl", r"eclipse public", r""),
     ("eupl", r"european union public", r""),
     ("cddl", r"common development and distribution", r""),

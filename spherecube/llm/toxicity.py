@@ -19,8 +19,9 @@ from spherecube.runtime import materialise
 from .common import in_slices, is_fold
 from .words import BYTES, LOWER, ODD, mix, texts_of, word_hashes
 
-#: Bounds of the samples the classifiers are fitted on, and of what each of them looks at.
-MAX_TOXIC, MAX_UNLABELLED, MAX_WORDS = 4000, 8000, 2048
+#: Bounds of the samples the classifiers are fitted on and of the features, and by how many standard errors a feature's
+#: rates must differ between the two samples.
+MAX_TOXIC, MAX_UNLABELLED, MAX_WORDS, LEAST_Z = 4000, 8000, 2048, 3.0
 BAGS, STEPS, RATE, DECAY = 3, 300, 0.1, 2e-4
 
 #: Beginnings of words that are features like the words, and how rare a feature may be to count as dense in a text.
@@ -119,7 +120,8 @@ def fit(docs: DataFrame, known: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         (F.sum(F.col("toxic").cast("double")) / sizes[True]).alias("t"), (F.sum((~F.col("toxic")).cast("double")) / sizes[False]).alias("u")
     )
     spread = F.sqrt((F.col("t") + 1 / sizes[True]) / sizes[True] + (F.col("u") + 1 / sizes[False]) / sizes[False])
-    best = rates.orderBy(F.desc(F.abs(F.col("t") - F.col("u")) / spread), "w").select("w").limit(MAX_WORDS).collect()
+    rates = rates.withColumn("z", F.abs(F.col("t") - F.col("u")) / spread).where(F.col("z") >= LEAST_Z)  # not by chance
+    best = rates.orderBy(F.desc("z"), "w").select("w").limit(MAX_WORDS).collect()
     words = np.sort(np.array([r["w"] for r in best], dtype=np.int64))
 
     def train(key, rows: pd.DataFrame) -> pd.DataFrame:
@@ -127,8 +129,9 @@ def fit(docs: DataFrame, known: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         features, counts = [], []
         for found in rows["words"]:
             found = np.asarray(found, dtype=np.int64)
-            at = np.searchsorted(words, found).clip(max=len(words) - 1)
-            features.append(at[words[at] == found])
+            at = np.searchsorted(words, found)
+            at = at[at < len(words)] if not len(words) else at.clip(max=len(words) - 1)
+            features.append(at[words[at] == found[: len(at)]])
             counts.append(len(features[-1]))
         x = np.concatenate(features).astype(np.int64), np.concatenate([[0], np.cumsum(counts)])
         return pd.DataFrame({"bag": [key[0]], "w": [fit_nnpu(x, rows["toxic"].to_numpy(bool), len(words), prior)]})
