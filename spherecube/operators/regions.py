@@ -10,13 +10,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spherecube.runtime import materialise
+
 from .keys import require
 
 LEAF_LEVEL = 3
 
-# Up to this many datasets their levels are computed first and sent along; beyond, they are joined.
-FEW_DATASETS = 10_000
-
 
 def region_parents(levels: DataFrame) -> DataFrame:
     """(geo, level) -> (geo3, geo2, geo1, geo0) of the leaf regions."""
@@ -73,12 +72,6 @@ def expand_to_children_right(df: DataFrame, regions: DataFrame, level: int) -> D
     return expand_to_children(df, regions, level).unionByName(childless, allowMissingColumns=True)
 
 
-def _known_if_few(levels: DataFrame) -> DataFrame:
-    """The level of every dataset as a local table if there are few datasets, which spares shuffling them by name."""
-    rows = levels.limit(FEW_DATASETS + 1).collect()
-    return levels.sparkSession.createDataFrame(rows, levels.schema) if len(rows) <= FEW_DATASETS else levels
-
-
 def resample_space(
     df: DataFrame, regions: DataFrame, levels: DataFrame, level_policy: str = "majority", by: Sequence[str] = ()
 ) -> DataFrame:
@@ -86,17 +79,21 @@ def resample_space(
 
     `majority`: the most frequent level decides; a leaf-level dataset is passed on as it is, of others only the rows of
     the deciding level are repeated for their leaves. `finest`: the finest level present decides, only its rows count,
-    and leaves without a value appear with NULL.
+    and leaves without a value appear with NULL. A dataset none of whose codes is known is an error.
     """
     choose = {"majority": majority_level, "finest": infer_level}[level_policy]
-    chosen = _known_if_few(choose(df, levels, by)).withColumnRenamed("level", "_level")
-    chosen = require(chosen, F.col("_level").between(0, LEAF_LEVEL), "region level not between 0 and 3")
-    placed = df.join(chosen, list(by)) if by else df.withColumn("_level", chosen.scalar())
+    chosen = choose(df, levels, by).withColumnRenamed("level", "_level")
+    if by:
+        chosen = df.select(*by).distinct().join(chosen, list(by), "left")
+    chosen = require(chosen, F.col("_level").between(0, LEAF_LEVEL), "a dataset without known region codes, or a region level not between 0 and 3")
+    chosen = materialise(chosen)  # a stored table has a size by which Spark decides whether to send it along
+    placed = df.join(chosen, list(by)) if by else df.withColumn("_level", chosen.select("_level").scalar())
     tree = ancestors(regions).withColumnRenamed("level", "_level")
 
-    below = placed.join(tree, (F.col("geo") == F.col("parent")) & (placed["_level"] == tree["_level"]), "left")
-    leaf_rows = placed["_level"] == LEAF_LEVEL
-    lifted = below.where(leaf_rows | F.col("leaf").isNotNull()).withColumn("geo", F.coalesce("leaf", "geo")).select(*df.columns)
+    # Leaf-level rows pass as they are; an inner join with the tree can be split at hot parents on either side.
+    leaf_rows = placed.where(F.col("_level") == LEAF_LEVEL).select(*df.columns)
+    below = placed.join(tree, (F.col("geo") == F.col("parent")) & (placed["_level"] == tree["_level"]))
+    lifted = leaf_rows.unionByName(below.withColumn("geo", F.col("leaf")).select(*df.columns))
     if level_policy == "majority":
         return lifted
 

@@ -131,13 +131,15 @@ def complete_grid(df: DataFrame, *dims: DataFrame) -> DataFrame:
 
 def conform_to_axes(
     series: DataFrame, dim_time: DataFrame, dim_geo: DataFrame, fill: float | None = None,
-    order: Sequence[str] = ("values",),
+    order: Sequence[str] | None = None,
 ) -> DataFrame:
     """Every variable of (var, geo, time, values) on the full (label, ord) axes.
 
-    Rows off the axes are dropped, of several rows for one cell the first under `order` counts, absent cells are added,
-    and missing values become `fill`.
+    Rows off the axes are dropped, of several rows for one cell the first under `order` counts (by default the smallest
+    value that is not missing), absent cells are added, and missing values become `fill`.
     """
+    ranks = list(order) if order else [F.col("values").isNull() | F.isnan("values"), "values"]
+    order = order or ()
     times, geos = dim_time.select(F.col("label").alias("time")), dim_geo.select(F.col("label").alias("geo"))
     on_axes = (
         series.select("var", "geo", "time", "values", *[c for c in order if c not in ("var", "geo", "time", "values")])
@@ -145,7 +147,7 @@ def conform_to_axes(
         .join(times, "time", "left_semi")
         .join(geos, "geo", "left_semi")
     )
-    cells = first_per_key(on_axes, ["var", "geo", "time"], order).select("var", "geo", "time", "values")
+    cells = first_per_key(on_axes, ["var", "geo", "time"], ranks).select("var", "geo", "time", "values")
     full = complete_grid(cells, series.select("var").distinct(), times, geos)
     return full if fill is None else full.withColumn("values", F.coalesce("values", F.lit(fill)))
 

@@ -74,4 +74,9 @@ def cube_from_arrays(rows: DataFrame, time_col: str, array_col: str, dim_geo: Da
 
 
 def literal_table(spark: SparkSession, rows: Sequence[tuple], schema) -> DataFrame:
-    return spark.createDataFrame(list(rows), schema)
+    """A few rows as a part of the plan, so that their size is known and a join can send them along."""
+    empty = spark.createDataFrame([], schema)
+    if not rows:
+        return empty
+    row = lambda r: F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r, empty.schema, strict=True)])
+    return spark.sql("SELECT 1").select(F.inline(F.array(*map(row, rows))))

@@ -75,6 +75,12 @@ def test_majority_level(tree, mixed, rows):
     assert rows(out) == [("XA111", "t", 1.0), ("XA112", "t", 1.0), ("XA121", "t", 2.0)]
 
 
+def test_dataset_of_unknown_codes_is_an_error(tree, table):
+    df = table("var string, geo string, values double", ("a", "XA11", 1.0), ("b", "YY11", 2.0))
+    with pytest.raises(Exception, match="without known region codes"):
+        regions.resample_space(df, tree, regions.region_levels(tree), by=["var"]).collect()
+
+
 def test_level_tie_goes_to_the_lower_level(tree, table, rows):
     df = table("geo string, values double", ("XA", 1.0), ("XA11", 2.0))
     assert rows(regions.majority_level(df, regions.region_levels(tree))) == [(0,)]
@@ -269,6 +275,13 @@ def test_conform_to_axes(table, rows):
     assert rows(out.where("values <> -9")) == [("v", "A", "1", 2.0)]
 
 
+def test_conform_to_axes_prefers_values(table, rows):
+    series = table("var string, geo string, time string, values double",
+                   ("v", "A", "1", 5.0), ("v", "A", "1", None), ("v", "A", "1", math.nan), ("v", "A", "2", None))
+    times, geos = table("label string, ord int", ("1", 0), ("2", 1)), table("label string, ord int", ("A", 0))
+    assert rows(reshape.conform_to_axes(series, times, geos, fill=-1.0)) == [("v", "A", "1", 5.0), ("v", "A", "2", -1.0)]
+
+
 def test_wide_and_long_are_inverse(table, rows):
     cube = table("geo string, time string, a double, b double", ("A", "1", 1.0, None), ("B", "1", None, None))
     assert rows(reshape.to_wide(reshape.cube_to_long(cube), ["geo", "time"], "var_id", "value", ["a", "b"])) == rows(cube)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spherecube.catalog import frames as fx
 from spherecube.operators import cca, keys, moments, normalize, reshape, timeaxis
+from spherecube.sources import readers
 
 
 def plan(df):
@@ -47,8 +48,16 @@ def test_scaling_needs_no_join_and_no_window(stored):
     assert exchanges(text) == 1 and text.count("Subquery subquery#") >= 1
 
 
-def test_detrending_needs_no_window(stored):
-    assert "Window" not in plan(normalize.detrend(stored, "both"))
+@pytest.mark.parametrize("by", ["season", "year", "both"])
+def test_detrending_is_one_shuffle(stored, by):
+    text = plan(normalize.detrend(stored, by))
+    assert exchanges(text) == 1 and "Join" not in text and text.count("FileScan") == 1
+
+
+def test_literal_tables_need_no_shuffle(spark):
+    few = readers.literal_table(spark, [("a", 1.0), ("b", None)], "k string, v double")
+    assert few.schema.simpleString() == "struct<k:string,v:double>" and few.count() == 2
+    assert exchanges(plan(spark.range(10).selectExpr("cast(id as string) k").join(few, "k"))) == 0
 
 
 def test_scores_need_no_shuffle(stored, model):
