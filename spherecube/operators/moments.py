@@ -6,15 +6,10 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Up to this many features the products of all pairs fit into one generated aggregate (100 fields); above, MLlib sums
-# dense products.
-PAIRWISE_FEATURES = 12
-
 # Relative residual variance below which a feature counts as a combination of others.
 RANK_TOLERANCE = 1e-10
 
@@ -67,36 +62,40 @@ def _sizes(cube: DataFrame, names: Sequence[str]) -> tuple[int, np.ndarray]:
 
 
 def _products(cube: DataFrame, names: Sequence[str], centre: np.ndarray) -> np.ndarray:
-    """Sums of the products of all pairs of features, taken from `centre`."""
-    at = [F.col(c) - F.lit(float(m)) if m else F.col(c) for c, m in zip(names, centre)]
+    """Sums of the products of all pairs of features, taken from `centre`: a p x p matrix by task, summed by entry."""
     p = len(names)
-    sums = cube.agg(*[F.sum(at[i] * at[j]).alias(f"_{i}_{j}") for i in range(p) for j in range(i + 1)]).first()
+
+    def partial(batches):
+        total = np.zeros((p, p))
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]) - centre
+            total += x.T @ x
+        i, j = np.tril_indices(p)
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(total[i, j])], names=["i", "j", "s"])
+
+    columns = cube.select(*[F.col(c).cast("double").alias(f"x{k}") for k, c in enumerate(names)])
+    entries = columns.mapInArrow(partial, "i long, j long, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).collect()
     out = np.zeros((p, p))
-    out[np.tril_indices(p)] = np.array(sums, dtype=float)
-    return out + np.tril(out, -1).T
+    for e in entries:
+        out[e["i"], e["j"]] = out[e["j"], e["i"]] = e["s"]
+    if not np.isfinite(out).all():
+        raise ValueError("features with values that are not finite")
+    return out
 
 
 def cross_moments(cube: DataFrame, features: Sequence[str]) -> Moments:
     """Size, means and covariance matrix of complete features: p x p numbers to the driver.
 
-    Means first, products around them second: two passes over `cube` (three with many features), so pass a stored one.
+    Means first, products around them second: two passes over `cube`, so pass a stored one. Infinite values are an error.
     """
     names = tuple(dict.fromkeys(features))
     n, mean = _sizes(cube, names)
-    if len(names) <= PAIRWISE_FEATURES:
-        return Moments(names, n, mean, _products(cube, names, mean) / (n - 1))
-    sd = np.array(cube.agg(*[F.stddev_samp(c).alias(f"_{k}") for k, c in enumerate(names)]).first(), dtype=float)
-    vectors = VectorAssembler(inputCols=list(names), outputCol="v").transform(cube).select("v")
-    corr = np.nan_to_num(Correlation.corr(vectors, "v").first()[0].toArray())
-    return Moments(names, n, mean, np.where(np.outer(sd > 0, sd > 0), corr * np.outer(sd, sd), 0.0))
+    return Moments(names, n, mean, _products(cube, names, mean) / (n - 1))
 
 
 def gram(df: DataFrame, cols: Sequence[str]) -> np.ndarray:
     """Sums of the products of all pairs of complete columns, not centred."""
-    if len(cols) <= PAIRWISE_FEATURES:
-        return _products(df, cols, np.zeros(len(cols)))
-    m = cross_moments(df, cols)
-    return m.cov * (m.n - 1) + m.n * np.outer(m.mean, m.mean)
+    return _products(df, cols, np.zeros(len(cols)))
 
 
 def _check_complete(n: int, present: dict[str, int]) -> None:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spherecube.catalog import frames as fx
-from spherecube.operators import cca, keys, moments, normalize, reshape, timeaxis
+from spherecube.operators import cca, keys, normalize, reshape, timeaxis
 from spherecube.sources import readers
 
 
@@ -95,12 +95,3 @@ def test_common_keys_of_many_frames_are_one_shuffle(stored):
     frames = [stored.where(F.col(c) > 0) for c in fx.CUBE_FEATURES]
     text = plan(keys.common_observations(frames, ["geo", "time"]))
     assert exchanges(text) == 1 and "Join" not in text
-
-
-def test_products_of_pairs_stay_in_generated_code(stored):
-    names = [f"v{k}" for k in range(moments.PAIRWISE_FEATURES)]
-    wide = stored.select(*[F.coalesce("ship_qty", F.lit(0.0)).alias(c) for c in names])
-    pairs = [(i, j) for i in range(len(names)) for j in range(i + 1)]
-    df = wide.agg(*[F.sum(F.col(names[i]) * F.col(names[j])) for i, j in pairs])
-    df.collect()
-    assert len(pairs) < 100 and re.search(r"\*\(\d+\) HashAggregate\(keys=\[\], functions=\[partial_sum", plan(df))
