@@ -101,7 +101,7 @@ add("csv_roundtrip", "SELECT V1, V2 FROM codes WHERE V1 IS NOT NULL AND V2 IS NO
 add("read_indicators", f"""
 SELECT code, freq, geo, TIME_PERIOD, {V4}, priority, status FROM indicator
 UNION ALL SELECT code, freq, geo, TIME_PERIOD, {V4}, NULL, status FROM indicator_annual""", "indicator", "indicator_annual")
-add("read_region_levels", "SELECT geo, level::INTEGER AS level FROM levels WHERE level < 3", "levels")
+add("read_region_levels", "SELECT geo, level::INTEGER AS level FROM levels", "levels")
 
 _conformed = f"""
 SELECT v.var, g.geo2 AS geo, q.time, {{value}}
@@ -151,10 +151,10 @@ SELECT 'v' AS var, g.geo3 AS geo, s.time, {r('s.v', VALUES, 2)}
 FROM regions g JOIN (SELECT geo{_level} AS code, time, sum(price) AS v FROM sales GROUP BY ALL) s ON s.code = g.geo{_level}""",
         "regions", "sales")
 
-_large = "(SELECT geo2 AS code, time, sum(price) AS v FROM sales WHERE price > 499000 GROUP BY ALL)"
+_some = "(SELECT geo2 AS code, time, sum(price) AS v FROM sales WHERE substr(geo2, 3, 1) <= 'T' GROUP BY ALL)"
 for _name in ("expand_finest_right", "resample_space_finest"):
     add(_name, f"""
-SELECT g.geo3 AS geo, s.time, {r('s.v', VALUES, 2)} FROM regions g LEFT JOIN {_large} s ON s.code = g.geo2""", "regions", "sales")
+SELECT g.geo3 AS geo, s.time, {r('s.v', VALUES, 2)} FROM regions g LEFT JOIN {_some} s ON s.code = g.geo2""", "regions", "sales")
 
 add("resample_space_majority", f"""
 SELECT var, geo, time, {V2} FROM mixed_level m JOIN {_majority} j USING (var) WHERE j.level = 3
@@ -162,13 +162,17 @@ UNION ALL
 SELECT m.var, t.leaf, m.time, {r('m.' + VALUES, VALUES, 2)} FROM mixed_level m JOIN {_majority} j USING (var)
 JOIN tree t ON t.parent = m.geo AND t.level = j.level""", "mixed_level", "levels", "tree")
 
-add("ingest_datasets", f"""
+_ingested = f"""
 SELECT code || '_' || priority || '_' || status AS var, leaf AS geo, {quarter('TIME_PERIOD')} AS time, {V4}
 FROM indicator JOIN tree ON parent = geo AND level = 2
 UNION ALL
 SELECT code || '_' || status, leaf, year(TIME_PERIOD) || '-Q' || q, {V4}
-FROM indicator_annual JOIN tree ON parent = geo AND level = 0 CROSS JOIN (SELECT unnest([1, 2, 3, 4]) AS q)""",
-    "indicator", "indicator_annual", "tree")
+FROM indicator_annual JOIN tree ON parent = geo AND level = 0 CROSS JOIN (SELECT unnest([1, 2, 3, 4]) AS q)"""
+add("ingest_datasets", _ingested, "indicator", "indicator_annual", "tree")
+add("ingest_and_store", f"""
+SELECT v.var, g.geo3 AS geo, q.time, i.{VALUES}
+FROM (SELECT DISTINCT var FROM ({_ingested})) v CROSS JOIN regions g CROSS JOIN {ALL_QUARTERS} q
+LEFT JOIN ({_ingested}) i ON i.var = v.var AND i.geo = g.geo3 AND i.time = q.time""", "indicator", "indicator_annual", "tree")
 
 # --- datasets and catalogue -------------------------------------------------------------------------------------------
 
@@ -346,7 +350,8 @@ SELECT * FROM ({loadings(X, 'x')} UNION ALL {loadings(Y, 'y')}) JOIN features US
 add_cca("trajectories_view", " UNION ALL ".join(f"""
 SELECT geo, time, geo || time AS name, regexp_matches(geo || time, '^R2') AS highlight, '{way}' AS direction,
   {r(score[1], 'CCA1', 8)}, {r(score[2], 'CCA2', 8)} FROM {SCORED}""" for way, score in (("bio-socio", FWD), ("socio-bio", REV))))
-add("map_view_feature", f"""
+for _name in ("map_view_feature", "map_view_label"):
+    add(_name, f"""
 SELECT g.geo3 AS geo, {r('v.ord_value', 'value')}, {r('max(abs(v.ord_value)) OVER ()', 'value_limit')}
 FROM regions g LEFT JOIN (SELECT geo, ord_value FROM order_scaled WHERE time = '1998-Q2') v ON v.geo = g.geo3""",
     "regions", "order_scaled")
@@ -377,8 +382,8 @@ FROM (SELECT {x} AS px, {y} AS py FROM {points}) CROSS JOIN (
 GROUP BY gx, gy"""
 
 
-add("density2d", density("order_scaled", "ord_value", "fin_share", 10, 6, 6), "order_scaled")
-add_cca("density2d_highlight", density(f"(SELECT * FROM {SCORED} WHERE starts_with(geo, 'R1'))", FWD[1], FWD[2], 10, 8, 4))
+add("density2d", density("order_scaled", "ord_value", "fin_share", 100, 6, 6), "order_scaled")
+add_cca("density2d_highlight", density(f"(SELECT * FROM {SCORED} WHERE starts_with(geo, 'R1'))", FWD[1], FWD[2], 100, 8, 4))
 
 add("pca_2", f"""
 SELECT name, {r('sqrt(0.5)', 'PC1')}, CASE name WHEN 'ord_value' THEN {r('sqrt(0.5)', 'PC2').split(' AS ')[0]}
@@ -557,3 +562,13 @@ SELECT id, CASE status WHEN 'F' THEN 'Biosphere' WHEN 'O' THEN 'Atmosphere' ELSE
   {r('CASE WHEN id % 2 = 0 THEN 0.001 ELSE price END', 'nonzero', 3)},
   {r('CASE WHEN price > 300000 THEN ln(price - 300000) ELSE 0 END', 'log_above')}, country || '/' || status AS label
 FROM sales""", "sales")
+
+# --- three-way factors ------------------------------------------------------------------------------------------------
+
+_years = """
+SELECT g.geo, y.time, coalesce(v, 0.0) AS ord_value, coalesce(n, 0.0) AS ord_count
+FROM (SELECT DISTINCT geo3 AS geo FROM sales) g CROSS JOIN (SELECT DISTINCT year(day)::VARCHAR AS time FROM sales) y
+LEFT JOIN (SELECT geo3 AS geo, year(day)::VARCHAR AS time, sum(price) / 1e5 AS v, count(*)::DOUBLE AS n FROM sales GROUP BY ALL) c
+  ON c.geo = g.geo AND c.time = y.time"""
+add("threeway_estimate", f"SELECT geo, time, {rs(['ord_value', 'ord_count'])} FROM ({_years})", "sales")
+add("threeway_core", f"SELECT {r('sum(ord_value ** 2 + ord_count ** 2)', 'squares', 2)} FROM ({_years})", "sales")

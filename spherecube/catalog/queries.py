@@ -211,24 +211,20 @@ def read_indicators(spark, d):
     folder = scratch_path(spark, "indicators")
     for code, df in (("ord_val", fx.indicator(spark, d)), ("ord_avg", fx.indicator_annual(spark, d))):
         df.drop("code").write.parquet(f"{folder}/{code}.parquet")
-    read = sources.read_indicators(spark, folder, ["ord_val", "ord_avg"])
+    read = reshape.union_named(sources.read_indicators(spark, folder), "code")
     return rounded(read.select("code", "freq", "geo", "TIME_PERIOD", "values", "priority", "status"), "values", digits=4)
 
 
 @query
 def read_region_levels(spark, d):
     path = scratch_path(spark, "boundaries")
-    coarse = fx.regions(spark, d).select("geo1", F.inline(F.array(*[
-        F.struct(F.col(f"geo{k}").alias("geo"), F.lit(k).alias("level")) for k in (2, 1, 0)
-    ]))).distinct()
-    feature = F.struct(F.lit("Feature").alias("type"), F.struct(
-        F.col("geo").alias("NUTS_ID"), F.col("level").alias("LEVL_CODE")
-    ).alias("properties"))
-    # A document per nation, which has a few segments.
-    documents = coarse.groupBy("geo1").agg(F.collect_list(feature).alias("features")).select(
-        "geo1", F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), "features")).alias("value")
-    )
-    documents.write.partitionBy("geo1").text(path)
+    levels = regions.region_levels(fx.regions(spark, d))
+    nested = keys.nest_by(levels.withColumn("all", F.lit(0)), ["all"], ["geo"])  # documents of about 1000 regions
+    features = F.transform("rows", lambda g: F.struct(F.lit("Feature").alias("type"), F.struct(
+        g["geo"].alias("NUTS_ID"), g["level"].alias("LEVL_CODE")
+    ).alias("properties")))
+    documents = nested.select("chunk", F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), features.alias("features"))).alias("value"))
+    documents.write.partitionBy("chunk").text(path)
     return sources.read_region_levels(spark, [path])
 
 
@@ -330,16 +326,16 @@ def expand_level0(spark, d):
     return regions.expand_to_children(data, fx.regions(spark, d), 0)
 
 
-def _large_segments(spark, d):
-    """Cells of segments only where a large order was placed, so that some segments have none."""
-    return fx.sales(spark, d).where(F.col("price") > 499_000).groupBy(F.col("geo2").alias("geo"), "time").agg(
+def _some_segments(spark, d):
+    """Cells of the segments of four in five nations, so that the segments of the others have none."""
+    return fx.sales(spark, d).where(F.substring("geo2", 3, 1) <= "T").groupBy(F.col("geo2").alias("geo"), "time").agg(
         F.sum("price").alias("values")
     )
 
 
 @query
 def expand_finest_right(spark, d):
-    out = regions.expand_to_children_right(_large_segments(spark, d), fx.regions(spark, d), 2)
+    out = regions.expand_to_children_right(_some_segments(spark, d), fx.regions(spark, d), 2)
     return rounded(out.select("geo", "time", "values"), "values", digits=2)
 
 
@@ -353,7 +349,7 @@ def resample_space_majority(spark, d):
 @query
 def resample_space_finest(spark, d):
     tree = fx.regions(spark, d)
-    data = _large_segments(spark, d).unionByName(fx.at_level(spark, d, 0, "v").drop("var"))
+    data = _some_segments(spark, d).unionByName(fx.at_level(spark, d, 0, "v").drop("var"))
     return rounded(regions.resample_space(data, tree, regions.region_levels(tree), "finest"), "values", digits=2)
 
 
@@ -365,6 +361,23 @@ def ingest_datasets(spark, d):
     return cubes.ingest(exact, tree, regions.region_levels(tree))
 
 
+@query
+def ingest_and_store(spark, d):
+    """Reader, profile, ingest and stored cube, over datasets of different breakdown columns, frequency and level."""
+    folder = scratch_path(spark, "indicators")
+    for code, df in (("ord_val", fx.indicator(spark, d)), ("ord_avg", fx.indicator_annual(spark, d))):
+        df.drop("code").write.parquet(f"{folder}/{code}.parquet")
+    tables = sources.read_indicators(spark, folder)
+    tree = fx.regions(spark, d)
+    levels = regions.region_levels(tree)
+    known = datasets.dataset_profile(tables, levels).where("level is not null").collect()  # a row per dataset
+    path = cubes.ingest_and_store(
+        {r["code"]: tables[r["code"]] for r in known}, tree, levels, fx.dim_time(spark, d), fx.dim_geo(spark, d),
+        scratch_path(spark, "cube"),
+    )
+    return rounded(sources.read_cube(spark, path), "values", digits=4)
+
+
 # --- datasets and catalogue -------------------------------------------------------------------------------------------
 
 
@@ -625,6 +638,14 @@ def map_view_feature(spark, d):
     return rounded(out, "value", "value_limit")
 
 
+@query
+def map_view_label(spark, d):
+    """The same by the label a user picks."""
+    tree = fx.regions(spark, d).select(F.col("geo3").alias("geo"))
+    var_id = views.chosen_variable(fx.catalog(spark), "Value")
+    return rounded(views.map_view(tree, fx.order_cube(spark, d), None, var_id, "1998-Q2"), "value", "value_limit")
+
+
 @query
 def map_view_score(spark, d):
     cube, model = _model(spark, d)
@@ -645,7 +666,7 @@ def timeseries_view(spark, d):
 @query
 def density2d(spark, d):
     cube = materialise(fx.order_cube(spark, d))
-    return rounded(density.density2d(cube, "ord_value", "fin_share", grid_n=10), "x", "y", "density")
+    return rounded(density.density2d(cube, "ord_value", "fin_share"), "x", "y", "density")
 
 
 @query
@@ -653,13 +674,13 @@ def density2d_highlight(spark, d):
     """Density of the highlighted scores only."""
     cube, model = _model(spark, d)
     chosen = cca.cca_scores(cube, model).where(views.highlighted(united(*KEYS), "^R1"))
-    out = density.density2d(chosen, "CCA1", "CCA2", grid_n=10)
+    out = density.density2d(chosen, "CCA1", "CCA2")
     return rounded(rounded(out, "x", "y", digits=8), "density", digits=4)
 
 
 @query
 def pca_2(spark, d):
-    model = factors.pca_fit(fx.order_cube(spark, d), ["ord_value", "ord_count"])
+    model = factors.pca_fit(materialise(fx.order_cube(spark, d)), ["ord_value", "ord_count"])
     rotation = factors.pca_rotation(spark, model)
     variances = factors.pca_variances(spark, model)
     first = variances.where("component = 1").select("variance").scalar()
@@ -683,10 +704,32 @@ def pca_3(spark, d):
 def threeway_factors(spark, d):
     cube = materialise(normalize.scaled_cube(fx.stored_cube(spark, d)))
     times = [r["time"] for r in fx.quarters(spark, d).sort("ord").collect()]  # the time axis
-    model = factors.threeway_fit(cube, fx.CUBE_FEATURES, times, (2, 2, 2), iterations=2)
+    model = factors.threeway_fit(cube, fx.CUBE_FEATURES, times, (2, 2, 2))
     return rounded(factors.threeway_factors(spark, model), "value")
 
 
+def _yearly_model(spark, d):
+    """Factors of full ranks of the value and number of orders of regions by year."""
+    cells = fx.sales(spark, d).groupBy(F.col("geo3").alias("geo"), F.year("day").cast("string").alias("time")).agg(
+        (F.sum("price") / 1e5).alias("ord_value"), F.count(F.lit(1)).cast("double").alias("ord_count")
+    )
+    times = [r["time"] for r in fx.quarters(spark, d).select(F.substring("time", 1, 4).alias("time")).distinct().sort("time").collect()]
+    return factors.threeway_fit(cells, ["ord_value", "ord_count"], times, (2 * len(times), 2, len(times)))
+
+
+@query
+def threeway_estimate(spark, d):
+    """Factors of full ranks give back the cube."""
+    return rounded(factors.threeway_estimate(_yearly_model(spark, d)), "ord_value", "ord_count")
+
+
+@query
+def threeway_core(spark, d):
+    """A core of full ranks holds the whole sum of squares."""
+    core = factors.threeway_core(spark, _yearly_model(spark, d))
+    return rounded(core.agg(F.sum(F.col("value") ** 2).alias("squares")), "squares", digits=2)
+
+
 # --- country study ----------------------------------------------------------------------------------------------------
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import united
 from ..schema import STABLE
-from .regions import infer_level
+from ..sources.readers import literal_table
 from .reshape import columns_except
 
 
@@ -29,19 +29,23 @@ def count_variables(df: DataFrame, code: str) -> DataFrame:
 
 
 def dataset_profile(datasets: Mapping[str, DataFrame], levels: DataFrame) -> DataFrame:
-    """(code, columns, freq, level, vars) of every dataset: a row each, whatever their size."""
-
-    def profile(code: str, df: DataFrame) -> DataFrame:
-        freq = F.array_join(F.sort_array(F.collect_set("freq")), ",")
-        return df.agg(freq.alias("freq"), F.countDistinct(variable_name(df, code)).alias("vars")).select(
-            F.lit(code).alias("code"),
-            F.lit(",".join(df.columns)).alias("columns"),
-            "freq",
-            infer_level(df, levels).scalar().alias("level"),
-            "vars",
-        )
-
-    return reduce(DataFrame.unionByName, [profile(code, df) for code, df in datasets.items()])
+    """(code, columns, freq, level, vars) of every dataset, a row each also where it is empty.
+
+    Every table is read once: its distinct (freq, variable, geo), far fewer than its rows, are all a profile needs. The
+    level is the finest one that occurs.
+    """
+    described = [
+        df.select(F.lit(code).alias("code"), "freq", variable_name(df, code).alias("var"), "geo") for code, df in datasets.items()
+    ]
+    facts = reduce(DataFrame.unionByName, described).distinct().join(levels, "geo", "left").groupBy("code").agg(
+        F.array_join(F.sort_array(F.collect_set("freq")), ",").alias("freq"),
+        F.max("level").alias("level"),
+        F.countDistinct("var").alias("vars"),
+    )
+    columns = literal_table(levels.sparkSession, [(c, ",".join(df.columns)) for c, df in datasets.items()], "code string, columns string")
+    return columns.join(facts, "code", "left").select(
+        "code", "columns", F.coalesce("freq", F.lit("")).alias("freq"), "level", F.coalesce("vars", F.lit(0)).alias("vars")
+    )
 
 
 def metadata_join(profiles: DataFrame, titles: DataFrame) -> DataFrame:

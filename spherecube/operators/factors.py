@@ -6,12 +6,16 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import materialise
 from .cca import combination
-from .moments import cross_moments, gram, oriented_signs
+from .moments import cross_moments, oriented_signs
+
+# Numbers of a dense piece of regions.
+PIECE = 2_000_000
 
 
 def _leading(matrix: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -81,83 +85,122 @@ def threeway_fit(
 
     `times` is the time axis; feature and time mode are short, so their Gram matrices reach the driver. The geo mode is
     long: no region-by-region matrix is ever formed. With both short modes projected, a region is a handful of numbers,
-    and its factor is a linear combination of these. Missing values count as zero. One iteration reads `cube` twice, so
-    pass a stored or materialised one.
+    and its factor is a linear combination of these. Missing values count as zero. `cube` is read and shuffled once, into
+    a stored table of one row per region; an iteration is one reading of that table.
     """
-    spark = cube.sparkSession
     p, q, r = ranks
     features, times = tuple(features), tuple(times)
     if q > len(features) or r > len(times) or p > q * r:
         raise ValueError(f"ranks {ranks} exceed the modes")
-    cols = [f"x{k}" for k in range(len(features))]
-    x = cube.where(F.col("time").isin(*times)).select("geo", "time", *[
-        F.coalesce(F.col(f"`{f}`").cast("double"), F.lit(0.0)).alias(c) for c, f in zip(cols, features)
-    ])
+    shape = len(times), len(features)
+    regions = materialise(_by_region(cube, features, times))
 
-    by_feature = gram(x, cols)
-    _, b = _leading(by_feature, q)
+    by_feature = _summed(regions, shape, lambda x: x.reshape(-1, shape[1]).T @ x.reshape(-1, shape[1]))
     norm = float(np.trace(by_feature))
-    c = _time_start(x, cols, times, b, r)
+    b = _leading(by_feature, q)[1]
+
+    def time_products(x):
+        scores = (x @ b).transpose(1, 0, 2).reshape(shape[0], -1)
+        return scores @ scores.T
 
+    c = _leading(_summed(regions, shape, time_products), r)[1]
     fit, last = 0.0, -1.0
     for step in range(iterations + 1):
-        # A few numbers per region, used twice: stored rather than computed from the cube again.
-        z = materialise(_project(spark, x, cols, times, b, c))
-        kept = [f"z{k}" for k in range(q * r)]
-        values, v = _leading(gram(z, kept), p)
+        # What the projected regions have in common with the cube: all that the next factors depend on.
+        shared = _summed(regions, shape, lambda x: _projected(x, b, c).T @ x.reshape(len(x), -1)).reshape(q * r, *shape)
+        values, v = _leading(np.einsum("ktf,fq,tr->kqr", shared, b, c).reshape(q * r, q * r), p)
         scale = np.sqrt(np.maximum(values, 0))
         weights = v / np.where(scale > 0, scale, np.inf)
-        geo = z.select("geo", *[combination(kept, weights[:, k]).alias(f"F{k + 1}") for k in range(p)])
         core = (v * scale).T.reshape(p, q, r)
         fit = float(values.sum()) / norm if norm > 0 else 0.0
         # Geo factors and core belong to the b and c they were computed from, so the last pass updates neither.
         if step == iterations or fit - last < tolerance:
             break
         last = fit
-        b, c = _update(x, geo, cols, times, p, q, r, c)
-    return ThreewayModel(geo, features, times, b, c, core, fit)
-
-
-def _time_start(x: DataFrame, cols, times, b: np.ndarray, r: int) -> np.ndarray:
-    q = b.shape[1]
-    scores = x.select("geo", "time", *[combination(cols, b[:, k]).alias(f"s{k}") for k in range(q)])
-    wide = scores.groupBy("geo").agg(*[
-        F.sum(F.when(F.col("time") == t, F.col(f"s{k}")).otherwise(F.lit(0.0))).alias(f"s{k}_{i}")
-        for k in range(q) for i, t in enumerate(times)
-    ])
-    series = wide.select(F.inline(F.array(*[
-        F.struct(*[F.col(f"s{k}_{i}").alias(f"t{i}") for i in range(len(times))]) for k in range(q)
-    ])))
-    names = [f"t{i}" for i in range(len(times))]
-    return _leading(gram(materialise(series), names), r)[1]
-
-
-def _project(spark: SparkSession, x: DataFrame, cols, times, b: np.ndarray, c: np.ndarray) -> DataFrame:
-    """Per region the q x r numbers that remain of it, as columns z0, z1, ..."""
-    q, r = b.shape[1], c.shape[1]
-    weights = spark.createDataFrame(
-        [(t, *map(float, c[i])) for i, t in enumerate(times)],
-        "time string, " + ", ".join(f"c{k} double" for k in range(r)),
-    )
-    scores = x.select("geo", "time", *[combination(cols, b[:, k]).alias(f"s{k}") for k in range(q)])
-    return scores.join(weights, "time").groupBy("geo").agg(*[
-        F.sum(F.col(f"s{j}") * F.col(f"c{k}")).alias(f"z{j * r + k}") for j in range(q) for k in range(r)
-    ])
-
-
-def _update(x: DataFrame, geo: DataFrame, cols, times, p: int, q: int, r: int, weights: np.ndarray):
-    """New feature and time factors, given the geo factors: regions are summed out, features x times numbers remain."""
-    rows = x.join(geo, "geo").groupBy("time").agg(*[
-        F.sum(F.col(f"F{k + 1}") * F.col(c)).alias(f"y{k}_{c}") for k in range(p) for c in cols
-    ]).collect()  # one row per entry of the time axis
-    at = {t: i for i, t in enumerate(times)}
-    y = np.zeros((p, len(cols), len(times)))
-    for row in rows:
-        y[:, :, at[row["time"]]] = np.array(row[1:], dtype=float).reshape(p, len(cols))
-    by_feature = np.einsum("pft,tr->fpr", y, weights).reshape(len(cols), -1)
-    b = _leading(by_feature @ by_feature.T, q)[1]
-    by_time = np.einsum("pft,fq->tpq", y, b).reshape(len(times), -1)
-    return b, _leading(by_time @ by_time.T, r)[1]
+        y = np.einsum("kp,ktf->pft", weights, shared)
+        by_feature = np.einsum("pft,tr->fpr", y, c).reshape(shape[1], -1)
+        b = _leading(by_feature @ by_feature.T, q)[1]
+        by_time = np.einsum("pft,fq->tpq", y, b).reshape(shape[0], -1)
+        c = _leading(by_time @ by_time.T, r)[1]
+
+    def factors(batches):
+        for geo, x in _tensors(batches, shape):
+            yield pa.RecordBatch.from_arrays([geo, *map(pa.array, (_projected(x, b, c) @ weights).T)], names=names)
+
+    names = ["geo", *[f"F{k + 1}" for k in range(p)]]
+    schema = ", ".join([f"geo {dict(regions.dtypes)['geo']}", *[f"{n} double" for n in names[1:]]])
+    return ThreewayModel(regions.mapInArrow(factors, schema), features, times, b, c, core, fit)
+
+
+def _by_region(cube: DataFrame, features: Sequence[str], times: Sequence[str]) -> DataFrame:
+    """(geo, cells): a row per region with the features of each time, as long as the time axis at most."""
+    place = F.create_map(*[F.lit(v) for i, t in enumerate(times) for v in (t, i)])
+    values = F.array(*[F.coalesce(F.col(f"`{f}`").cast("double"), F.lit(0.0)) for f in features])
+    cell = F.struct(place[F.col("time")].alias("t"), values.alias("v"))
+    return cube.where(F.col("time").isin(*times)).groupBy("geo").agg(F.collect_list(cell).alias("cells"))
+
+
+def _tensors(batches, shape: tuple[int, int]):
+    """Regions and their values (region, time, feature), in pieces of bounded size."""
+    step = max(1, PIECE // (shape[0] * shape[1]))
+    for batch in batches:
+        for start in range(0, batch.num_rows, step):
+            part = batch.slice(start, step)
+            lists = part.column("cells")
+            cells = lists.flatten()
+            rows = np.repeat(np.arange(part.num_rows), np.asarray(lists.value_lengths()))
+            x = np.zeros((part.num_rows, *shape))
+            np.add.at(x, (rows, np.asarray(cells.field("t"))), np.asarray(cells.field("v").flatten()).reshape(-1, shape[1]))
+            yield part.column("geo"), x
+
+
+def _projected(x: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The q x r numbers that remain of each region, in a row."""
+    return np.einsum("ntq,tr->nqr", x @ b, c).reshape(len(x), -1)
+
+
+def _summed(regions: DataFrame, shape: tuple[int, int], product) -> np.ndarray:
+    """The sum of `product` over all pieces: each task adds up one matrix, matrices are summed by entry."""
+
+    def partial(batches):
+        total = None
+        for _, x in _tensors(batches, shape):
+            found = product(x)
+            total = found if total is None else total + found
+        if total is not None:
+            i, j = np.indices(total.shape)
+            yield pa.RecordBatch.from_arrays([pa.array(i.ravel()), pa.array(j.ravel()), pa.array(total.ravel())], names=["i", "j", "s"])
+
+    entries = regions.mapInArrow(partial, "i long, j long, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).toPandas()
+    if entries.empty:
+        raise ValueError("no region has a row on the time axis")
+    out = np.zeros((entries["i"].max() + 1, entries["j"].max() + 1))
+    out[entries["i"], entries["j"]] = entries["s"]
+    if not np.isfinite(out).all():
+        raise ValueError("features with values that are not finite")
+    return out
+
+
+def threeway_estimate(model: ThreewayModel) -> DataFrame:
+    """(geo, time, features): the cube that the factors stand for, every region on the whole time axis."""
+    weights = np.einsum("pqr,fq,tr->ptf", model.core, model.b, model.c).reshape(model.core.shape[0], -1)
+    times = list(model.times)
+    n_times, n_features = len(times), len(model.features)
+    step = max(1, PIECE // (n_times * n_features))
+
+    def estimate(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, step):
+                part = batch.slice(start, step)
+                z = np.column_stack([np.asarray(f) for f in part.columns[1:]])
+                values = (z @ weights).reshape(-1, n_features)
+                geo = part.column("geo").take(pa.array(np.repeat(np.arange(part.num_rows), n_times)))
+                time = pa.array(times * part.num_rows, pa.string())
+                yield pa.RecordBatch.from_arrays([geo, time, *map(pa.array, values.T)], names=names)
+
+    names = ["geo", "time", *model.features]
+    schema = ", ".join([f"geo {dict(model.geo.dtypes)['geo']}", "time string", *[f"`{f}` double" for f in model.features]])
+    return model.geo.mapInArrow(estimate, schema)
 
 
 def threeway_factors(spark: SparkSession, model: ThreewayModel) -> DataFrame:

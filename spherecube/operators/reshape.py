@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import united
 from ..schema import KEYS
-from .keys import first_per_key, require
+from .keys import first_per_key, natural_left_chain, require
 
 # Bits of a BIGINT that can mark one feature each.
 _BITS = 62
@@ -124,9 +124,25 @@ def expected_cells(*dims: DataFrame) -> Column:
 
 
 def complete_grid(df: DataFrame, *dims: DataFrame) -> DataFrame:
-    """Add the combinations that do not occur, their other columns NULL."""
-    full = grid(*dims)
-    return full.join(df, full.columns, "left").select(*df.columns)
+    """Add the combinations that do not occur, their other columns NULL; rows off the axes are dropped.
+
+    The last axis has one column and is a short one, such as time. The rows of a combination of the other axes become
+    one row, which is shuffled, and the last axis is laid out afterwards: the dense grid itself is never shuffled.
+    """
+    *others, last = dims
+    if len(last.columns) != 1:
+        raise ValueError("the last axis has one column")
+    name = last.columns[0]
+    keys = [c for d in others for c in d.columns]
+    rest = [c for c in df.columns if c not in (*keys, name)]
+    axis = last.agg(F.collect_list(name)).scalar()  # a short axis
+    rows = df.join(last, name, "left_semi").groupBy(*keys).agg(F.collect_list(F.struct(name, *rest)).alias("_rows"))
+    empty = F.struct(*[F.lit(None).cast(df.schema[c].dataType).alias(c) for c in rest])
+    fields = [empty[c].alias(c) for c in rest]
+    placed = natural_left_chain([grid(*others), rows], keys) if others else rows
+    found = F.coalesce(F.col("_rows"), F.array().cast(rows.schema["_rows"].dataType))
+    absent = F.transform(F.array_except("_axis", F.transform(found, lambda r: r[name])), lambda a: F.struct(a.alias(name), *fields))
+    return placed.withColumn("_axis", axis).select(*keys, F.inline(F.concat(found, absent))).select(*df.columns)
 
 
 def conform_to_axes(
@@ -148,7 +164,7 @@ def conform_to_axes(
         .join(geos, "geo", "left_semi")
     )
     cells = first_per_key(on_axes, ["var", "geo", "time"], ranks).select("var", "geo", "time", "values")
-    full = complete_grid(cells, series.select("var").distinct(), times, geos)
+    full = complete_grid(cells, series.select("var").distinct(), geos, times)
     return full if fill is None else full.withColumn("values", F.coalesce("values", F.lit(fill)))
 
 

@@ -75,6 +75,16 @@ def trajectories_view(cube: DataFrame, model: CcaModel, x_sphere: str, y_sphere:
     return cube.select(*KEYS, name.alias("name"), highlighted(name, pattern).alias("highlight"), F.inline(F.array(*rows)))
 
 
+def chosen_variable(features: DataFrame, name: str) -> str:
+    """The variable behind a label of the catalogue, of several the first by name; a score's name stands for itself."""
+    if name in SCORES:
+        return name
+    found = features.where(F.col("label") == name).agg(F.min("var_id")).first()[0]
+    if found is None:
+        raise ValueError(f"no feature is labelled {name}")
+    return found
+
+
 def map_view(regions: DataFrame, cube: DataFrame, model: CcaModel | None, feature: str, time: str) -> DataFrame:
     """(geo, value, value_limit): a feature or score of one quarter for every region, and its symmetric limit."""
     source = cca_both_scores(cube, model) if feature in SCORES else cube

@@ -36,15 +36,22 @@ def read_csv_dir(spark: SparkSession, path: str | Sequence[str], schema) -> Data
     return spark.read.csv(path, schema=schema, header=True, enforceSchema=False)
 
 
-def read_indicators(spark: SparkSession, path: str, codes: Sequence[str] | None = None) -> DataFrame:
-    """Parquet files of one folder, one per dataset; the file name is the dataset code."""
-    files = f"{path.rstrip('/')}/*.parquet" if codes is None else [f"{path.rstrip('/')}/{c}.parquet" for c in codes]
-    df = spark.read.option("mergeSchema", "true").parquet(*([files] if isinstance(files, str) else files))
-    in_path = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
-    folder = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
-    # Spark writes a dataset as a folder of part files; other tools write a single file.
-    name = F.when(folder.endswith(".parquet"), folder).otherwise(in_path)
-    return df.withColumn("code", F.regexp_replace(name, r"\.parquet$", ""))
+def dataset_codes(spark: SparkSession, path: str) -> list[str]:
+    """Names of the datasets `<code>.parquet` in a folder."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    entries = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(folder)
+    names = [e.getPath().getName() for e in entries]
+    return sorted(n.removesuffix(".parquet") for n in names if n.endswith(".parquet"))
+
+
+def read_indicators(spark: SparkSession, path: str, codes: Sequence[str] | None = None) -> dict[str, DataFrame]:
+    """Parquet datasets of one folder by code, each with its own columns only; a file or a folder `<code>.parquet` each.
+
+    Columns of one dataset never become columns of another: they name its variables.
+    """
+    codes = dataset_codes(spark, path) if codes is None else codes
+    return {c: spark.read.parquet(f"{path.rstrip('/')}/{c}.parquet").withColumn("code", F.lit(c)) for c in codes}
 
 
 def read_region_levels(spark: SparkSession, paths: Sequence[str]) -> DataFrame:

@@ -39,8 +39,12 @@ def test_indicator_files_and_folders(spark, tmp_path, rows):
 
     pd.DataFrame({"geo": ["A"], "values": [1.0]}).to_parquet(tmp_path / "one.parquet")
     spark.createDataFrame([("B", 2.0, "x")], "geo string, values double, age string").write.parquet(str(tmp_path / "two.parquet"))
-    out = sources.read_indicators(spark, str(tmp_path), ["one", "two"])
-    assert rows(out, "code", "geo", "values", "age") == [("one", "A", 1.0, None), ("two", "B", 2.0, "x")]
+    out = sources.read_indicators(spark, str(tmp_path))
+    assert list(out) == ["one", "two"]
+    assert rows(out["one"], "code", "geo", "values") == [("one", "A", 1.0)]
+    assert rows(out["two"], "code", "geo", "values", "age") == [("two", "B", 2.0, "x")]
+    assert "age" not in out["one"].columns
+    assert list(sources.read_indicators(spark, str(tmp_path), ["two"])) == ["two"]
 
 
 def test_csv_folder(spark, tmp_path):
