@@ -175,17 +175,29 @@ def id_lists(ids: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.empty(0, "<i4"), pa.int32()))
 
 
+def encode_texts(encoder: Encoder, texts: pa.Array) -> pa.Array:
+    """Token ids of each text of an Arrow batch, in slices of bounded size."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+    out = [id_lists(encoder.encode(texts.slice(a, b - a).to_pylist())) for a, b in slices(sizes)]
+    return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int32()))
+
+
+def decode_lists(table: list[bytes], lists: pa.Array) -> pa.Array:
+    """The bytes of each list of ids of an Arrow batch; null lists stand for none, an unknown id is an error."""
+    values = lists.values.to_numpy(zero_copy_only=False) if len(lists) else np.empty(0, np.int32)
+    if len(values) and (values.min() < 0 or values.max() >= len(table)):
+        raise ValueError("an id is not in the vocabulary")
+    piece, bounds, valid = table.__getitem__, lists.offsets.to_pylist(), lists.is_valid().to_pylist()
+    return pa.array([b"".join(map(piece, values[a:b].tolist())) if v else b"" for a, b, v in zip(bounds, bounds[1:], valid, strict=False)], pa.binary())
+
+
 def encoded(docs: DataFrame, text: str = "text", name: str = "ids", vocabulary: Vocabulary | None = None) -> DataFrame:
     """`docs` with the token ids of a text column; null and empty texts have none."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary or Vocabulary())
 
     @arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
-        encoder, out = worker_encoder(shared), []
-        sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
-        for a, b in slices(sizes):
-            out.append(id_lists(encoder.encode(texts.slice(a, b - a).to_pylist())))
-        return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int32()))
+        return encode_texts(worker_encoder(shared), texts)
 
     return docs.withColumn(name, encode(F.col(text)))
 
@@ -220,13 +232,7 @@ def decoded(docs: DataFrame, ids: str = "ids", name: str = "bytes", vocabulary:
 
     @arrow_udf("binary")
     def decode(lists: pa.Array) -> pa.Array:
-        piece = shared.value.__getitem__
-        values = lists.values.to_numpy(zero_copy_only=False) if len(lists) else np.empty(0, np.int32)
-        if len(values) and (values.min() < 0 or values.max() >= len(shared.value)):
-            raise ValueError("an id is not in the vocabulary")
-        bounds = lists.offsets.to_pylist()
-        valid = lists.is_valid().to_pylist()
-        return pa.array([b"".join(map(piece, values[a:b].tolist())) if v else b"" for a, b, v in zip(bounds, bounds[1:], valid, strict=False)], pa.binary())
+        return decode_lists(shared.value, lists)
 
     return docs.withColumn(name, decode(F.col(ids)))
 
@@ -238,9 +244,16 @@ def readable(name: str | Column) -> Column:
 
 def round_trip(docs: DataFrame, vocabulary: Vocabulary | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for each row of `docs` (doc_id, text); other columns are not looked at."""
-    vocabulary = vocabulary or Vocabulary()
-    both = decoded(encoded(docs.select("doc_id", "text"), vocabulary=vocabulary).drop("text"), vocabulary=vocabulary)
+    # In one function: of two in a row, Spark would run the first one again for the second.
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary or Vocabulary())
+
+    @arrow_udf("struct<ids: array<int>, bytes: binary>")
+    def both(texts: pa.Array) -> pa.Array:
+        ids = encode_texts(worker_encoder(shared), texts)
+        return pa.StructArray.from_arrays([ids, decode_lists(shared.value.table, ids)], names=["ids", "bytes"])
+
+    tokens = docs.select("doc_id", both("text").alias("both")).select("doc_id", "both.ids", "both.bytes")
     written = F.concat_ws(",", F.col("ids").cast("array<string>"))
-    return both.select(
+    return tokens.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(written.cast("binary"), 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256")
     )
