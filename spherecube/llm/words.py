@@ -21,6 +21,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of words hashed at a time: their numbers stay in the processor's cache and take little memory.
+CHUNK = 1 << 17
 #: A number for each byte value.
 BYTES = mix(np.arange(1, 257, dtype=np.uint64) * ODD)
 
@@ -37,10 +39,18 @@ def word_hashes(data: np.ndarray, apart: np.ndarray = SPACE) -> tuple[np.ndarray
     powers = np.full(int(lengths.max()), ODD, dtype=np.uint64)
     powers[0] = 1
     powers = np.multiply.accumulate(powers)
-    places = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    values = BYTES[low[inside]] * powers[places]
-    sums = np.add.reduceat(values, np.cumsum(lengths) - lengths)
-    return starts, mix(sums + lengths.astype(np.uint64))
+    totals = np.cumsum(lengths)
+    cuts = np.unique(np.searchsorted(totals, np.arange(0, int(totals[-1]) + CHUNK, CHUNK)))
+    hashes = np.empty(len(starts), dtype=np.uint64)
+    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(starts)], strict=True):
+        if a == b:
+            continue
+        held, span = lengths[a:b], slice(starts[a], ends[b - 1])
+        before = np.cumsum(held) - held
+        places = np.arange(int(held.sum())) - np.repeat(before, held)
+        values = BYTES[low[span][inside[span]]] * powers[places]
+        hashes[a:b] = mix(np.add.reduceat(values, before) + held.astype(np.uint64))
+    return starts, hashes
 
 
 def text_words(text: bytes, apart: np.ndarray = SPACE) -> np.ndarray:
