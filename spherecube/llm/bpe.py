@@ -11,6 +11,7 @@ the bytes that each id stands for tell where one cut ends and the next begins.
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
 
 import numpy as np
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import SLICE_CHARS
+from .common import SLICE_CHARS, held_by_worker
 
 #: The rank file of the registered queries.
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -87,6 +88,7 @@ class Vocabulary:
         for token, rank in ranks.items():
             table[rank] = token
         self.table = table
+        self.key = hashlib.sha256(self.json.encode()).hexdigest()
 
 
 class Encoder:
@@ -149,15 +151,9 @@ class Encoder:
         return out
 
 
-_ENCODERS: dict[int, Encoder] = {}
-
-
 def worker_encoder(shared) -> Encoder:
     """The worker's encoder of a broadcast vocabulary; a worker runs many tasks one after the other."""
-    if shared.value.json not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[shared.value.json] = Encoder(shared.value)
-    return _ENCODERS[shared.value.json]
+    return held_by_worker(f"encoder {shared.value.key}", lambda: Encoder(shared.value))
 
 
 def slices(sizes: list[int], most: int = SLICE_CHARS) -> list[tuple[int, int]]:

@@ -50,6 +50,20 @@ def in_slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator
             yield batch.slice(a, b - a)
 
 
+_HELD: dict[str, object] = {}
+
+
+def held_by_worker(name: str, make: Callable[[], object]) -> object:
+    """What `make` returns, kept for a Python worker's later tasks until it is asked for something of another name.
+
+    Workers outlive stages, so what one operator remembers must not add to the memory of the next one.
+    """
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = make()
+    return _HELD[name]
+
+
 def bloom_positions(key, bits: int) -> list:
     """Three positions of a key in a filter of `bits` bits, as columns."""
     return [F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(bits)).alias(f"_b{seed}") for seed in range(3)]

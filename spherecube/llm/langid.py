@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from spherecube.runtime import materialise
 
-from .common import in_slices, is_fold
+from .common import held_by_worker, in_slices, is_fold
 from .words import texts_of, word_hashes
 
 #: The vocabulary; only its list of pieces is used.
@@ -310,17 +310,11 @@ def predict(docs: DataFrame, model: tuple[list[str], list[str], np.ndarray], lan
     return docs.mapInArrow(run, docs.select("*", F.lit("").alias(lang), F.lit(0.0).alias(name)).schema)
 
 
-_SCORERS: dict[bytes, Scorer] = {}
-
-
 def worker_scorer(shared) -> Scorer:
     """The worker's scorer of a broadcast model; a worker runs many tasks one after the other."""
     known, table = shared.value
-    key = hashlib.blake2b(table.tobytes()).digest()
-    if key not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[key] = Scorer(known, table)
-    return _SCORERS[key]
+    name = f"scorer {hashlib.blake2b(table.tobytes()).hexdigest()}"
+    return held_by_worker(name, lambda: Scorer(known, table))
 
 
 def fit_held_out(docs: DataFrame) -> tuple[list[str], list[str], np.ndarray]:
