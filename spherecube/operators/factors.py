@@ -94,6 +94,7 @@ def threeway_fit(
         raise ValueError(f"ranks {ranks} exceed the modes")
     shape = len(times), len(features)
     regions = materialise(_by_region(cube, features, times))
+    tensors, projected = _piecewise(shape)
 
     by_feature = _summed(regions, shape, lambda x: x.reshape(-1, shape[1]).T @ x.reshape(-1, shape[1]))
     norm = float(np.trace(by_feature))
@@ -107,7 +108,7 @@ def threeway_fit(
     fit, last = 0.0, -1.0
     for step in range(iterations + 1):
         # What the projected regions have in common with the cube: all that the next factors depend on.
-        shared = _summed(regions, shape, lambda x: _projected(x, b, c).T @ x.reshape(len(x), -1)).reshape(q * r, *shape)
+        shared = _summed(regions, shape, lambda x: projected(x, b, c).T @ x.reshape(len(x), -1)).reshape(q * r, *shape)
         values, v = _leading(np.einsum("ktf,fq,tr->kqr", shared, b, c).reshape(q * r, q * r), p)
         scale = np.sqrt(np.maximum(values, 0))
         weights = v / np.where(scale > 0, scale, np.inf)
@@ -124,8 +125,8 @@ def threeway_fit(
         c = _leading(by_time @ by_time.T, r)[1]
 
     def factors(batches):
-        for geo, x in _tensors(batches, shape):
-            yield pa.RecordBatch.from_arrays([geo, *map(pa.array, (_projected(x, b, c) @ weights).T)], names=names)
+        for geo, x in tensors(batches):
+            yield pa.RecordBatch.from_arrays([geo, *map(pa.array, (projected(x, b, c) @ weights).T)], names=names)
 
     names = ["geo", *[f"F{k + 1}" for k in range(p)]]
     schema = ", ".join([f"geo {dict(regions.dtypes)['geo']}", *[f"{n} double" for n in names[1:]]])
@@ -140,31 +141,36 @@ def _by_region(cube: DataFrame, features: Sequence[str], times: Sequence[str]) -
     return cube.where(F.col("time").isin(*times)).groupBy("geo").agg(F.collect_list(cell).alias("cells"))
 
 
-def _tensors(batches, shape: tuple[int, int]):
-    """Regions and their values (region, time, feature), in pieces of bounded size."""
+def _piecewise(shape: tuple[int, int]):
+    """Functions for tasks: one cuts batches into values (region, time, feature) of bounded size, one projects them."""
     step = max(1, PIECE // (shape[0] * shape[1]))
-    for batch in batches:
-        for start in range(0, batch.num_rows, step):
-            part = batch.slice(start, step)
-            lists = part.column("cells")
-            cells = lists.flatten()
-            rows = np.repeat(np.arange(part.num_rows), np.asarray(lists.value_lengths()))
-            x = np.zeros((part.num_rows, *shape))
-            np.add.at(x, (rows, np.asarray(cells.field("t"))), np.asarray(cells.field("v").flatten()).reshape(-1, shape[1]))
-            yield part.column("geo"), x
 
+    def tensors(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, step):
+                part = batch.slice(start, step)
+                lists = part.column("cells")
+                cells = lists.flatten()
+                rows = np.repeat(np.arange(part.num_rows), np.asarray(lists.value_lengths()))
+                x = np.zeros((part.num_rows, *shape))
+                np.add.at(x, (rows, np.asarray(cells.field("t"))), np.asarray(cells.field("v").flatten()).reshape(-1, shape[1]))
+                yield part.column("geo"), x
 
-def _projected(x: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """The q x r numbers that remain of each region, in a row."""
-    return np.einsum("ntq,tr->nqr", x @ b, c).reshape(len(x), -1)
+    def projected(x, b, c):
+        """The q x r numbers that remain of each region, in a row."""
+        return np.einsum("ntq,tr->nqr", x @ b, c).reshape(len(x), -1)
+
+    return tensors, projected
 
 
 def _summed(regions: DataFrame, shape: tuple[int, int], product) -> np.ndarray:
     """The sum of `product` over all pieces: each task adds up one matrix, matrices are summed by entry."""
 
+    tensors, _ = _piecewise(shape)
+
     def partial(batches):
         total = None
-        for _, x in _tensors(batches, shape):
+        for _, x in tensors(batches):
             found = product(x)
             total = found if total is None else total + found
         if total is not None:
