@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import SLICE_CHARS, held_by_worker
+from .common import SLICE_CHARS, bounded_batches, held_by_worker
 
 #: The rank file of the registered queries.
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -195,7 +195,7 @@ def encoded(docs: DataFrame, text: str = "text", name: str = "ids", vocabulary:
     def encode(texts: pa.Array) -> pa.Array:
         return encode_texts(worker_encoder(shared), texts)
 
-    return docs.withColumn(name, encode(F.col(text)))
+    return bounded_batches(docs).withColumn(name, encode(F.col(text)))
 
 
 def offsets(docs: DataFrame, ids: str = "ids", name: str = "spans", vocabulary: Vocabulary | None = None) -> DataFrame:
@@ -216,7 +216,7 @@ def offsets(docs: DataFrame, ids: str = "ids", name: str = "spans", vocabulary:
             out.append([{"start": int(character[e - len(p)]) - 1, "end": int(character[e - 1])} for p, e in zip(pieces, ends, strict=True)])
         return pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
 
-    return docs.withColumn(name, spans(F.col(ids)))
+    return bounded_batches(docs).withColumn(name, spans(F.col(ids)))
 
 
 def decoded(docs: DataFrame, ids: str = "ids", name: str = "bytes", vocabulary: Vocabulary | None = None) -> DataFrame:
@@ -230,7 +230,7 @@ def decoded(docs: DataFrame, ids: str = "ids", name: str = "bytes", vocabulary:
     def decode(lists: pa.Array) -> pa.Array:
         return decode_lists(shared.value, lists)
 
-    return docs.withColumn(name, decode(F.col(ids)))
+    return bounded_batches(docs).withColumn(name, decode(F.col(ids)))
 
 
 def readable(name: str | Column) -> Column:
@@ -248,7 +248,7 @@ def round_trip(docs: DataFrame, vocabulary: Vocabulary | None = None) -> DataFra
         ids = encode_texts(worker_encoder(shared), texts)
         return pa.StructArray.from_arrays([ids, decode_lists(shared.value.table, ids)], names=["ids", "bytes"])
 
-    tokens = docs.select("doc_id", both("text").alias("both")).select("doc_id", "both.ids", "both.bytes")
+    tokens = bounded_batches(docs).select("doc_id", both("text").alias("both")).select("doc_id", "both.ids", "both.bytes")
     written = F.concat_ws(",", F.col("ids").cast("array<string>"))
     return tokens.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(written.cast("binary"), 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256")

@@ -19,11 +19,21 @@ SPACES = r"[\x20\x09-\x0D]+"
 #: Characters of text that an Arrow pass works on at a time, so that its memory does not follow the batch.
 SLICE_CHARS = 2_000_000
 
+#: Bytes of an Arrow batch that Spark sends to a Python worker. Its own limits are 10,000 rows and 64 MB, and each task
+#: holds several such batches outside the heap.
+BATCH_BYTES = 4 << 20
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def bounded_batches(docs: DataFrame) -> DataFrame:
+    """`docs`, whose session sends Arrow batches of about BATCH_BYTES from now on."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return docs
+
+
 def lower_ascii(text):
     """A to Z in lower case, every other character as it is."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

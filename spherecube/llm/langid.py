@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from spherecube.runtime import materialise
 
-from .common import held_by_worker, in_slices, is_fold
+from .common import bounded_batches, held_by_worker, in_slices, is_fold
 from .words import texts_of, word_hashes
 
 #: The vocabulary; only its list of pieces is used.
@@ -199,7 +199,7 @@ def fit(docs: DataFrame, max_docs: int = MAX_DOCS, rounds: int = ROUNDS, path: s
                 )
 
     place = F.create_map(*[F.lit(x) for i, k in enumerate(languages) for x in (k, i)])
-    counts = sample.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counts = bounded_batches(sample).mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     words = materialise(
         counts.groupBy("word").agg(F.collect_list(F.struct(place[F.col("lang")].alias("l"), "n")).alias("seen"))
         .repartition(max(8, docs.sparkSession.sparkContext.defaultParallelism), F.xxhash64("word"))
@@ -307,7 +307,7 @@ def predict(docs: DataFrame, model: tuple[list[str], list[str], np.ndarray], lan
             columns = [*batch.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*names, lang, name])
 
-    return docs.mapInArrow(run, docs.select("*", F.lit("").alias(lang), F.lit(0.0).alias(name)).schema)
+    return bounded_batches(docs).mapInArrow(run, docs.select("*", F.lit("").alias(lang), F.lit(0.0).alias(name)).schema)
 
 
 def worker_scorer(shared) -> Scorer:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from spherecube.runtime import materialise, remove_stage
 
-from .common import bloom_filter, bloom_positions, connected_components, in_filter, in_slices
+from .common import bloom_filter, bloom_positions, bounded_batches, connected_components, in_filter, in_slices
 from .words import ODD, batch_words, mix, texts_of
 
 #: Bits of the filter that keeps documents without a candidate out of the second reading (4 MiB).
@@ -90,7 +90,7 @@ def shingle_table(docs: DataFrame, width: int) -> DataFrame:
                 names=["doc_id", "n", "s1", "s2", "often", "times"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(bounded_batches).mapInArrow(
         run, "doc_id long, n long, s1 long, s2 long, often array<long>, times array<long>"
     )
 
@@ -217,7 +217,7 @@ def shown_shingles(docs: DataFrame, reps: DataFrame, hot: np.ndarray, total: int
     names_counted = ["docs", "sizes", "after", "df", "names"]
     names_dealt = ["bucket", "ids", "sizes", "after", "counts", "keys", "late_docs", "late_sizes", "late_pos", "late_names"]
     lists = lambda names: ", ".join(f"{n} array<long>" for n in names)
-    dealt = rows.mapInArrow(deal, f"bucket int, {lists(names_dealt[1:5])}, keys binary, {lists(names_dealt[6:])}")
+    dealt = bounded_batches(rows).mapInArrow(deal, f"bucket int, {lists(names_dealt[1:5])}, keys binary, {lists(names_dealt[6:])}")
     counted = dealt.groupBy("bucket").applyInArrow(count, f"g long, {lists(names_counted)}")
     return counted.groupBy("g").applyInArrow(heads, "token long, rep long, n long, pos long")
 
@@ -249,7 +249,7 @@ def token_fragments(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame
                         names=["doc_id", "s1", "n", "f", "tokens"],
                     )
 
-    return rows_.mapInArrow(run, "doc_id long, s1 long, n long, f int, tokens array<long>")
+    return bounded_batches(rows_).mapInArrow(run, "doc_id long, s1 long, n long, f int, tokens array<long>")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Vocabulary, slices, worker_encoder
+from .common import bounded_batches
 
 #: Length of a row, and tokens that are packed together.
 ROW, PORTION = 2048, 4_000_000
@@ -127,7 +128,7 @@ def packed(docs: DataFrame, row: int = ROW, vocabulary: Vocabulary | None = None
         yield from flush()
 
     columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return columns.mapInArrow(run, "pack_id long, ids binary, cu_seqlens array<int>, resets array<int>, doc_ids array<long>, doc_starts array<long>")
+    return bounded_batches(columns).mapInArrow(run, "pack_id long, ids binary, cu_seqlens array<int>, resets array<int>, doc_ids array<long>, doc_starts array<long>")
 
 
 def write_packed(rows: DataFrame, path: str) -> None:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from spherecube.runtime import materialise
 
-from .common import in_slices, is_fold
+from .common import bounded_batches, in_slices, is_fold
 from .words import BYTES, LOWER, ODD, mix, texts_of, word_hashes
 
 #: Bounds of the samples the classifiers are fitted on and of the features, and by how many standard errors a feature's
@@ -73,7 +73,7 @@ def word_sets(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=["words" if n == "text" else n for n in batch.schema.names])
 
     schema = ", ".join(f"`{n}` {'array<long>' if n == 'text' else t}" for n, t in docs.dtypes).replace("`text`", "words")
-    return docs.mapInArrow(run, schema)
+    return bounded_batches(docs).mapInArrow(run, schema)
 
 
 def fit_nnpu(x: tuple[np.ndarray, np.ndarray], toxic: np.ndarray, width: int, prior: float) -> np.ndarray:
@@ -167,7 +167,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], name: str = "sc
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(total / max(1, len(weights)))], names=[*names, name])
 
     schema = docs.select("*", F.lit(0.0).alias(name)).schema
-    return docs.mapInArrow(run, schema)
+    return bounded_batches(docs).mapInArrow(run, schema)
 
 
 def fit_held_out(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
