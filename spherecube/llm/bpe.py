@@ -112,12 +112,9 @@ class Encoder:
         found = self._several(["".join([" " + c for c in g]) for g in groups])
         for group, data in zip(groups, found, strict=True):
             ids = np.frombuffer(data, dtype="<i4")
-            ends = np.cumsum([len(c.encode()) + 1 for c in group])
-            at = np.searchsorted(np.cumsum(self.lengths[ids]), ends, side="right").tolist()
-            last = 0
-            for c, a in zip(group, at, strict=True):
-                self.after[c] = ids[last:a].tobytes()
-                last = a
+            ends = np.cumsum([*map(len, map(str.encode, group))]) + np.arange(1, len(group) + 1)
+            at = (4 * np.searchsorted(np.cumsum(self.lengths[ids]), ends, side="right")).tolist()
+            self.after.update(zip(group, map(data.__getitem__, map(slice, [0, *at], at)), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         if len(self.after) + len(self.alone) > MAX_CACHE:
@@ -145,9 +142,10 @@ class Encoder:
             ids = b"".join(found if found is not None else map(memory.__getitem__, rest))
             out.append(np.frombuffer(self.alone[first] + ids if first else ids, dtype="<i4"))
         for memory, new in ((self.after, new_after), (self.alone, new_alone)):
-            for c in new:
-                if len(c) > MAX_CUT:
-                    del memory[c]
+            if max(map(len, new), default=0) > MAX_CUT:
+                for c in new:
+                    if len(c) > MAX_CUT:
+                        del memory[c]
         return out
 
 
