@@ -122,7 +122,8 @@ def shown_shingles(docs: DataFrame, reps: DataFrame, hot: np.ndarray, total: int
     """token, rep, n, pos: the shingles of more than one document in the head of each document's sequence.
 
     The shingles of `hot` come last in every sequence and are not counted; a document shows them where its others do not
-    fill its head, so that no task meets all documents of a passage that very many share.
+    fill its head, so that no task meets all documents of a passage that very many share. On their way to the groups
+    these rows go through the buckets too, each document's through that of its id's hash.
 
     Shingles are sent to buckets of their hash, there counted, and those of several documents go back to groups of
     documents. A bucket holds about BUCKET shingles and a group about GROUP documents, whatever their total. What
@@ -155,17 +156,18 @@ def shown_shingles(docs: DataFrame, reps: DataFrame, hot: np.ndarray, total: int
                     extra = [ids[whose[show]], sizes[whose[show]], -1 - pos[show], -1 - places[show]]
                     tokens, owner = tokens[~is_hot], owner[~is_hot]
                 bucket = (tokens >> np.uint64(64 - bits)).astype(np.int32)
-                if not len(bucket) and len(extra[0]):
-                    yield row(0, ids[:0], sizes[:0], after[:0], sizes[:0], b"", extra)
+                late_bucket = (mix(extra[0].view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int32)
+                late_order = np.argsort(late_bucket, kind="stable")
+                extra, late_bucket = [x[late_order] for x in extra], late_bucket[late_order]
                 order = np.argsort(bucket, kind="stable")
                 tokens, owner, bucket = tokens[order], owner[order], bucket[order]
                 keys = ((tokens << np.uint64(bits)) >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-                starts = np.flatnonzero(np.diff(bucket, prepend=-1))
-                for a, b in zip(starts.tolist(), np.append(starts[1:], len(bucket)).tolist(), strict=True):
+                filled = np.union1d(bucket, late_bucket)
+                bounds = [np.searchsorted(x, filled, side).tolist() for x in (bucket, late_bucket) for side in ("left", "right")]
+                for to, a, b, c, d in zip(filled.tolist(), *bounds, strict=True):
                     runs = np.flatnonzero(np.diff(owner[a:b], prepend=-1))
                     held = owner[a:b][runs]
-                    yield row(bucket[a], ids[held], sizes[held], after[held], np.diff(np.append(runs, b - a)), keys[a:b].tobytes(), extra)
-                    extra = [np.empty(0, dtype=np.int64)] * 4
+                    yield row(to, ids[held], sizes[held], after[held], np.diff(np.append(runs, b - a)), keys[a:b].tobytes(), [x[c:d] for x in extra])
 
     def row(bucket, ids, sizes, after, counts, keys, extra):
         lists = [pa.array([x], pa.list_(pa.int64())) for x in (ids, sizes, after, counts)]
@@ -181,7 +183,8 @@ def shown_shingles(docs: DataFrame, reps: DataFrame, hot: np.ndarray, total: int
         keys[:, :6] = packed
         order = np.lexsort((docs_, keys.view("<u8").ravel()))
         keys, docs_, sizes, after = keys.view("<u8").ravel()[order], docs_[order], sizes[order], after[order]
-        again = np.concatenate([[False], (keys[1:] == keys[:-1]) & (docs_[1:] == docs_[:-1]) & (sizes[1:] == sizes[:-1])])
+        again = np.zeros(len(keys), dtype=bool)
+        again[1:] = (keys[1:] == keys[:-1]) & (docs_[1:] == docs_[:-1]) & (sizes[1:] == sizes[:-1])
         keys, docs_, sizes, after = keys[~again], docs_[~again], sizes[~again], after[~again]
         starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, int)
         frequency = np.diff(np.append(starts, len(keys)))

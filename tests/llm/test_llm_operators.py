@@ -83,6 +83,21 @@ def test_hot_shingles_lose_no_link(corpus, monkeypatch):
     assert sorted_rows(ngram_join.jaccard_components(corpus, 4, 85), "doc_id", "n_shingles", "component_id") == linked(rows, 4, 85)
 
 
+def test_hot_shingles_are_spread(spark, monkeypatch):
+    """Documents of nothing but hot shingles: none to count, and no bucket has all of the shown ones."""
+    monkeypatch.setattr(ngram_join, "LEAST_HOT", 5)
+    rng = random.Random(3)
+    rows = [(k, " ".join(f"w{j}" for j in sorted(rng.sample(range(24), 20)))) for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    dealt, group_by = [], type(docs).groupBy
+    monkeypatch.setattr(type(docs), "groupBy", lambda self, *cols: ("late_docs" in self.columns and dealt.append(self)) or group_by(self, *cols))
+    assert sorted_rows(ngram_join.jaccard_components(docs, 1, 85), "doc_id", "n_shingles", "component_id") == linked(rows, 1, 85)
+    held = collections.Counter()
+    for r in dealt[0].select("bucket", F.size("late_docs").alias("k")).collect():
+        held[r["bucket"]] += r["k"]
+    assert max(held.values()) < 0.5 * sum(held.values())
+
+
 def test_components_of_long_chains(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (5, 5)], "a long, b long")
     got = {r["v"]: r["component"] for r in common.connected_components(edges).collect()}
