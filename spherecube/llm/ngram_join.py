@@ -256,9 +256,12 @@ def token_fragments(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame
 
 
 def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that are linked: overlaps are counted per fragment and summed per pair."""
+    """The pairs (a, b) that are linked: overlaps are counted per fragment and summed per pair.
+
+    A row that is given twice has its fragments once, so that no overlap counts twice.
+    """
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
-    parts = materialise(token_fragments(docs, wanted, width))
+    parts = materialise(token_fragments(docs, wanted, width).dropDuplicates(["doc_id", "s1", "f"]))
     left, right = (
         parts.select(F.col("doc_id").alias(x), F.col("s1").alias(f"s{x}"), F.col("n").alias(f"n{x}"), "f", F.col("tokens").alias(f"t{x}"))
         for x in "ab"

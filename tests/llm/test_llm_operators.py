@@ -98,6 +98,18 @@ def test_hot_shingles_are_spread(spark, monkeypatch):
     assert max(held.values()) < 0.5 * sum(held.values())
 
 
+def test_repeated_rows_count_once(spark):
+    """Two sets of 100 that share 80 are not linked, however often their rows come; 5 of the shared are the rarest."""
+    given = []
+    for base, repeats in ((0, (1, 1)), (100, (2, 1)), (200, (2, 3))):
+        own = [[f"{x}{base}n{k}" for k in range(20)] for x in "ab"]
+        shared = [f"s{base}n{k}" for k in range(80)]
+        given += [(base + i, " ".join(shared + own[i])) for i in range(2) for _ in range(repeats[i])]
+        given += [(base + 3 + k, " ".join([own[0][k], own[1][k], *shared[5:20], f"z{base}n{k}"])) for k in range(20)]
+    docs = spark.createDataFrame(given, "doc_id long, text string")
+    assert sorted_rows(ngram_join.jaccard_components(docs, 1, 85), "doc_id", "n_shingles", "component_id") == linked(given, 1, 85)
+
+
 def test_components_of_long_chains(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (5, 5)], "a long, b long")
     got = {r["v"]: r["component"] for r in common.connected_components(edges).collect()}
