@@ -7,10 +7,11 @@ summed, and the sum decides. Shingles of one document only come first and link n
 documents share come last, so most documents show nothing at all.
 
 No pairs are formed within a group of copies: equal sets are one class beforehand, and of the documents that show the same
-shingle each is first compared with the smallest only. Links found so contract documents to components; a second
-comparison takes the remaining pairs that the filters leave and whose components differ. So every link between
-documents of different components has been tried, which makes the components exact, while links inside a component are
-not all listed.
+shingle each is first compared with the smallest only. Links found so contract documents to components. Where many
+pairs over different components are left, this is repeated with other documents in place of the smallest, as long as a
+round takes away more pairs than it compares. The last comparison takes all remaining pairs that the filters leave
+and whose components differ. So every link between documents of different components has been tried, which makes the
+components exact, while links inside a component are not all listed.
 
 Sets are compared by 64-bit hashes of shingles: two different shingles of one pair count as equal with a chance of 2^-64.
 """
@@ -36,6 +37,8 @@ BUCKET, GROUP = 500_000, 5000
 #: A shingle is reported by a slice if one in OFTEN of its documents has it, and hot if all reports together are one in HOT
 #: of all documents, LEAST_HOT at least.
 OFTEN, HOT, LEAST_HOT = 64, 256, 5000
+#: Pairs over components by row from which on documents are compared by stars once more, before all pairs left are.
+FEW = 16
 #: Fragments of the order in which overlaps are counted: 2 to this power.
 COUNT_BITS = 3
 
@@ -272,7 +275,31 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
         .select("a", "b", "sa", "sb", "na", "nb", F.size(F.array_intersect("ta", "tb")).cast("long").alias("part"))
         .groupBy("a", "b", "sa", "sb", "na", "nb").agg(F.sum("part").alias("both"))
     )
-    return counted.where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b").distinct()
+    linked = materialise(counted.where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b").distinct())
+    remove_stage(parts)
+    return linked
+
+
+def star_of(rows: DataFrame, turn: int, may_link) -> DataFrame:
+    """Pairs (a, b), a < b: one document of each token, that a hash of the turn puts first, with those of other components.
+
+    The hash is of the document alone, so the tokens of a group mostly choose the same one.
+    """
+    first = rows.groupBy("token").agg(F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "rep", "n", "pos", "c")).alias("first"))
+    near = rows.join(first, "token").where("c <> first.c").where(may_link("n", "pos", "first.n", "first.pos"))
+    return near.select(F.least("rep", "first.rep").alias("a"), F.greatest("rep", "first.rep").alias("b"))
+
+
+def across(rows: DataFrame, may_link) -> DataFrame:
+    """All pairs (a, b), a < b, of documents of one token and different components.
+
+    Rows of a token's largest component `big` are on one side only. So no pair within it is formed, and those within the
+    others are no more than the pairs between them and it.
+    """
+    left, right = (rows.select("token", "big", *[F.col(c).alias(f"{c}_{x}") for c in ("rep", "n", "pos", "c")]) for x in "ab")
+    both = left.where("c_a <> big").join(right.drop("big"), "token").where("c_a <> c_b and (c_b = big or rep_a < rep_b)")
+    both = both.where(may_link("n_a", "pos_a", "n_b", "pos_b"))
+    return both.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"))
 
 
 def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
@@ -305,23 +332,39 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Da
 
     star = shared.where(F.col("rep") != F.col("head.rep")).where(may_link("n", "pos", "head.n", "head.pos"))
     pairs = materialise(star.select(F.col("head.rep").alias("a"), F.col("rep").alias("b")).distinct())
-    links = materialise(verified(pairs, docs, width, percent))
+    links = verified(pairs, docs, width, percent)
     versions = members.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("a", "b")
     links = links.union(versions)
     near = materialise(connected_components(links))
 
-    several = shared.where("k > 2").select("token", "rep", "n", "pos").join(near.select(F.col("v").alias("rep"), "component"), "rep", "left")
-    several = several.select("token", "rep", "n", "pos", F.coalesce("component", "rep").alias("c"))
-    mixed = several.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("token")
-    mixed = materialise(several.join(mixed, "token"))
-    left, right = (mixed.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("rep", "n", "pos", "c")]) for x in "ab")
-    rest = left.join(right, "token").where("rep_a < rep_b and c_a <> c_b").where(may_link("n_a", "pos_a", "n_b", "pos_b"))
-    rest = rest.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    rest = materialise(rest)
-    if not rest.isEmpty():
-        links = materialise(links.union(verified(rest, docs, width, percent)))
-        near = materialise(connected_components(links))
-    for stage in (shown, shared, mixed, rest, pairs):
+    several, tried, left, turn = shared.where("k > 2").select("token", "rep", "n", "pos"), pairs, None, 0
+    stale = [shown, shared, pairs]
+    while True:
+        # Of each token, the rows of documents in two components or more, with the component that has most of them.
+        named = several.join(near.select(F.col("v").alias("rep"), "component"), "rep", "left")
+        named = named.select("token", "rep", "n", "pos", F.coalesce("component", "rep").alias("c"))
+        held = named.groupBy("token", "c").agg(F.count("*").alias("k")).groupBy("token").agg(
+            F.max_by("c", F.struct("k", "c")).alias("big"), F.sum("k").alias("k"), F.sum(F.col("k").cast("double") ** 2).alias("same"), F.count("*").alias("parts")
+        ).where("parts > 1")
+        held = materialise(held)
+        several = materialise(named.join(held.select("token", "big"), "token"))
+        stale += [several, held]
+        open_, rows = held.agg(F.sum((F.col("k").cast("double") ** 2 - F.col("same")) / 2), F.sum("k")).first()
+        if not rows:
+            break
+        last = open_ <= FEW * rows or (left is not None and left - open_ <= compared)
+        found = across(several, may_link) if last else star_of(several, turn, may_link)
+        found = materialise(found.distinct().join(tried, ["a", "b"], "left_anti"))
+        stale.append(found)
+        compared, left, turn = found.count(), open_, turn + 1
+        if compared:
+            links = materialise(links.union(verified(found, docs, width, percent)))
+            near = materialise(connected_components(links))
+        if last:
+            break
+        tried = tried.union(found)
+        several = several.select("token", "rep", "n", "pos")
+    for stage in stale:
         remove_stage(stage)
     classes = members.select("doc_id", "rep").distinct().join(near.withColumnRenamed("v", "rep"), "rep", "left")
     classes = classes.groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))

@@ -110,6 +110,24 @@ def test_repeated_rows_count_once(spark):
     assert sorted_rows(ngram_join.jaccard_components(docs, 1, 85), "doc_id", "n_shingles", "component_id") == linked(given, 1, 85)
 
 
+def test_copies_that_miss_the_smallest_are_not_all_compared(spark, monkeypatch):
+    """The smallest document shows the shingles of a hundred others that link with each other, and not with it."""
+    base, rare = [f"a{k}" for k in range(51)], [f"b{k}" for k in range(9)]
+    rows = [(0, " ".join(base))] + [(k, " ".join([*base, *rare, f"own{k}"])) for k in range(1, 101)]
+    rows += [(200 + k, " ".join([*rare, *(f"x{k}n{j}" for j in range(30))])) for k in range(5)]  # the nine are the most frequent
+    compared, verified = [], ngram_join.verified
+    monkeypatch.setattr(ngram_join, "verified", lambda pairs, *rest: compared.append(pairs.count()) or verified(pairs, *rest))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted_rows(ngram_join.jaccard_components(docs, 1, 85), "doc_id", "n_shingles", "component_id") == linked(rows, 1, 85)
+    assert sum(compared) < 1000
+
+
+def test_rounds_lose_no_link(corpus, monkeypatch):
+    monkeypatch.setattr(ngram_join, "FEW", 0)
+    rows = [(r["doc_id"], r["text"]) for r in corpus.collect()]
+    assert sorted_rows(ngram_join.jaccard_components(corpus, 5, 80), "doc_id", "n_shingles", "component_id") == linked(rows, 5, 80)
+
+
 def test_components_of_long_chains(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (5, 5)], "a long, b long")
     got = {r["v"]: r["component"] for r in common.connected_components(edges).collect()}
