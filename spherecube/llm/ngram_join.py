@@ -333,8 +333,8 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Da
     star = shared.where(F.col("rep") != F.col("head.rep")).where(may_link("n", "pos", "head.n", "head.pos"))
     pairs = materialise(star.select(F.col("head.rep").alias("a"), F.col("rep").alias("b")).distinct())
     links = verified(pairs, docs, width, percent)
-    versions = members.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("a", "b")
-    links = links.union(versions)
+    changed = members.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("doc_id", "a")
+    links = links.union(members.join(changed, "doc_id").select("a", F.col("rep").alias("b")).where("a < b").distinct())
     near = materialise(connected_components(links))
 
     several, tried, left, turn = shared.where("k > 2").select("token", "rep", "n", "pos"), pairs, None, 0

@@ -128,6 +128,14 @@ def test_rounds_lose_no_link(corpus, monkeypatch):
     assert sorted_rows(ngram_join.jaccard_components(corpus, 5, 80), "doc_id", "n_shingles", "component_id") == linked(rows, 5, 80)
 
 
+def test_each_text_of_a_document_links(spark):
+    texts = [" ".join(f"{x}{k}" for k in range(8)) for x in "abcd"]
+    rows = [*enumerate(texts, 1), *((50, t) for t in texts[:3]), (51, texts[3])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_components(docs).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 50: 1, 4: 4, 51: 4}
+
+
 def test_components_of_long_chains(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (5, 5)], "a long, b long")
     got = {r["v"]: r["component"] for r in common.connected_components(edges).collect()}
