@@ -27,15 +27,8 @@ CHUNK = 1 << 17
 BYTES = mix(np.arange(1, 257, dtype=np.uint64) * ODD)
 
 
-def word_hashes(data: np.ndarray, apart: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
-    """Start and hash of each word of `data` (bytes), A to Z taken in lower case; `apart` marks the bytes between words."""
-    low = LOWER[data]
-    inside = ~apart[low]
-    edges = np.diff(inside.view(np.int8), prepend=np.int8(0), append=np.int8(0))
-    starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-    if not len(starts):
-        return starts, np.empty(0, dtype=np.uint64)
-    lengths = ends - starts
+def hash_spans(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Hash of the bytes of each span, of which there is one at least; spans are in ascending order."""
     powers = np.full(int(lengths.max()), ODD, dtype=np.uint64)
     powers[0] = 1
     powers = np.multiply.accumulate(powers)
@@ -45,12 +38,23 @@ def word_hashes(data: np.ndarray, apart: np.ndarray = SPACE) -> tuple[np.ndarray
     for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(starts)], strict=True):
         if a == b:
             continue
-        held, span = lengths[a:b], slice(starts[a], ends[b - 1])
+        held = lengths[a:b]
         before = np.cumsum(held) - held
         places = np.arange(int(held.sum())) - np.repeat(before, held)
-        values = BYTES[low[span][inside[span]]] * powers[places]
+        values = BYTES[data[places + np.repeat(starts[a:b], held)]] * powers[places]
         hashes[a:b] = mix(np.add.reduceat(values, before) + held.astype(np.uint64))
-    return starts, hashes
+    return hashes
+
+
+def word_hashes(data: np.ndarray, apart: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Start and hash of each word of `data` (bytes), A to Z taken in lower case; `apart` marks the bytes between words."""
+    low = LOWER[data]
+    inside = ~apart[low]
+    edges = np.diff(inside.view(np.int8), prepend=np.int8(0), append=np.int8(0))
+    starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    if not len(starts):
+        return starts, np.empty(0, dtype=np.uint64)
+    return starts, hash_spans(low, starts, ends - starts)
 
 
 def text_words(text: bytes, apart: np.ndarray = SPACE) -> np.ndarray:
