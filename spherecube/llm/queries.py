@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, licenses, mixing, ngram_join, online_packing, packing, quality, topk, toxicity
+from . import bpe, chat, hard_negatives, langid, licenses, mixing, ngram_join, online_packing, packing, quality, topk, toxicity
 from .common import read
 
 
@@ -56,6 +56,10 @@ def op12_online_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return online_packing.packed_online(read(spark, sf_dir, "documents"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -63,10 +67,11 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
         op1_ngram_jaccard_join, op2_toxicity, op3_mixture, op4_byte_bpe, op5_chat_repair, op6_exact_topk, op7_language_id,
-        op8_license_scan, op9_quality_rules, op10_packed_tokens, op12_online_packing, pipeline,
+        op8_license_scan, op9_quality_rules, op10_packed_tokens, op12_online_packing,
+        op13_hard_negatives, pipeline,
     )
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixture": mixing.ORACLE, "op6_exact_topk": topk.ORACLE}
+    return {"op3_mixture": mixing.ORACLE, "op6_exact_topk": topk.ORACLE, "op13_hard_negatives": hard_negatives.ORACLE}
