@@ -56,6 +56,29 @@ def assign_id(df: DataFrame, order: Sequence[str], name: str = "id") -> DataFram
     return ranged.join(starts, "_part").select(*df.columns, (place + F.col("_start")).alias(name))
 
 
+def number_within(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str = "n") -> DataFrame:
+    """Numbers 1..n within each group `by`, in ascending `order` (missing values first); equal rows in any order.
+
+    Range partitions hold consecutive stretches of the groups in order, so a group of any size is spread over tasks. A row's
+    number is its place in its group's stretch, plus the stretches before; only groups at the ends of partitions have
+    several, of which one row each is summed up. A missing value in `by` is a group of its own.
+    """
+    group = F.struct(*by).alias("_group")
+    ranged = df.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order).select(
+        "*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_place")
+    )
+    ranged = materialise(ranged)
+    ends = ranged.groupBy("_part").agg(F.min_by(group, "_place").alias("a"), F.max_by(group, "_place").alias("b"))
+    ends = ends.select(F.explode(F.array("a", "b")).alias("_group")).distinct()
+    keyed = ranged.withColumn("_group", group)
+    stretches = keyed.join(ends, "_group", "left_semi").groupBy("_group", "_part").agg(F.count(F.lit(1)).alias("_rows"))
+    before = Window.partitionBy("_group").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = stretches.select("_group", "_part", F.sum("_rows").over(before).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_group", "_part").orderBy("_place"))
+    numbered = keyed.withColumn("_row", place).join(starts, ["_group", "_part"], "left")
+    return numbered.select(*df.columns, (F.col("_row") + F.coalesce("_before", F.lit(0))).cast("long").alias(name))
+
+
 def natural_left_chain(frames: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
     """Left joins from the first frame on, a missing key equal to a missing key."""
 

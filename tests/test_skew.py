@@ -66,3 +66,21 @@ def test_conform_keeps_one_row_per_cell(hot, spark):
     out = reshape.conform_to_axes(series, times, geos)
     assert out.count() == geos.count()
     assert out.where("geo = 'hot'").first()["values"] == 0.0
+
+
+def test_number_within_a_hot_group(spark):
+    from spherecube.operators.keys import number_within
+
+    rows = [("hot", k * 7919 % 3000) for k in range(3000)] + [(f"g{k % 50}", k) for k in range(3000)] + [(None, 2), (None, 1), ("g1", None)]
+    df = spark.createDataFrame(rows, "g string, x int")
+    got = {(r["g"], r["x"]): r["n"] for r in number_within(df, ["g"], ["x"]).collect()}
+    expected = {}
+    for g in {r[0] for r in rows}:
+        for n, x in enumerate(sorted((r[1] for r in rows if r[0] == g), key=lambda x: (x is not None, x or 0))):
+            expected[g, x] = n + 1
+    assert got == expected
+    plan = number_within(df, ["g"], ["x"])
+    sizes = plan.withColumn("p", F.spark_partition_id()).groupBy("p").count().collect()
+    assert max(r["count"] for r in sizes) < 3000  # the hot group is not in one task
+    empty = spark.createDataFrame([], "g string, x int")
+    assert number_within(empty, ["g"], ["x"]).count() == 0
