@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, hard_negatives, langid, licenses, mixing, ngram_join, online_packing, packing, quality, topk, toxicity
+from . import bpe, chat, hard_negatives, langid, licenses, mixing, ngram_join, online_packing, packing, prefix_trie, quality, topk, toxicity
 from .common import read
 
 
@@ -52,6 +52,10 @@ def op10_packed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(read(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(read(spark, sf_dir, "conversations"))
+
+
 def op12_online_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return online_packing.packed_online(read(spark, sf_dir, "documents"))
 
@@ -67,11 +71,11 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
         op1_ngram_jaccard_join, op2_toxicity, op3_mixture, op4_byte_bpe, op5_chat_repair, op6_exact_topk, op7_language_id,
-        op8_license_scan, op9_quality_rules, op10_packed_tokens, op12_online_packing,
+        op8_license_scan, op9_quality_rules, op10_packed_tokens, op11_prefix_trie, op12_online_packing,
         op13_hard_negatives, pipeline,
     )
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixture": mixing.ORACLE, "op6_exact_topk": topk.ORACLE, "op13_hard_negatives": hard_negatives.ORACLE}
+    return {"op3_mixture": mixing.ORACLE, "op6_exact_topk": topk.ORACLE, "op11_prefix_trie": prefix_trie.ORACLE, "op13_hard_negatives": hard_negatives.ORACLE}
