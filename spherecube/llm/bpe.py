@@ -3,16 +3,16 @@
 The rank file lists byte strings; the library wants merges of two known strings, in which each byte is one character of
 a fixed mapping. A token's merge is the last step of its own bytes' encoding by the ranks below its own.
 
-Between a character and a word, a single space always starts a new match of the splitting pattern. So texts are
-cut there, every worker remembers the ids of the cuts it has seen, and only new ones go to the library, many in one call;
-the bytes that each id stands for tell where one cut ends and the next begins.
+Between a character and a word, a single space always starts a new match of the splitting pattern, and so does a single line
+end with what follows. Texts are cut there with numpy; every worker remembers the ids of the pieces it has seen, and only new
+ones go to the library, many in one call; the bytes that each id stands for tell where one piece ends and the next begins.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import re
+import json
 
 import numpy as np
 import pyarrow as pa
@@ -22,13 +22,26 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from .common import SLICE_CHARS, bounded_batches, held_by_worker
+from .units import GAP, ODD, PieceIds, byte_classes, expand, joined_calls, per_text, spread
 
 #: The rank file of the registered queries.
 RANKS = "byte_bpe_multi_50k.tiktoken"
-#: Cuts that a worker remembers, how long they may be, and characters of one call of the library.
-MAX_CACHE, MAX_CUT, CALL_CHARS = 300_000, 64, 10_000
+#: Pieces of one call of the library.
+CALL = 200
+#: Fixed value: the letter that stands for the space byte.
+SPACE_LETTER = "\u0120"
 
-CUT = re.compile(r"(?<=\S)(?= \S)")
+
+def _marked(*values: int) -> np.ndarray:
+    out = np.zeros(256, dtype=bool)
+    out[list(values)] = True
+    return out
+
+
+#: Bytes that are no white space for certain, and those white space beyond ASCII may start with, have last but one, end in.
+PRINTABLE = _marked(*range(0x21, 0x7F))
+STARTS_SPACE, LEADS_SPACE = _marked(0xC2, 0xE1, 0xE2, 0xE3), _marked(0xC2, 0x9A, 0x80, 0x81)
+ENDS_SPACE = _marked(0x85, 0xA0, *range(0x80, 0x8B), 0xA8, 0xA9, 0xAF, 0x9F)
 
 
 def byte_characters() -> list[str]:
@@ -92,61 +105,84 @@ class Vocabulary:
 
 
 class Encoder:
-    """Encodes texts, with a bounded memory of cuts. One per Python worker."""
+    """Encodes texts, with a bounded memory of pieces. One per Python worker.
+
+    Cuts of printable ASCII without apostrophes fall further into runs of letters, digits and the rest, each with the space
+    before it, as the splitting pattern has them. Such runs need no splitting and go to the bare merges, many in a call.
+    """
 
     def __init__(self, vocabulary: Vocabulary):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_str(vocabulary.json)
+        model = json.loads(vocabulary.json)["model"]
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        self.bare = Tokenizer(models.BPE(vocab=model["vocab"], merges=merges, ignore_merges=True, cache_capacity=0))
+        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.lengths = np.array([len(t) for t in vocabulary.table], dtype=np.int64)
-        self.after: dict[str, bytes] = {}
-        self.alone: dict[str, bytes] = {}
-
-    def _several(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<i4").tobytes() for e in found]
-
-    def _learn(self, cuts: list[str]) -> None:
-        """Ids of cuts that follow a space; neither begins nor ends with white space, so they are encoded in a row."""
-        groups = [cuts[a:b] for a, b in slices([len(c) + 1 for c in cuts], CALL_CHARS)]
-        found = self._several(["".join([" " + c for c in g]) for g in groups])
-        for group, data in zip(groups, found, strict=True):
-            ids = np.frombuffer(data, dtype="<i4")
-            ends = np.cumsum([*map(len, map(str.encode, group))]) + np.arange(1, len(group) + 1)
-            at = (4 * np.searchsorted(np.cumsum(self.lengths[ids]), ends, side="right")).tolist()
-            self.after.update(zip(group, map(data.__getitem__, map(slice, [0, *at], at)), strict=True))
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        if len(self.after) + len(self.alone) > MAX_CACHE:
-            self.after, self.alone = {}, {}
-        plans, new_after, new_alone, known = [], set(), set(), self.after.get
-        for text in texts:
-            rest = (text or "").split(" ")
-            first = rest.pop(0)
-            found = list(map(known, rest))
-            unseen = {c for c, ids in zip(rest, found, strict=True) if ids is None} if None in found else ()
-            odd = any(not c or c[0].isspace() or c[-1].isspace() for c in unseen) or (rest and (not first or first[-1].isspace()))
-            if odd:
-                first, rest = None, CUT.split(text)
-                new_alone.update(c for c in rest if c not in self.alone)
-            else:
-                new_after.update(unseen)
-                if first and first not in self.alone:
-                    new_alone.add(first)
-            plans.append((first, rest, self.alone if odd else self.after, None if odd or unseen else found))
-        self._learn(list(new_after))
-        alone = list(new_alone)
-        self.alone.update(zip(alone, self._several(alone) if alone else [], strict=True))
-        out = []
-        for first, rest, memory, found in plans:
-            ids = b"".join(found if found is not None else map(memory.__getitem__, rest))
-            out.append(np.frombuffer(self.alone[first] + ids if first else ids, dtype="<i4"))
-        for memory, new in ((self.after, new_after), (self.alone, new_alone)):
-            if max(map(len, new), default=0) > MAX_CUT:
-                for c in new:
-                    if len(c) > MAX_CUT:
-                        del memory[c]
-        return out
+        self.classes = byte_classes(gaps=b" ")
+        self.pieces = PieceIds(self._learn)
+
+    def _together(self, tokenizer, texts: list[str], lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces that follow each other in the texts, and how many each has, by the bytes that ids stand for."""
+        found = [np.array(e.ids, dtype="<i4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = np.concatenate(found) if found else np.empty(0, "<i4")
+        return ids, np.diff(np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum(lengths), side="right") if len(ids) else [], prepend=0)
+
+    def _learn(self, spelt: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        starts = np.cumsum(lengths) - lengths
+        kind = self.classes[spelt]
+        first = np.minimum(starts + (kind[starts] == GAP), starts + lengths - 1)
+        inside = np.arange(len(spelt)) >= np.repeat(first, lengths)
+        like = (kind == np.repeat(kind[first], lengths)) | ~inside
+        plain = np.logical_and.reduceat(like, starts) & (kind[first] != GAP) & (kind[first] != ODD)
+        runs = spelt[expand(starts[plain], lengths[plain])]
+        calls = joined_calls(np.where(runs == 0x20, 1, runs), lengths[plain], CALL)
+        runs_ids, runs_counts = self._together(self.bare, [c.replace("\1", SPACE_LETTER) for c in calls], lengths[plain])
+        rest = np.flatnonzero(~plain)
+        texts = [spelt[starts[k] : starts[k] + lengths[k]].tobytes().decode() for k in rest.tolist()]
+        # In a row, a single space between characters that are none always starts a new match.
+        joins = np.array([t[0] == " " and len(t) > 1 and not t[1].isspace() and not t[-1].isspace() for t in texts], dtype=bool)
+        grouped, alone = rest[joins], rest[~joins]
+        chosen = [t for t, j in zip(texts, joins, strict=True) if j]
+        rows = ["".join(chosen[i : i + CALL]) for i in range(0, len(chosen), CALL)]
+        grouped_ids, grouped_counts = self._together(self.tokenizer, rows, lengths[grouped])
+        found = self.tokenizer.encode_batch_fast([t for t, j in zip(texts, joins, strict=True) if not j], add_special_tokens=False)
+        found = [np.array(e.ids, dtype="<i4") for e in found]
+        order = np.concatenate([np.flatnonzero(plain), grouped, alone])
+        counts, at = np.empty(len(lengths), dtype=np.int64), np.empty(len(lengths), dtype=np.int64)
+        counts[order] = np.concatenate([runs_counts, grouped_counts, [len(f) for f in found]])
+        at[order] = np.cumsum(counts[order]) - counts[order]
+        return np.concatenate([runs_ids, grouped_ids, *found]), at, counts
+
+    def cuts(self, data: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """Where pieces start in texts that start at `begins` of one array of bytes."""
+        near = lambda by: np.concatenate([np.zeros(by, np.uint8), data, np.zeros(by, np.uint8)])
+        last, before = near(1)[: len(data)], near(2)[: len(data)]
+        after = near(1)[2:]
+        solid = (PRINTABLE[last] | ((last >= 0x80) & ~(LEADS_SPACE[before] & ENDS_SPACE[last]))) & (PRINTABLE[after] | ((after >= 0xC0) & ~STARTS_SPACE[after]))
+        text_start = np.zeros(len(data) + 1, dtype=bool)
+        text_start[begins] = True
+        solid &= ~text_start[:-1] & ~text_start[1:]
+        line = solid & (data == 0x0A)
+        starts = text_start[:-1] | (solid & (data == 0x20)) | line
+        starts[1:] |= line[:-1]
+        first = np.flatnonzero(starts)
+        ends = np.append(first[1:], len(data))
+        kind = self.classes[data]
+        odd = np.logical_or.reduceat((kind == ODD) | ((kind == GAP) & ~starts), first)
+        runs = np.concatenate([[False], (kind[1:] != kind[:-1]) & (kind[:-1] != GAP)])
+        return np.flatnonzero(starts | (runs & ~spread(odd, first, ends, len(data))))
+
+    def encode(self, texts: list[str | bytes | None]) -> list[np.ndarray]:
+        texts = [t.encode() if isinstance(t, str) else t or b"" for t in texts]
+        begins = np.cumsum([0, *map(len, texts)])
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        if not len(data):
+            return [np.empty(0, dtype="<i4")] * len(texts)
+        starts = self.cuts(data, begins[:-1])
+        ids, counts = self.pieces.encode(data, starts, np.append(starts[1:], len(data)))
+        return np.split(ids, per_text(ids, counts, starts, begins[:-1])[:-1]) if len(texts) > 1 else [ids]
 
 
 def worker_encoder(shared) -> Encoder:
@@ -172,7 +208,7 @@ def id_lists(ids: list[np.ndarray]) -> pa.ListArray:
 def encode_texts(encoder: Encoder, texts: pa.Array) -> pa.Array:
     """Token ids of each text of an Arrow batch, in slices of bounded size."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
-    out = [id_lists(encoder.encode(texts.slice(a, b - a).to_pylist())) for a, b in slices(sizes)]
+    out = [id_lists(encoder.encode(texts.slice(a, b - a).cast(pa.binary()).to_pylist())) for a, b in slices(sizes)]
     return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int32()))
 
 

@@ -120,7 +120,7 @@ def packed(docs: DataFrame, row: int = ROW, vocabulary: Vocabulary | None = None
         for batch in batches:
             texts, ids = batch.column("text"), batch.column("doc_id").to_pylist()
             for a, b in slices(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
-                for doc, found in zip(ids[a:b], encoder.encode(texts.slice(a, b - a).to_pylist()), strict=True):
+                for doc, found in zip(ids[a:b], encoder.encode(texts.slice(a, b - a).cast(pa.binary()).to_pylist()), strict=True):
                     held.append((doc, found))
                     tokens += len(found)
                 if tokens >= PORTION:
