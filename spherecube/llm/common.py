@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spherecube.runtime import materialise, remove_stage
@@ -76,11 +76,14 @@ def held_by_worker(name: str, make: Callable[[], object]) -> object:
 
 def bloom_positions(key, bits: int) -> list:
     """Three positions of a key in a filter of `bits` bits, as columns."""
-    return [F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(bits)).alias(f"_b{seed}") for seed in range(3)]
+    return [F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(bits)) for seed in range(3)]
 
 
-def bloom_filter(keys: DataFrame, key: str, bits: int) -> np.ndarray:
-    """A Bloom filter of all keys: `bits` / 8 bytes whatever their number, made by one aggregation."""
+def bloom_words(keys: DataFrame, key: str, bits: int) -> Column:
+    """A Bloom filter of all keys as an array of 64-bit words, made by one aggregation: `bits` / 8 bytes in all.
+
+    A scalar subquery, which every task of a plan that uses it gets once.
+    """
     positions = keys.select(F.explode(F.array(*bloom_positions(F.col(key), bits))).alias("p"))
     words = positions.groupBy(F.shiftright("p", 6).cast("int").alias("w")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b")
@@ -88,14 +91,13 @@ def bloom_filter(keys: DataFrame, key: str, bits: int) -> np.ndarray:
     out = np.zeros(bits // 64, dtype=np.int64)
     for row in words.toLocalIterator():
         out[row["w"]] = row["b"]
-    return out.view(np.uint64)
+    return keys.sparkSession.createDataFrame(pa.table({"words": pa.array([out], pa.list_(pa.int64()))})).scalar()
 
 
-def in_filter(words: np.ndarray, positions: list[np.ndarray]) -> np.ndarray:
-    found = np.ones(len(positions[0]), dtype=bool)
-    for p in positions:
-        found &= ((words[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
-    return found
+def maybe_in(words: Column, key: Column, bits: int) -> Column:
+    """Whether a key may be among those of a Bloom filter; never false for one that is."""
+    found = [F.getbit(F.get(words, F.shiftright(p, 6).cast("int")), p.bitwiseAND(F.lit(63)).cast("int")) == 1 for p in bloom_positions(key, bits)]
+    return found[0] & found[1] & found[2]
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

@@ -8,10 +8,10 @@ documents share come last, so most documents show nothing at all.
 
 No pairs are formed within a group of copies: equal sets are one class beforehand, and of the documents that show the same
 shingle each is first compared with the smallest only. Links found so contract documents to components. Where many
-pairs over different components are left, this is repeated with other documents in place of the smallest, as long as a
-round takes away more pairs than it compares. The last comparison takes all remaining pairs that the filters leave
+pairs over different components are left, this is repeated with other documents in place of the smallest. The last comparison takes all remaining pairs that the filters leave
 and whose components differ. So every link between documents of different components has been tried, which makes the
-components exact, while links inside a component are not all listed.
+components exact, while links inside a component are not all listed. Rounds work on the components that new links join, not on all links
+again, and end once a round no longer halves the pairs that are left.
 
 Sets are compared by 64-bit hashes of shingles: two different shingles of one pair count as equal with a chance of 2^-64.
 """
@@ -19,15 +19,16 @@ Sets are compared by 64-bit hashes of shingles: two different shingles of one pa
 from __future__ import annotations
 
 import hashlib
+from math import log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spherecube.runtime import materialise, remove_stage
 
-from .common import bloom_filter, bloom_positions, bounded_batches, connected_components, in_filter, in_slices
+from .common import bloom_words, bounded_batches, connected_components, in_slices, maybe_in
 from .words import ODD, batch_words, mix, texts_of
 
 #: Bits of the filter that keeps documents without a candidate out of the second reading (4 MiB).
@@ -98,19 +99,14 @@ def shingle_table(docs: DataFrame, width: int) -> DataFrame:
     )
 
 
-def _kept(docs: DataFrame, wanted: DataFrame):
-    """doc_id, text and filter positions of all rows with an id, and a function that keeps those of the ids in `wanted`.
+def _kept(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id and text of the rows whose ids are in `wanted`, of a few others, and of all where there are too many ids.
 
-    It also keeps a few others, and all of them where there are more ids than the filter can tell apart.
+    A filter of FILTER_BITS bits, whatever the number of ids, is tested before any text leaves the JVM.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(bloom_filter(wanted, "doc_id", FILTER_BITS))
     key = F.col("doc_id").cast("long")
-
-    def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
-        places = [batch.column(f"_b{i}").to_numpy(zero_copy_only=False) for i in range(3)]
-        return batch.filter(pa.array(in_filter(shared.value, places)))
-
-    return docs.where(F.col("doc_id").isNotNull()).select(key.alias("doc_id"), "text", *bloom_positions(key, FILTER_BITS)), keep
+    rows = docs.where(F.col("doc_id").isNotNull()).select(key.alias("doc_id"), "text")
+    return rows.where(maybe_in(bloom_words(wanted, "doc_id", FILTER_BITS), F.col("doc_id"), FILTER_BITS))
 
 
 def frequent_shingles(sets: DataFrame) -> np.ndarray:
@@ -121,6 +117,12 @@ def frequent_shingles(sets: DataFrame) -> np.ndarray:
     return np.sort(np.array([r["token"] for r in found.select("token").toLocalIterator()], dtype=np.int64).view(np.uint64))
 
 
+def names_of(bucket: int, keys: np.ndarray, bits: int) -> np.ndarray:
+    """Shingles of a bucket (the first `bits` bits) by the 48 bits after those, as even numbers; hot ones have odd numbers."""
+    top = np.uint64(bucket) << np.uint64(64 - bits)
+    return ((top | ((keys.astype(np.uint64) << np.uint64(16)) >> np.uint64(bits))) & ~np.uint64(1)).view(np.int64)
+
+
 def shown_shingles(docs: DataFrame, reps: DataFrame, hot: np.ndarray, total: int, width: int, percent: int) -> DataFrame:
     """token, rep, n, pos: the shingles of more than one document in the head of each document's sequence.
 
@@ -132,45 +134,42 @@ def shown_shingles(docs: DataFrame, reps: DataFrame, hot: np.ndarray, total: int
     documents. A bucket holds about BUCKET shingles and a group about GROUP documents, whatever their total. What
     differs in the last 16 bits of its hash only is one shingle here; it is not in the counts of overlaps.
     """
-    bits = max(4, (max(1, total) // BUCKET).bit_length())
-    rows, keep = _kept(docs, reps.withColumnRenamed("rep", "doc_id"))
+    bits = max(4, int(total / BUCKET).bit_length())
+    rows = _kept(docs, reps.withColumnRenamed("rep", "doc_id"))
     groups = max(1, reps.count() // GROUP)
     late = docs.sparkSession.sparkContext.broadcast(hot)
     shows = lambda n: n - (percent * n + 99) // 100 + 1  # noqa: E731  how many first shingles are a document's head
 
     def deal(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            for piece in in_slices([keep(batch)]):
-                sets = shingle_sets(texts_of(piece), width)
-                sizes = np.array([len(x) for x in sets])
-                ids = piece.column("doc_id").to_numpy(zero_copy_only=False)
-                tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-                after, extra = np.zeros(len(sets), dtype=np.int64), [np.empty(0, dtype=np.int64)] * 4
-                if len(late.value):
-                    place = np.searchsorted(late.value, tokens).clip(max=len(late.value) - 1)
-                    is_hot = late.value[place] == tokens
-                    after = np.bincount(owner[is_hot], minlength=len(sets))
-                    places, whose = place[is_hot], owner[is_hot]  # by document, in the order of `hot`
-                    rank = np.arange(len(whose)) - np.repeat(np.cumsum(after) - after, after)
-                    pos = sizes[whose] - after[whose] + rank
-                    show = pos < shows(sizes[whose])
-                    extra = [ids[whose[show]], sizes[whose[show]], -1 - pos[show], -1 - places[show]]
-                    tokens, owner = tokens[~is_hot], owner[~is_hot]
-                bucket = (tokens >> np.uint64(64 - bits)).astype(np.int32)
-                late_bucket = (mix(extra[0].view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int32)
-                late_order = np.argsort(late_bucket, kind="stable")
-                extra, late_bucket = [x[late_order] for x in extra], late_bucket[late_order]
-                order = np.argsort(bucket, kind="stable")
-                tokens, owner, bucket = tokens[order], owner[order], bucket[order]
-                keys = ((tokens << np.uint64(bits)) >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-                filled = np.union1d(bucket, late_bucket)
-                bounds = [np.searchsorted(x, filled, side).tolist() for x in (bucket, late_bucket) for side in ("left", "right")]
-                for to, a, b, c, d in zip(filled.tolist(), *bounds, strict=True):
-                    runs = np.flatnonzero(np.diff(owner[a:b], prepend=-1))
-                    held = owner[a:b][runs]
-                    yield row(to, ids[held], sizes[held], after[held], np.diff(np.append(runs, b - a)), keys[a:b].tobytes(), [x[c:d] for x in extra])
+        for piece in in_slices(batches):
+            sets = shingle_sets(texts_of(piece), width)
+            sizes = np.array([len(x) for x in sets])
+            ids = piece.column("doc_id").to_numpy(zero_copy_only=False)
+            tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+            after, extra = np.zeros(len(sets), dtype=np.int64), [np.empty(0, dtype=np.int64)] * 4
+            if len(late.value):
+                place = np.searchsorted(late.value, tokens).clip(max=len(late.value) - 1)
+                is_hot = late.value[place] == tokens
+                after = np.bincount(owner[is_hot], minlength=len(sets))
+                places, whose = place[is_hot], owner[is_hot]  # by document, in the order of `hot`
+                rank = np.arange(len(whose)) - np.repeat(np.cumsum(after) - after, after)
+                pos = sizes[whose] - after[whose] + rank
+                show = pos < shows(sizes[whose])
+                extra = [ids[whose[show]], sizes[whose[show]], -1 - pos[show], 2 * places[show] + 1]
+                tokens, owner = tokens[~is_hot], owner[~is_hot]
+            bucket = (tokens >> np.uint64(64 - bits)).astype(np.int32)
+            late_bucket = (mix(extra[0].view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int32)
+            late_order = np.argsort(late_bucket, kind="stable")
+            extra, late_bucket = [x[late_order] for x in extra], late_bucket[late_order]
+            order = np.argsort(bucket, kind="stable")
+            tokens, owner, bucket = tokens[order], owner[order], bucket[order]
+            keys = ((tokens << np.uint64(bits)) >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+            filled = np.union1d(bucket, late_bucket)
+            bounds = [np.searchsorted(x, filled, side).tolist() for x in (bucket, late_bucket) for side in ("left", "right")]
+            for to, a, b, c, d in zip(filled.tolist(), *bounds, strict=True):
+                runs = np.flatnonzero(np.diff(owner[a:b], prepend=-1))
+                held = owner[a:b][runs]
+                yield row(to, ids[held], sizes[held], after[held], np.diff(np.append(runs, b - a)), keys[a:b].tobytes(), [x[c:d] for x in extra])
 
     def row(bucket, ids, sizes, after, counts, keys, extra):
         lists = [pa.array([x], pa.list_(pa.int64())) for x in (ids, sizes, after, counts)]
@@ -193,7 +192,7 @@ def shown_shingles(docs: DataFrame, reps: DataFrame, hot: np.ndarray, total: int
         frequency = np.diff(np.append(starts, len(keys)))
         df = np.repeat(frequency, frequency)
         several = df > 1
-        names = ((table["bucket"][0].as_py() << 48) | keys[several].astype(np.int64))
+        names = names_of(table["bucket"][0].as_py(), keys[several], bits)
         # Hot shingles have their place already, which stands for the frequency as a negative number.
         late_docs, late_sizes, late_pos, late_names = (flat(n) for n in names_dealt[-4:])
         columns = [
@@ -230,32 +229,28 @@ def shown_shingles(docs: DataFrame, reps: DataFrame, hot: np.ndarray, total: int
 
 def token_fragments(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """doc_id, s1, n, f, tokens: the fragments for counting of the documents whose ids are in `wanted`, and of few others."""
-    rows_, keep = _kept(docs, wanted)
 
     def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            for piece in in_slices([keep(batch)]):
-                ids, owners, sizes, at, parts = piece.column("doc_id").to_pylist(), [], [], [], []
-                rows = []
-                for doc, tokens in zip(ids, shingle_sets(texts_of(piece), width), strict=True):
-                    frag = (tokens >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
-                    starts = np.flatnonzero(np.diff(frag, prepend=-1))
-                    s1 = _digest(tokens)[0]
-                    for f, part in zip(frag[starts].tolist(), np.split(tokens, starts[1:]) if len(starts) else [], strict=True):
-                        rows.append(doc)
-                        owners.append(s1)
-                        sizes.append(len(tokens))
-                        at.append(f)
-                        parts.append(part)
-                if rows:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(rows, pa.int64()), pa.array(owners, pa.int64()), pa.array(sizes, pa.int64()), pa.array(at, pa.int32()), _lists(parts)],
-                        names=["doc_id", "s1", "n", "f", "tokens"],
-                    )
-
-    return bounded_batches(rows_).mapInArrow(run, "doc_id long, s1 long, n long, f int, tokens array<long>")
+        for piece in in_slices(batches):
+            ids, owners, sizes, at, parts = piece.column("doc_id").to_pylist(), [], [], [], []
+            rows = []
+            for doc, tokens in zip(ids, shingle_sets(texts_of(piece), width), strict=True):
+                frag = (tokens >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
+                starts = np.flatnonzero(np.diff(frag, prepend=-1))
+                s1 = _digest(tokens)[0]
+                for f, part in zip(frag[starts].tolist(), np.split(tokens, starts[1:]) if len(starts) else [], strict=True):
+                    rows.append(doc)
+                    owners.append(s1)
+                    sizes.append(len(tokens))
+                    at.append(f)
+                    parts.append(part)
+            if rows:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(rows, pa.int64()), pa.array(owners, pa.int64()), pa.array(sizes, pa.int64()), pa.array(at, pa.int32()), _lists(parts)],
+                    names=["doc_id", "s1", "n", "f", "tokens"],
+                )
+
+    return bounded_batches(_kept(docs, wanted)).mapInArrow(run, "doc_id long, s1 long, n long, f int, tokens array<long>")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -290,18 +285,41 @@ def star_of(rows: DataFrame, turn: int, may_link) -> DataFrame:
     return near.select(F.least("rep", "first.rep").alias("a"), F.greatest("rep", "first.rep").alias("b"))
 
 
-def across(rows: DataFrame, may_link) -> DataFrame:
-    """All pairs (a, b), a < b, of documents of one token and different components.
+def size_band(n: str, percent: int) -> Column:
+    """Sizes of linked sets are in the same band or in neighbouring ones."""
+    return F.floor(F.log(F.col(n).cast("double")) / (log(100 / percent) + 1e-4))
+
+
+def across(rows: DataFrame, may_link, percent: int) -> DataFrame:
+    """All pairs (a, b), a < b, of documents of one token, of fitting sizes and of different components.
 
     Rows of a token's largest component `big` are on one side only. So no pair within it is formed, and those within the
-    others are no more than the pairs between them and it.
+    others are no more than the pairs between them and it. Rows meet by token and band of size.
     """
-    left, right = (rows.select("token", "big", *[F.col(c).alias(f"{c}_{x}") for c in ("rep", "n", "pos", "c")]) for x in "ab")
-    both = left.where("c_a <> big").join(right.drop("big"), "token").where("c_a <> c_b and (c_b = big or rep_a < rep_b)")
+    banded = rows.withColumn("band", size_band("n", percent))
+    left, right = (banded.select("token", "big", "band", *[F.col(c).alias(f"{c}_{x}") for c in ("rep", "n", "pos", "c")]) for x in "ab")
+    near = F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)])).alias("band")
+    right = right.select("token", near, "rep_b", "n_b", "pos_b", "c_b")
+    both = left.where("c_a <> big").join(right, ["token", "band"]).where("c_a <> c_b and (c_b = big or rep_a < rep_b)")
     both = both.where(may_link("n_a", "pos_a", "n_b", "pos_b"))
     return both.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"))
 
 
+def with_links(near: DataFrame, links: DataFrame) -> DataFrame:
+    """The components `near` (v, component) after more links (a, b): only components that the links join are worked on."""
+    ends = links.select(F.explode(F.array("a", "b")).alias("v")).distinct()
+    known = near.unionByName(ends.join(near, "v", "left_anti").withColumn("component", F.col("v")))
+    known = materialise(known)
+    left, right = (known.select(F.col("v").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
+    lifted = links.join(left, "a").join(right, "b").where("ca <> cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct()
+    joined = materialise(connected_components(lifted))
+    renamed = joined.select(F.col("v").alias("component"), F.col("component").alias("to"))
+    out = materialise(known.join(renamed, "component", "left").select("v", F.coalesce("to", "component").alias("component")))
+    for stage in (known, joined, near):
+        remove_stage(stage)
+    return out
+
+
 def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of `docs` (doc_id, text).
 
@@ -315,9 +333,9 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Da
     if not 50 < percent <= 100:
         raise ValueError("percent must be over 50 and at most 100")
     sets = materialise(shingle_table(docs, width))
-    full = sets.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    copies = full.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
-    members = materialise(full.join(copies, ["n", "s1", "s2"]).select("doc_id", "rep", "n"))
+    full = sets.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).select("doc_id", "n", "s1", "s2")
+    copies = materialise(full.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("k")).where("k > 1").drop("k"))
+    members = materialise(full.join(copies, ["n", "s1", "s2"], "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"), "n"))
     reps = members.where("doc_id = rep").groupBy("rep").agg(F.sum("n").alias("n"))
     total = reps.agg(F.sum("n")).first()[0] or 0
     hot = frequent_shingles(sets)
@@ -331,40 +349,50 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Da
         return ((100 + percent) * (F.col(na) - F.col(pa_)) >= need) & ((100 + percent) * (F.col(nb) - F.col(pb)) >= need)
 
     star = shared.where(F.col("rep") != F.col("head.rep")).where(may_link("n", "pos", "head.n", "head.pos"))
-    pairs = materialise(star.select(F.col("head.rep").alias("a"), F.col("rep").alias("b")).distinct())
-    links = verified(pairs, docs, width, percent)
+    tried = materialise(star.select(F.col("head.rep").alias("a"), F.col("rep").alias("b")).distinct())
+    links = verified(tried, docs, width, percent)
     changed = members.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("doc_id", "a")
-    links = links.union(members.join(changed, "doc_id").select("a", F.col("rep").alias("b")).where("a < b").distinct())
-    near = materialise(connected_components(links))
+    more = members.join(changed, "doc_id").select("a", F.col("rep").alias("b")).where("a < b").distinct()
+    near = materialise(connected_components(links.union(more)))
+    remove_stage(links)
 
-    several, tried, left, turn = shared.where("k > 2").select("token", "rep", "n", "pos"), pairs, None, 0
-    stale = [shown, shared, pairs]
-    while True:
+    several = materialise(shared.where("k > 2").select("token", "rep", "n", "pos"))
+    for stage in (shown, shared):
+        remove_stage(stage)
+    left, turn, last = None, 0, False
+    while not last:
         # Of each token, the rows of documents in two components or more, with the component that has most of them.
         named = several.join(near.select(F.col("v").alias("rep"), "component"), "rep", "left")
-        named = named.select("token", "rep", "n", "pos", F.coalesce("component", "rep").alias("c"))
-        held = named.groupBy("token", "c").agg(F.count("*").alias("k")).groupBy("token").agg(
-            F.max_by("c", F.struct("k", "c")).alias("big"), F.sum("k").alias("k"), F.sum(F.col("k").cast("double") ** 2).alias("same"), F.count("*").alias("parts")
-        ).where("parts > 1")
-        held = materialise(held)
-        several = materialise(named.join(held.select("token", "big"), "token"))
-        stale += [several, held]
-        open_, rows = held.agg(F.sum((F.col("k").cast("double") ** 2 - F.col("same")) / 2), F.sum("k")).first()
+        named = materialise(named.select("token", "rep", "n", "pos", F.coalesce("component", "rep").alias("c")))
+        counts = materialise(named.groupBy("token", size_band("n", percent).alias("band"), "c").agg(F.count("*").alias("k")))
+        big = counts.groupBy("token", "c").agg(F.sum("k").alias("k")).groupBy("token").agg(
+            F.max_by("c", F.struct("k", "c")).alias("big"), F.count("*").alias("parts")
+        ).where("parts > 1").select("token", "big")
+        rest = materialise(named.join(big, "token"))
+        square = lambda c: F.sum(F.col(c).cast("double") ** 2)
+        by_band = counts.groupBy("token", "band").agg(F.sum("k").alias("k"), square("k").alias("same"))
+        open_ = by_band.agg(1.5 * (square("k") - F.sum("same"))).first()[0] or 0
+        rows = rest.count()
+        for stage in (several, named, counts):
+            remove_stage(stage)
+        several = rest
         if not rows:
             break
-        last = open_ <= FEW * rows or (left is not None and left - open_ <= compared)
-        found = across(several, may_link) if last else star_of(several, turn, may_link)
+        last = open_ <= FEW * rows or (left is not None and 2 * open_ > left)
+        found = across(several, may_link, percent) if last else star_of(several, turn, may_link)
         found = materialise(found.distinct().join(tried, ["a", "b"], "left_anti"))
-        stale.append(found)
-        compared, left, turn = found.count(), open_, turn + 1
-        if compared:
-            links = materialise(links.union(verified(found, docs, width, percent)))
-            near = materialise(connected_components(links))
-        if last:
-            break
-        tried = tried.union(found)
+        if not found.isEmpty():
+            links = verified(found, docs, width, percent)
+            near = with_links(near, links)
+            remove_stage(links)
+        left, turn = open_, turn + 1
+        if not last:
+            wider = materialise(tried.union(found))
+            for stage in (tried, found):
+                remove_stage(stage)
+            tried, found = wider, None
         several = several.select("token", "rep", "n", "pos")
-    for stage in stale:
+    for stage in (tried, several):
         remove_stage(stage)
     classes = members.select("doc_id", "rep").distinct().join(near.withColumnRenamed("v", "rep"), "rep", "left")
     classes = classes.groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))

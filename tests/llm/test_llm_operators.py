@@ -332,6 +332,38 @@ def test_search_in_few_or_no_vectors(spark):
     assert sorted_rows(two, "query_id", "rank", "vec_id", "score") == [(0, 1, 5, 256 * 512), (5, 1, 0, 256 * 512)]
 
 
+def test_names_of_shingles_keep_their_bits():
+    rng = np.random.default_rng(0)
+    tokens = rng.integers(0, 2**64, 5000, dtype=np.uint64)
+    for bits in (4, 15, 16, 21, 40):
+        buckets = tokens >> np.uint64(64 - bits)
+        keys = (tokens << np.uint64(bits)) >> np.uint64(16)
+        names = np.concatenate([ngram_join.names_of(int(b), keys[i : i + 1], bits) for i, b in enumerate(buckets)])
+        lost = max(1, 16 - bits)
+        assert (names.view(np.uint64) == tokens >> np.uint64(lost) << np.uint64(lost)).all()
+
+
+def test_join_with_many_buckets(spark, corpus, monkeypatch):
+    rows = corpus.select("doc_id", "text").where("doc_id < 40")
+    expected = linked([tuple(r) for r in rows.collect()], 4, 85)
+    monkeypatch.setattr(ngram_join, "BUCKET", 0.05)
+    assert sum(n for _, n, _ in expected) / 0.05 > 1 << 15
+    assert sorted_rows(ngram_join.jaccard_components(rows), "doc_id", "n_shingles", "component_id") == expected
+
+
+def test_unlinked_documents_on_one_shingle_are_not_all_verified(spark, monkeypatch):
+    """Most of the documents that share a passage differ in size: few of the k * k pairs are tried."""
+    rng = random.Random(3)
+    passage = " ".join(f"p{k}" for k in range(30))
+    rows = [(k, " ".join([passage] * (1 + k % 40))) for k in range(120)]  # repeats of the passage: shingles across its end only
+    rows += [(200 + k, f"{passage} " + " ".join(f"s{j}" for j in range(k))) for k in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    tried, real = [], ngram_join.verified
+    monkeypatch.setattr(ngram_join, "verified", lambda pairs, *a: tried.append(pairs.count()) or real(pairs, *a))
+    assert sorted_rows(ngram_join.jaccard_components(docs), "doc_id", "n_shingles", "component_id") == linked(rows, 4, 85)
+    assert sum(tried) < 240 * 240 / 8
+
+
 def test_forward_sums_all_segmentations():
     known = ["a", "b", "ab", "aba", langid.BEGIN, langid.BEGIN + "a", "c"]
     table = np.random.default_rng(0).random((len(known) + 1, 3))
