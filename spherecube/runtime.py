@@ -42,6 +42,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Bytes of a row group of a stage's table: what each open writer holds in memory before it writes.
+ROW_GROUP = 32 << 20
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write `df` once as a table in the shared folder and go on from the table.
 
@@ -50,7 +54,7 @@ def materialise(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, "stage")
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", str(ROW_GROUP)).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
