@@ -60,6 +60,20 @@ def in_slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator
             yield batch.slice(a, b - a)
 
 
+def text_slices(texts: pa.Array) -> Iterator[list[bytes]]:
+    """The bytes of the texts of an Arrow array (null: empty) in lists of about `SLICE_CHARS` bytes at most, or one text."""
+    for piece in in_slices([pa.RecordBatch.from_arrays([texts], names=["text"])]):
+        yield [t or b"" for t in piece.column("text").cast(pa.binary()).to_pylist()]
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, or with underscores before it where `df` has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 _HELD: dict[str, object] = {}
 
 

@@ -16,11 +16,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from spherecube.runtime import materialise
 
-from .common import bounded_batches, held_by_worker, in_slices, is_fold
-from .words import texts_of, word_hashes
+from .common import bounded_batches, free_name, held_by_worker, in_slices, is_fold, text_slices
+from .words import word_hashes
 
 #: The vocabulary; only its list of pieces is used.
 VOCABULARY = "piece_bpe_32k.model"
@@ -29,8 +30,8 @@ MAX_DOCS = 1000
 ROUNDS = 3
 #: Words remembered with their probabilities by one worker.
 MAX_CACHE = 400_000
-#: Characters of one forward pass, and places between two rescalings; longer words do not teach.
-PASS_CHARS, RESCALE = 60_000, 24
+#: Characters of one forward pass, places between two rescalings (longer words teach in parts), letters of a word.
+PASS_CHARS, RESCALE, LONGEST = 60_000, 24, 256
 
 #: Bytes between words: every ASCII character that is no letter.
 APART = np.array([b < 128 and not chr(b).isalpha() for b in range(256)])
@@ -51,8 +52,14 @@ def pieces(path: str | None = None) -> list[str]:
     return sorted({model.id_to_piece(i).lower() for i in ids if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))})
 
 
+def parts_of(run: str, most: int) -> list[str]:
+    """A run of letters in parts of `most` at most."""
+    return [run] if len(run) <= most else [run[i : i + most] for i in range(0, len(run), most)]
+
+
 def words_of(text: str | None) -> list[str]:
-    return LETTERS.findall(text.lower()) if text else []
+    """The runs of letters of a text; very long ones, as of scripts without spaces, in parts that count as words."""
+    return [w for run in LETTERS.findall(text.lower()) for w in parts_of(run, LONGEST)] if text else []
 
 
 class Lattice:
@@ -192,7 +199,7 @@ def fit(docs: DataFrame, max_docs: int = MAX_DOCS, rounds: int = ROUNDS, path: s
         for batch in in_slices(batches):
             found: dict[str, Counter] = {}
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                found.setdefault(lang, Counter()).update(w for w in words_of(text) if len(w) + 1 < RESCALE)
+                found.setdefault(lang, Counter()).update(w for long in words_of(text) for w in parts_of(long, RESCALE - 2))
             for lang, words in found.items():
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([lang] * len(words)), pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["lang", "word", "n"]
@@ -290,24 +297,30 @@ class Scorer:
 def predict(docs: DataFrame, model: tuple[list[str], list[str], np.ndarray], lang: str = "lang_pred", name: str = "score") -> DataFrame:
     """`docs` with the predicted language and its probability among the languages of the model, all equally likely before.
 
-    A text that is null or has no letter, and every text where no language was learnt, is `und` with score 0.
+    A text that is null or has no letter, and every text where no language was learnt, is `und` with score 0. Columns of
+    `docs` that are named like the new ones are an error. Only texts go to Python, and only the two values come back.
     """
+    if {lang, name} & set(docs.columns):
+        raise ValueError(f"there is a column named {lang} or {name}")
     languages, known, table = model
     shared = docs.sparkSession.sparkContext.broadcast((known, table))
-    names = docs.columns
 
-    def run(batches):
-        scorer = worker_scorer(shared)
-        for batch in in_slices(batches):
-            logs, counts = scorer.texts(texts_of(batch))
+    @arrow_udf("struct<lang: string, p: double>")
+    def found(texts: pa.Array) -> pa.Array:
+        scorer, names, shares = worker_scorer(shared), [], []
+        for piece in text_slices(texts):
+            logs, counts = scorer.texts(piece)
             if languages:
                 logs = np.exp(logs - logs.max(axis=1, keepdims=True))
                 best, top = logs.argmax(axis=1).tolist(), (logs.max(axis=1) / logs.sum(axis=1)).tolist()
-            found = [(languages[best[k]], top[k]) if languages and n else ("und", 0.0) for k, n in enumerate(counts)]
-            columns = [*batch.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*names, lang, name])
-
-    return bounded_batches(docs).mapInArrow(run, docs.select("*", F.lit("").alias(lang), F.lit(0.0).alias(name)).schema)
+            names += [languages[best[k]] if languages and n else "und" for k, n in enumerate(counts)]
+            shares += [top[k] if languages and n else 0.0 for k, n in enumerate(counts)]
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(shares, pa.float64())], names=["lang", "p"])
+
+    both = free_name(docs, "found")
+    # Not deterministic for Spark, so that a filter on the result does not run it a second time.
+    scored = bounded_batches(docs).withColumn(both, found.asNondeterministic()("text"))
+    return scored.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(both)["lang"].alias(lang), F.col(both)["p"].alias(name))
 
 
 def worker_scorer(shared) -> Scorer:

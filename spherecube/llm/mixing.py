@@ -151,11 +151,11 @@ def mixture(docs: DataFrame) -> DataFrame:
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The rows of `docs`, each as often as the mix takes it."""
-    mix, columns = Mix(docs), docs.columns
-    limits = mix.limits.select(F.col("sk").alias("_sk"), *[f"upto{e}" for e in range(PASSES)])
-    rows = docs.join(limits, _key() == F.col("_sk"), "left")
-    times = Mix.copies(_place(), F.col("doc_id").cast("long"), _size())
-    return rows.select(*[docs[c] for c in columns], F.explode(F.array_repeat(F.lit(0), times.cast("int"))).alias("_copy")).select(*columns)
+    mix = Mix(docs)
+    keyed = docs.select(F.struct("*").alias("row"), _key().alias("sk"), _place().alias("place"), F.col("doc_id").cast("long").alias("id"), _size().alias("size"))
+    times = Mix.copies(F.col("place"), F.col("id"), F.col("size"))
+    copies = keyed.join(mix.limits, "sk", "left").select("row", F.explode(F.array_repeat(F.lit(0), times.cast("int"))))
+    return copies.select("row.*")
 
 
 #: The same in SQL, for DuckDB.

@@ -1,6 +1,6 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-The classifiers see confirmed toxic texts and unlabelled texts, never confirmed clean ones. Of the risk of calling an
+The classifiers see confirmed toxic texts and all others as unlabelled texts; that one is confirmed clean is not used. Of the risk of calling an
 unlabelled text toxic, the share that the toxic texts among them cause is taken off by the class prior; where this
 estimate turns negative, which only a classifier that has learnt its texts by heart brings about, the step goes the
 other way (the non-negative risk estimator).
@@ -13,10 +13,11 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from spherecube.runtime import materialise
 
-from .common import bounded_batches, in_slices, is_fold
+from .common import bounded_batches, in_slices, is_fold, text_slices
 from .words import BYTES, LOWER, ODD, mix, texts_of, word_hashes
 
 #: Bounds of the samples the classifiers are fitted on and of the features, and by how many standard errors a feature's
@@ -101,14 +102,15 @@ def fit(docs: DataFrame, known: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Sorted features and a row of weights (offset last) per classifier.
 
     docs: doc_id, text of the training rows; known: doc_id, toxic of those that are labelled (others: null or absent).
-    The samples are the rows of smallest hashed id: at most MAX_TOXIC toxic and MAX_UNLABELLED unlabelled ones. Without
-    a toxic or an unlabelled text there is no classifier: no words and no weights.
+    The samples are the rows of smallest hashed id: at most MAX_TOXIC toxic and MAX_UNLABELLED others. The others count as
+    unlabelled, also those labelled clean, so a table in which every document has a label teaches, too. Without a
+    toxic or another text there is no classifier: no words and no weights.
     """
     known = known.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     prior = known.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
     order = F.xxhash64("doc_id")
     toxic_ids = known.where("toxic = 1").select("doc_id", F.lit(True).alias("toxic")).orderBy(order, "doc_id").limit(MAX_TOXIC)
-    other = docs.select("doc_id").where("doc_id is not null").distinct().join(known, "doc_id", "left_anti")
+    other = docs.select("doc_id").where("doc_id is not null").distinct().join(known.where("toxic = 1"), "doc_id", "left_anti")
     other = other.select("doc_id", F.lit(False).alias("toxic")).orderBy(order, "doc_id").limit(MAX_UNLABELLED)
     ids = materialise(toxic_ids.union(other).coalesce(1))
     sample = materialise(word_sets(docs.select("doc_id", "text").join(ids, "doc_id").select("doc_id", "toxic", "text")))
@@ -124,7 +126,7 @@ def fit(docs: DataFrame, known: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     best = rates.orderBy(F.desc("z"), "w").select("w").limit(MAX_WORDS).collect()
     words = np.sort(np.array([r["w"] for r in best], dtype=np.int64))
 
-    def train(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def train(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["toxic", "doc_id"])
         features, counts = [], []
         for found in rows["words"]:
@@ -139,22 +141,29 @@ def fit(docs: DataFrame, known: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     # A classifier leaves out one part in BAGS of the sample; with few rows each sees all of them.
     few = min(sizes.values()) < 10 * BAGS
     part = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(BAGS))
-    bags = sample.withColumn("bag", F.explode(F.sequence(F.lit(0), F.lit(BAGS - 1)))).where(F.lit(few) | (part != F.col("bag")))
+    held = F.array_intersect("words", F.lit(words.tolist()).cast("array<long>"))  # at most MAX_WORDS of a text's features
+    bags = sample.withColumn("words", held).withColumn("bag", F.explode(F.sequence(F.lit(0), F.lit(BAGS - 1)))).where(F.lit(few) | (part != F.col("bag")))
     fitted = bags.groupBy("bag").applyInPandas(train, "bag int, w array<double>").collect()
     return words, np.array([r["w"] for r in sorted(fitted, key=lambda r: r["bag"])])
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], name: str = "score") -> DataFrame:
-    """`docs` with a column `name`, the mean probability of the classifiers; without one 0. A null text counts as empty."""
-    words, weights = model
-    names = docs.columns
-
-    bases = np.unique(np.concatenate([words, ~words]))
+    """`docs` with a column `name`, the mean probability of the classifiers; without one 0. A null text counts as empty.
 
-    def run(batches):
-        for batch in in_slices(batches):
-            features, rows, sizes = word_features(texts_of(batch))
-            total = np.zeros(batch.num_rows)
+    A column of `docs` of that name is an error. Only texts go to Python, and only the score comes back.
+    """
+    if name in docs.columns:
+        raise ValueError(f"there is a column named {name}")
+    words, weights = model
+    shared = docs.sparkSession.sparkContext.broadcast((words, weights, np.unique(np.concatenate([words, ~words]))))
+
+    @arrow_udf("double")
+    def scores(texts: pa.Array) -> pa.Array:
+        words, weights, bases = shared.value
+        out = [np.empty(0)]
+        for piece in text_slices(texts):
+            features, rows, sizes = word_features(piece)
+            total = np.zeros(len(piece))
             if len(words):
                 at = np.searchsorted(bases, features).clip(max=len(bases) - 1)
                 hit = bases[at] == features
@@ -162,12 +171,13 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], name: str = "sc
                 at = np.searchsorted(words, features).clip(max=len(words) - 1)
                 hit = words[at] == features
                 for w in weights:
-                    g = np.bincount(rows[hit], w[at[hit]], batch.num_rows) + w[-1]
+                    g = np.bincount(rows[hit], w[at[hit]], len(piece)) + w[-1]
                     total += 1 / (1 + np.exp(-np.clip(g, -30, 30)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(total / max(1, len(weights)))], names=[*names, name])
+            out.append(total / max(1, len(weights)))
+        return pa.array(np.concatenate(out), pa.float64())
 
-    schema = docs.select("*", F.lit(0.0).alias(name)).schema
-    return bounded_batches(docs).mapInArrow(run, schema)
+    # Not deterministic for Spark, so that a filter on the result does not run it a second time.
+    return bounded_batches(docs).withColumn(name, scores.asNondeterministic()("text"))
 
 
 def fit_held_out(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:

@@ -423,6 +423,54 @@ def test_toxicity_of_odd_texts(spark, corpus, empty):
     assert {r["score"] for r in none.collect()} == {0.0}
 
 
+def test_toxicity_where_all_documents_are_labelled(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    toxic = docs.join(spark.read.parquet(f"{sf}/labels.parquet").where("toxic = 1"), "doc_id", "left_semi").select("doc_id", F.lit(1).alias("toxic"))
+    every = docs.select("doc_id").distinct().join(toxic, "doc_id", "left").select("doc_id", F.coalesce("toxic", F.lit(0)).alias("toxic"))
+    found = toxicity.toxicity(docs, every).join(toxic, "doc_id", "left").collect()
+    caught, others = ([r["predicted"] for r in found if (r["toxic"] == 1) == t] for t in (True, False))
+    assert sum(caught) >= 0.5 * len(caught) > 0 and sum(others) <= 0.1 * len(others)  # toxic ones are among those called clean
+
+
+def risk(w, x, toxic, prior):
+    """The risk that fit_nnpu lowers, written out: and whether the share of the unlabelled is negative."""
+    rows = np.repeat(np.arange(len(toxic)), np.diff(x[1]))
+    g = np.bincount(rows, w[x[0]], len(toxic)) + w[-1]
+    p = 1 / (1 + np.exp(-g))
+    as_toxic, as_clean = np.log1p(np.exp(-g)), np.log1p(np.exp(g))
+    rest = as_clean[~toxic].mean() - prior * as_clean[toxic].mean()
+    return prior * as_toxic[toxic].mean() + max(rest, 0), rest, p
+
+
+@pytest.mark.parametrize("hard", [False, True])
+def test_fit_lowers_the_non_negative_risk(hard):
+    rng = np.random.default_rng(2)
+    toxic = np.arange(60) < 20
+    sets = [np.flatnonzero(rng.random(8) < (0.2 + 0.6 * (t & (np.arange(8) < 3)))) for t in toxic]
+    if hard:  # each text has a word of its own: learning by heart would turn the rest of the risk negative
+        sets = [np.append(s, 8 + k) for k, s in enumerate(sets)]
+    width = 68 if hard else 8
+    x = np.concatenate(sets).astype(np.int64), np.cumsum([0, *map(len, sets)])
+    w = toxicity.fit_nnpu(x, toxic, width, 0.3)
+    at, start = risk(w, x, toxic, 0.3), risk(np.zeros(width + 1), x, toxic, 0.3)
+    assert at[0] < 0.8 * start[0] and at[1] > -0.1
+    if not hard:  # no direction lowers the risk and the decay together any further
+        full = lambda v: risk(v, x, toxic, 0.3)[0] + toxicity.DECAY * (v[:-1] ** 2).sum() / 2
+        slopes = [(full(w + d) - full(w - d)) / 2e-4 for d in np.eye(width + 1) * 1e-4]
+        assert at[1] < 0 or np.abs(slopes).max() < 0.02
+
+
+def test_long_runs_of_letters_teach_and_are_scored(spark):
+    rng = random.Random(1)
+    rows = [(k, "".join(rng.choice("abcdef") for _ in range(3000)), "left") for k in range(40)] + [(100 + k, "".join(rng.choice("ghijkl") for _ in range(3000)), "right") for k in range(40)]
+    rows += [(900, "abc" * 200_000, None), (901, "jkl" * 40, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = {r["doc_id"]: r["lang_pred"] for r in langid.languages(docs).collect()}
+    assert all(found[r[0]] == r[2] for r in rows if r[2]) and (found[900], found[901]) == ("left", "right")
+    assert langid.words_of("a" * 600) == ["a" * 256, "a" * 256, "a" * 88]
+
+
 def scanned(text):
     phrases = {("mit", "license"): "mit", ("apache", "license"): "apache", ("general", "public", "license"): "gpl"}
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER))

@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 from compare import TABLES, duck_result, spark_result
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from spherecube.llm import bpe, mixing, ngram_join, queries
@@ -25,7 +26,7 @@ def test_query_is_its_sql(name, spark, sf_dir, duck):
 
 
 def test_every_operator_has_its_query():
-    assert [n.split("_")[0] for n in queries.queries()] == [f"op{k}" for k in range(1, 11)] + ["pipeline"]
+    assert [n.split("_")[0] for n in queries.queries()] == [f"op{k}" for k in range(1, 14)] + ["pipeline"]
 
 
 def test_stages(spark, sf_dir, tmp_path):
@@ -53,3 +54,14 @@ def test_stages_of_odd_documents(spark, sf_dir):
     nothing = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, nothing, sf_dir).count() == 0
+
+
+def test_stages_keep_extra_columns_with_clashing_names(spark, sf_dir):
+    extra = "_lang _share _toxic _sk _copy upto0 upto1 upto2 found score lang_pred rep n k token size taken source_size target component_id words ids".split()
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(120).withColumns({c: F.lit(i) for i, c in enumerate(extra)})
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, sf_dir)
+        assert docs.columns == columns and docs.where(" or ".join(f"`{c}` <> {i}" for i, c in enumerate(extra))).count() == 0, name
+        docs = spark.createDataFrame(docs.collect(), docs.schema)
+    assert docs.count() > 0 and corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).count() == docs.count()
