@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spherecube.llm import bpe, langid, mixing, ngram_join, toxicity
-from spherecube.llm.common import read
+from spherecube.llm.common import free_name, read
 from spherecube.runtime import materialise
 
 #: SQL cannot express a classifier or an encoder; tests compare the stages with brute force.
@@ -22,16 +22,16 @@ LEAST_LANGUAGE = 0.5
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a known language: not `und`, and the language has at least half of the probability."""
-    columns = docs.columns
-    found = langid.predict(docs, langid.fit_held_out(docs), "_lang", "_share")
-    return found.where((F.col("_lang") != "und") & (F.col("_share") >= LEAST_LANGUAGE)).select(*columns)
+    columns, lang, share = docs.columns, free_name(docs, "_lang"), free_name(docs, "_share")
+    found = langid.predict(docs, langid.fit_held_out(docs), lang, share)
+    return found.where((F.col(lang) != "und") & (F.col(share) >= LEAST_LANGUAGE)).select(*columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score under 0.5; the classifiers learn from the labelled documents that came here."""
-    columns = docs.columns
+    columns, score = docs.columns, free_name(docs, "_toxic")
     model = toxicity.fit_held_out(docs, read(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, "_toxic").where(F.col("_toxic") < 0.5).select(*columns)
+    return toxicity.score(docs, model, score).where(F.col(score) < 0.5).select(*columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
