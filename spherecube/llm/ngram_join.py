@@ -31,7 +31,8 @@ from spherecube.runtime import materialise, remove_stage
 from .common import bloom_words, bounded_batches, connected_components, in_slices, maybe_in
 from .words import ODD, batch_words, mix, texts_of
 
-#: Bits of the filter that keeps documents without a candidate out of the second reading (4 MiB).
+#: Most bits of the filter that keeps documents without a candidate out of the second reading (4 MiB); from some 20 million
+#: ids on it lets most others pass, which costs their reading and changes no result.
 FILTER_BITS = 1 << 25
 #: About how many shingles are counted together, and how many documents' sequences are made together.
 BUCKET, GROUP = 500_000, 5000
@@ -102,11 +103,12 @@ def shingle_table(docs: DataFrame, width: int) -> DataFrame:
 def _kept(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """doc_id and text of the rows whose ids are in `wanted`, of a few others, and of all where there are too many ids.
 
-    A filter of FILTER_BITS bits, whatever the number of ids, is tested before any text leaves the JVM.
+    A filter of 16 bits an id, FILTER_BITS at most, is tested before any text leaves the JVM.
     """
     key = F.col("doc_id").cast("long")
     rows = docs.where(F.col("doc_id").isNotNull()).select(key.alias("doc_id"), "text")
-    return rows.where(maybe_in(bloom_words(wanted, "doc_id", FILTER_BITS), F.col("doc_id"), FILTER_BITS))
+    bits = min(FILTER_BITS, max(1 << 16, 1 << (16 * wanted.count()).bit_length()))
+    return rows.where(maybe_in(bloom_words(wanted, "doc_id", bits), F.col("doc_id"), bits))
 
 
 def frequent_shingles(sets: DataFrame) -> np.ndarray:
@@ -258,7 +260,7 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
 
     A row that is given twice has its fragments once, so that no overlap counts twice.
     """
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     parts = materialise(token_fragments(docs, wanted, width).dropDuplicates(["doc_id", "s1", "f"]))
     left, right = (
         parts.select(F.col("doc_id").alias(x), F.col("s1").alias(f"s{x}"), F.col("n").alias(f"n{x}"), "f", F.col("tokens").alias(f"t{x}"))
