@@ -125,7 +125,7 @@ SELECT var, geo, time, {r('v', VALUES)} FROM ({_month.format(q=quarter('TIME_PER
 _year_rows = f"""
 SELECT var, geo, year(TIME_PERIOD) || '-Q' || q AS time, {VALUES} AS v FROM yearly CROSS JOIN (SELECT unnest([1, 2, 3, 4]) AS q)"""
 add("resample_year_to_quarter", f"SELECT var, geo, time, {r('v', VALUES, 2)} FROM ({_year_rows})", "yearly")
-for _name, _agg in (("resample_time_mixed", _strict), ("resample_time_custom", f"max({VALUES})")):
+for _name, _agg in (("resample_time_mixed", _strict), ("resample_time_custom", f"max({VALUES})"), ("resample_time_median", f"median({VALUES})")):
     add(_name, f"""
 SELECT var, geo, time, {r('v', VALUES, 4)} FROM (
   {_month.format(q=quarter('TIME_PERIOD'), agg=_agg)}
@@ -318,7 +318,7 @@ add_cca("cca_loadings", loadings(X, "x"))
 SPHERES = {"atmo": ["ship_qty", "ship_disc"], "bio": ["ord_value", "ord_count"], "socio": ["nama_net", "fin_share"]}
 _pairs = list(permutations(SPHERES, 2))
 _pair_models = ",\n".join(two_by_two("scaled", SPHERES[a], SPHERES[b], f"_{a}_{b}") for a, b in _pairs)
-_pair_head = with_frames("SELECT 1", "scaled")
+_pair_head = with_frames("SELECT 1", "scaled", "features")
 _pair_head = _pair_head[: _pair_head.rindex("\nSELECT 1")] + ",\n" + _pair_models
 _SQL["pairwise_cca"] = _pair_head + "\n" + " UNION ALL ".join(
     loadings(SPHERES[a], "x", f"m_{a}_{b}", f"'{a}' AS x, '{b}' AS y, ") for a, b in _pairs)
@@ -327,6 +327,16 @@ _SQL["pairwise_scores"] = _pair_head + "\n" + " UNION ALL ".join(
   {r(f'{SPHERES[a][0]} * x21 + {SPHERES[a][1]} * x22', 'CCA2', 8)}, regexp_extract(geo, '^[A-Z]+') AS country
 FROM scaled CROSS JOIN m_{a}_{b}""" for a, b in _pairs)
 
+_SQL["pairwise_loadings_view"] = _pair_head + "\n" + f"""SELECT l.*, f.* EXCLUDE (var_id) FROM (
+SELECT x, y, var_id, {r('CCA1', digits=8)}, {r('CCA2', digits=8)}, row_number() OVER (PARTITION BY x, y ORDER BY CCA1, var_id) AS ord FROM (
+""" + " UNION ALL ".join(
+    f"SELECT '{a}' AS x, '{b}' AS y, '{c}' AS var_id, x1{i} AS CCA1, x2{i} AS CCA2 FROM m_{a}_{b}"
+    for a, b in _pairs for i, c in enumerate(SPHERES[a], 1)) + ")) l JOIN features f USING (var_id)"
+_SQL["pairwise_biplot"] = _pair_head + "\n" + " UNION ALL ".join(
+    f"""SELECT '{a}' AS x, '{b}' AS y, '{c}' AS var_id, 0.0::DOUBLE AS x0, 0.0::DOUBLE AS y0, {r(f'x1{i} * 2 - s1', 'xend', 8)}, {r(f'x2{i} * 2 - s2', 'yend', 8)}
+FROM m_{a}_{b} CROSS JOIN (SELECT avg({SPHERES[a][0]} * x11 + {SPHERES[a][1]} * x12) AS s1, avg({SPHERES[a][0]} * x21 + {SPHERES[a][1]} * x22) AS s2
+  FROM scaled CROSS JOIN m_{a}_{b})""" for a, b in _pairs for i, c in enumerate(SPHERES[a], 1))
+
 add("sphere_pairs", """
 SELECT a.sphere AS x, b.sphere AS y, a.n FROM
   (SELECT sphere, count(*) AS n FROM (
@@ -370,7 +380,7 @@ UNPIVOT (value FOR feature IN ({', '.join(ORDER_FEATURES)}, fwd_CCA1, fwd_CCA2,
 def density(points: str, x: str, y: str, grid_n: int, at: int, digits: int) -> str:
     def bandwidth(c: str) -> str:
         iqr = f"(quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) / 1.34"
-        return f"1.06 * least(stddev_samp({c}), {iqr}) * power(count(*), -0.2)"
+        return f"1.06 * least(stddev_samp({c}), nullif({iqr}, 0)) * power(count(*), -0.2)"
 
     return f"""
 SELECT {r('gx', 'x', at)}, {r('gy', 'y', at)}, {r('sum(exp(-0.5 * (((px - gx) / hx) ** 2 + ((py - gy) / hy) ** 2))) / (2 * pi() * any_value(n * hx * hy))', 'density', digits)}
@@ -385,6 +395,21 @@ GROUP BY gx, gy"""
 add("density2d", density("order_scaled", "ord_value", "fin_share", 100, 6, 6), "order_scaled")
 add_cca("density2d_highlight", density(f"(SELECT * FROM {SCORED} WHERE starts_with(geo, 'R1'))", FWD[1], FWD[2], 100, 8, 4))
 
+add_cca("trajectories_density", " UNION ALL ".join(f"""
+SELECT '{way}' AS direction, x AS CCA1, y AS CCA2, density FROM ({density(SCORED, score[1], score[2], 100, 8, 4)})"""
+    for way, score in (("bio-socio", FWD), ("socio-bio", REV))))
+_iqr = "(quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) / 1.34"
+_deviation = "1.06 * least(stddev_samp({c}), nullif(" + _iqr + ", 0)) * power(count(*), -0.2)"
+add("density_by_nation", f"""
+SELECT nation, {r('gx', 'x')}, {r('gy', 'y')},
+  {r('sum(exp(-0.5 * (((ord_value - gx) / hx) ** 2 + ((fin_share - gy) / hy) ** 2))) / any_value(2 * pi() * n * hx * hy)', 'density')}
+FROM (SELECT geo[1:3] AS nation, ord_value, fin_share FROM order_scaled) JOIN (
+  SELECT nation, n, hx, hy, x0 + i * (x1 - x0) / 19 AS gx, y0 + j * (y1 - y0) / 19 AS gy
+  FROM (SELECT geo[1:3] AS nation, count(*) AS n, min(ord_value) AS x0, max(ord_value) AS x1, min(fin_share) AS y0, max(fin_share) AS y1,
+      {_deviation.format(c='ord_value')} AS hx, {_deviation.format(c='fin_share')} AS hy FROM order_scaled GROUP BY 1)
+  CROSS JOIN range(20) t(i) CROSS JOIN range(20) u(j)) USING (nation)
+GROUP BY nation, gx, gy""", "order_scaled")
+
 add("pca_2", f"""
 SELECT name, {r('sqrt(0.5)', 'PC1')}, CASE name WHEN 'ord_value' THEN {r('sqrt(0.5)', 'PC2').split(' AS ')[0]}
   ELSE -({r('sqrt(0.5)', 'PC2').split(' AS ')[0]}) END AS PC2,
@@ -463,6 +488,10 @@ FROM axes_wide""", "axes_wide")
 add("abs_lag_region", f"""
 SELECT geo, time, {r('abs(ord_value - lag(ord_value) OVER (PARTITION BY geo ORDER BY time))', 'change')} FROM order_cells""",
     "order_cells")
+add("events_interval_join", """
+SELECT s.geo2, s.id, c.id AS campaign, date_diff('day', c.day, s.day)::INTEGER AS days_in
+FROM sales s JOIN sales c ON c.geo2 = s.geo2 AND c.priority = '1-URGENT'
+  AND s.day BETWEEN c.day AND c.day + (c.id % 90)::INTEGER""", "sales")
 add("trajectory_state", f"""
 SELECT country, year, {r('Biosphere', digits=4)},
   CASE WHEN year = 1998 AND country = 'NATION_1' THEN 'current_point' WHEN country = 'NATION_1' THEN 'normal'
@@ -515,6 +544,11 @@ LEFT JOIN {_by_status['O']} o ON o.geo2 = f.geo2 AND o.time IS NOT DISTINCT FROM
 LEFT JOIN {_by_status['P']} p ON p.geo2 = f.geo2 AND p.time IS NOT DISTINCT FROM f.time""", "sales")
 add("level_reorder", """
 SELECT geo3, row_number() OVER (ORDER BY low, geo3) AS ord FROM (SELECT geo3, min(day) AS low FROM sales GROUP BY geo3)""", "sales")
+add("level_order_within", """
+SELECT country, geo3, row_number() OVER (PARTITION BY country ORDER BY low, geo3) AS ord
+FROM (SELECT country, geo3, min(day) AS low FROM sales GROUP BY country, geo3)""", "sales")
+add("price_quantiles", f"""
+SELECT status, count(*) AS n, {', '.join(r(f'quantile_cont(price, 0.{p // 10})', f'q{p}', 4) for p in (10, 50, 90))} FROM sales GROUP BY status""", "sales")
 add("category_order", """
 SELECT status, count(*) AS n, CASE status WHEN 'P' THEN 1 WHEN 'O' THEN 2 END::INTEGER AS ord FROM sales GROUP BY status""", "sales")
 add("lookup_first", f"""

@@ -15,7 +15,8 @@ from ..functions import (
     strict_max_abs, tidy, united,
 )
 from ..operators import (
-    cca, crosswalk, datasets, density, factors, keys, moments, normalize, regions, reshape, timeaxis, trajectories,
+    cca, crosswalk, datasets, density, factors, keys, moments, normalize, quantiles, regions, reshape, timeaxis,
+    trajectories,
 )
 from ..plans import country, cubes, views
 from ..runtime import materialise, scratch_path, tune
@@ -283,6 +284,19 @@ def resample_time_mixed(spark, d):
     return rounded(timeaxis.resample_time(fx.mixed_freq(spark, d)), "values", digits=4)
 
 
+@query
+def resample_time_median(spark, d):
+    return rounded(timeaxis.resample_time(fx.mixed_freq(spark, d), agg=quantiles.MEDIAN), "values", digits=4)
+
+
+@query
+def price_quantiles(spark, d):
+    """Order statistics of all orders by status, some of them hot groups."""
+    found = quantiles.grouped_quantiles(fx.sales(spark, d), ["status"], "price", [0.1, 0.5, 0.9])
+    parts = [F.col("quantiles")[k].alias(f"q{p}") for k, p in enumerate((10, 50, 90))]
+    return rounded(found.select("status", "n", *parts), "q10", "q50", "q90", digits=4)
+
+
 @query
 def resample_time_custom(spark, d):
     return rounded(timeaxis.resample_time(fx.mixed_freq(spark, d), agg=F.max), "values", digits=4)
@@ -572,6 +586,22 @@ def pairwise_cca(spark, d):
     return rounded(cca.pairwise_loadings(spark, models), "CCA1", "CCA2", digits=8)
 
 
+@query
+def pairwise_loadings_view(spark, d):
+    """All ordered pairs of spheres, features in the order of their first loading within a pair."""
+    _, models = _pairs(spark, d)
+    features = normalize.with_feature_defaults(
+        spark.createDataFrame([(c,) for c in fx.CUBE_FEATURES], "var_id string"), fx.catalog(spark)
+    )
+    return rounded(views.pairwise_loadings_view(spark, models, features), "CCA1", "CCA2", digits=8)
+
+
+@query
+def pairwise_biplot(spark, d):
+    cube, models = _pairs(spark, d)
+    return rounded(cca.pairwise_biplot(cube, models, scale=2.0), "xend", "yend", digits=8)
+
+
 @query
 def pairwise_scores(spark, d):
     cube, models = _pairs(spark, d)
@@ -678,6 +708,20 @@ def density2d_highlight(spark, d):
     return rounded(rounded(out, "x", "y", digits=8), "density", digits=4)
 
 
+@query
+def trajectories_density(spark, d):
+    """Density of the scores of each direction."""
+    cube, model = _model(spark, d)
+    out = views.trajectories_density(views.trajectories_view(cube, model, "bio", "socio", "^R2"))
+    return rounded(rounded(out, "CCA1", "CCA2", digits=8), "density", digits=4)
+
+
+@query
+def density_by_nation(spark, d):
+    cube = materialise(fx.order_cube(spark, d).withColumn("nation", F.substring("geo", 1, 3)))
+    return rounded(density.density2d(cube, "ord_value", "fin_share", grid_n=20, by=["nation"]), "x", "y", "density")
+
+
 @query
 def pca_2(spark, d):
     model = factors.pca_fit(materialise(fx.order_cube(spark, d)), ["ord_value", "ord_count"])
@@ -775,6 +819,16 @@ def events_by_year(spark, d):
     return rounded(country.country_events(fx.axes(spark, d), fx.intervals(spark)), "value", digits=4)
 
 
+@query
+def events_interval_join(spark, d):
+    """Orders of a segment during its campaigns, which every urgent order starts, at the resolution of days."""
+    sales = fx.sales(spark, d).select("geo2", "id", "day", "priority")
+    urgent = sales.where("priority = '1-URGENT'")
+    campaigns = urgent.select("geo2", F.col("id").alias("campaign"), F.col("day").alias("first"), F.date_add("day", (F.col("id") % 90).cast("int")).alias("last"))
+    found = trajectories.interval_join(sales.select("geo2", "id", "day"), campaigns, ["geo2"], "day", "first", "last")
+    return found.select("geo2", "id", "campaign", F.datediff("day", "first").alias("days_in"))
+
+
 @query
 def event_text(spark, d):
     return trajectories.event_text(country.country_events(fx.axes(spark, d), fx.intervals(spark)))
@@ -885,6 +939,12 @@ def level_reorder(spark, d):
     return keys.reorder_levels(fx.sales(spark, d), "geo3", "day")
 
 
+@query
+def level_order_within(spark, d):
+    """Regions of each nation in the order of their first order."""
+    return keys.order_levels_within(fx.sales(spark, d), ["country"], "geo3", "day")
+
+
 @query
 def category_order(spark, d):
     counts = fx.sales(spark, d).groupBy("status").agg(F.count(F.lit(1)).alias("n"))

@@ -154,3 +154,16 @@ def biplot_loadings(scores: DataFrame, loadings: DataFrame, scale: float = 1.0)
         (F.col("CCA1") * scale - F.col("_shift.CCA1")).alias("xend"),
         (F.col("CCA2") * scale - F.col("_shift.CCA2")).alias("yend"),
     )
+
+
+def pairwise_biplot(cube: DataFrame, models: Mapping[tuple[str, str], CcaModel], scale: float = 1.0) -> DataFrame:
+    """(x, y, var_id, x0, y0, xend, yend): the loading arrows of all pairs, each shifted by its pair's mean score.
+
+    The mean scores of all pairs are one aggregation over one reading of the cube.
+    """
+    means = pairwise_scores(cube, models).groupBy("x", "y").agg(*[F.avg(f"CCA{k}").alias(f"_m{k}") for k in range(1, AXES + 1)])
+    arrows = pairwise_loadings(cube.sparkSession, models).join(means, ["x", "y"])
+    return arrows.select(
+        "x", "y", "var_id", F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"),
+        (F.col("CCA1") * scale - F.col("_m1")).alias("xend"), (F.col("CCA2") * scale - F.col("_m2")).alias("yend"),
+    )

@@ -124,6 +124,16 @@ def unnest(nested: DataFrame, keys: Sequence[str], rows: str = "rows") -> DataFr
     return nested.select(*keys, F.inline(rows))
 
 
+def order_levels_within(df: DataFrame, by: Sequence[str], level: str, order: str, name: str = "ord") -> DataFrame:
+    """(by..., level, ord): the levels of each group, numbered by their smallest value of `order`, equal ones by name.
+
+    Smallest values combine before the shuffle; the numbers come from range partitions, so a group may have any number of
+    levels and none is in one task. A level without a value comes first, a missing level has a number like others.
+    """
+    smallest = df.groupBy(*by, level).agg(F.min(order).alias("_low"))
+    return number_within(smallest, by, ["_low", level], name).drop("_low")
+
+
 def reorder_levels(df: DataFrame, category: str, by: str, name: str = "ord") -> DataFrame:
     """(category, ord): categories numbered by their smallest `by`, ties by name."""
     lowest = df.groupBy(category).agg(F.min(by).alias("_low"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import quarter_label, quarter_name, quarter_number, strict_mean
+from .quantiles import QuantileOf
 
 
 def quarter_axis(first: Column, last: Column, spans: DataFrame) -> DataFrame:
@@ -19,11 +20,18 @@ def quarter_axis(first: Column, last: Column, spans: DataFrame) -> DataFrame:
     return days.select(quarter_label("quarter_start").alias("time"), "ord", "quarter_start")
 
 
-def resample_month_to_quarter(
-    df: DataFrame, agg: Callable[[str], Column] = strict_mean, by: Sequence[str] = ()
-) -> DataFrame:
-    """Monthly rows -> one row per variable, region and quarter."""
-    quarters = df.groupBy(*by, "var", "geo", quarter_number("TIME_PERIOD").alias("_quarter")).agg(agg("values").alias("values"))
+Aggregate = Callable[[str], Column] | QuantileOf
+
+
+def resample_month_to_quarter(df: DataFrame, agg: Aggregate = strict_mean, by: Sequence[str] = ()) -> DataFrame:
+    """Monthly rows -> one row per variable, region and quarter.
+
+    `agg` is an aggregate column of a column's name, or an order statistic, which no single aggregate column can find
+    for groups of any size.
+    """
+    keys = [*by, "var", "geo", "_quarter"]
+    numbered = df.select(*by, "var", "geo", quarter_number("TIME_PERIOD").alias("_quarter"), "values")
+    quarters = agg.over(numbered, keys, "values") if isinstance(agg, QuantileOf) else numbered.groupBy(*keys).agg(agg("values").alias("values"))
     return quarters.select(*by, "var", "geo", quarter_name("_quarter").alias("time"), "values")
 
 
@@ -37,9 +45,7 @@ def complete_annual(df: DataFrame) -> DataFrame:
     return df.select("var", "geo", F.explode(_four_quarters()).alias("time"), "values")
 
 
-def resample_time(
-    df: DataFrame, agg: Callable[[str], Column] = strict_mean, by: Sequence[str] = ()
-) -> DataFrame:
+def resample_time(df: DataFrame, agg: Aggregate = strict_mean, by: Sequence[str] = ()) -> DataFrame:
     """(var, geo, freq, TIME_PERIOD, values) of mixed frequency -> (var, geo, time, values) by quarter.
 
     Each row follows its own `freq`: Q is kept, M aggregated, A repeated; any other frequency is an error. Columns named

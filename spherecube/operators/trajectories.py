@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import axis_of, domain_of
 from ..schema import AXIS_COLUMNS, POINT_STATES
+from ..runtime import materialise
 from .keys import category_order, concat_unique
 from .reshape import to_long
 
@@ -85,3 +86,64 @@ def trajectory_state(df: DataFrame, country: str, year) -> DataFrame:
 
 def sort_by_state(df: DataFrame) -> DataFrame:
     return df.orderBy("plot_order", "year", "country")
+
+
+def _power(level: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), level)
+
+
+def dyadic_pieces(start: Column, end: Column, levels: int) -> Column:
+    """The blocks (level, block) that make up start..end, both ends included; block b of level j holds b * 2^j .. (b + 1) * 2^j - 1.
+
+    At each level at most the first and the last block that the next level cannot take are used: O(levels) in all.
+    """
+
+    def pieces(level: Column) -> Column:
+        size = _power(level)
+        low, high = -F.floor(-start / size), F.floor((end + 1) / size)  # blocks low .. high - 1 lie within
+        top = level == levels - 1  # the last level takes all that is left
+        odd_low, odd_high = F.abs(low % 2) == 1, F.abs(high % 2) == 1
+        all_ = F.when(low < high, F.sequence(low, high - 1))
+        first = F.when(odd_low & (low < high), F.array(low))
+        last = F.when(odd_high & (F.when(odd_low, low + 1).otherwise(low) < high), F.array(high - 1))
+        empty = F.array().cast("array<long>")
+        blocks = F.when(top, F.coalesce(all_, empty)).otherwise(F.concat(F.coalesce(first, empty), F.coalesce(last, empty)))
+        return F.transform(blocks, lambda b: F.struct(level.alias("level"), b.alias("block")))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(levels - 1)), pieces))
+
+
+def interval_join(
+    points: DataFrame, intervals: DataFrame, keys: Sequence[str], at: str, start: str, end: str, how: str = "inner"
+) -> DataFrame:
+    """Points with the intervals of their keys that hold them: start <= at <= end, in whole numbers or dates.
+
+    An interval is cut into blocks of doubling size, at most two a level, and a point meets the blocks that hold it, one a
+    level. So the join is by equal values, whatever the intervals' lengths, and makes no row per unit of time; a point and
+    an interval meet in one block only. Levels follow the longest interval. An interval given backwards holds the same
+    points; one without an end, or without a key, and a point without a place hold and are in nothing. With `how="left"`
+    points in no interval stay, once, with missing values. Columns of both sides keep their names; those of the
+    intervals' keys go.
+    """
+    if how not in ("inner", "left"):
+        raise ValueError(f"unknown kind of join {how}")
+
+    def number(df: DataFrame, name: str) -> Column:
+        return F.unix_date(name) if dict(df.dtypes)[name] == "date" else F.col(name).cast("long")
+
+    rest = [c for c in intervals.columns if c not in keys]
+    ends = number(intervals, start), number(intervals, end)
+    held = intervals.where(F.col(start).isNotNull() & F.col(end).isNotNull())
+    low, high = F.least(*ends), F.greatest(*ends)
+    longest = held.agg(F.max(high - low + 1)).first()[0] or 1
+    levels = max(1, int(longest).bit_length())
+    cut = held.select(*keys, F.struct(*rest).alias("_interval"), F.inline(dyadic_pieces(low, high, levels)).alias("_level", "_block"))
+    place = number(points, at)
+    if how == "left":
+        points = materialise(points.withColumn("_point", F.monotonically_increasing_id()))
+    held_in = F.transform(F.sequence(F.lit(0), F.lit(levels - 1)), lambda j: F.struct(j.alias("level"), F.floor(place / _power(j)).alias("block")))
+    met = points.where(F.col(at).isNotNull()).select("*", F.inline(held_in).alias("_level", "_block")).join(cut, [*keys, "_level", "_block"])
+    if how == "inner":
+        return met.select(*points.columns, "_interval.*")
+    joined = points.join(met.select("_point", "_interval"), "_point", "left")
+    return joined.select(*[c for c in points.columns if c != "_point"], "_interval.*")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import quarter_start, strict_max_abs, united
-from ..operators.cca import AXES, CcaModel, cca_both_scores, cca_loadings, combination
+from ..operators.cca import AXES, CcaModel, cca_both_scores, cca_loadings, combination, pairwise_loadings
+from ..operators.density import density2d
+from ..operators.keys import order_levels_within
 from ..operators.normalize import processed_cube
 from ..operators.reshape import to_long
 from ..schema import KEYS, features_of
@@ -75,6 +77,21 @@ def trajectories_view(cube: DataFrame, model: CcaModel, x_sphere: str, y_sphere:
     return cube.select(*KEYS, name.alias("name"), highlighted(name, pattern).alias("highlight"), F.inline(F.array(*rows)))
 
 
+def trajectories_density(view: DataFrame, grid_n: int = 100) -> DataFrame:
+    """(direction, CCA1, CCA2, density): the density of the first two scores, for each direction of `trajectories_view`."""
+    found = density2d(view, "CCA1", "CCA2", grid_n, by=["direction"])
+    return found.withColumnsRenamed({"x": "CCA1", "y": "CCA2"})
+
+
+def pairwise_loadings_view(
+    spark: SparkSession, models: Mapping[tuple[str, str], CcaModel], features: DataFrame, order: str = "CCA1"
+) -> DataFrame:
+    """Loadings of all ordered pairs with the catalogue entry; `ord` is a feature's place in its pair, by the column `order`."""
+    loadings = pairwise_loadings(spark, models)
+    places = order_levels_within(loadings, ["x", "y"], "var_id", order)
+    return loadings.join(places, ["x", "y", "var_id"]).join(features, "var_id", "left")
+
+
 def chosen_variable(features: DataFrame, name: str) -> str:
     """The variable behind a label of the catalogue, of several the first by name; a score's name stands for itself."""
     if name in SCORES:
