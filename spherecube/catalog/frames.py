@@ -78,6 +78,13 @@ def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return customers(spark, sf_dir).select("geo3", "geo2", "geo1", "geo0")
 
 
+def settled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The regions, and for every tenth customer a region of a segment in which nobody orders."""
+    tree = customers(spark, sf_dir)
+    empty = tree.where("c_custkey % 10 = 0").withColumns({"geo2": F.expr("geo1 || 'Z'"), "geo3": F.expr("geo1 || 'Z' || c_custkey")})
+    return tree.unionByName(empty).select("geo3", "geo2", "geo1", "geo0")
+
+
 def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = table(spark, sf_dir, "orders").join(customers(spark, sf_dir), F.expr("o_custkey = c_custkey"))
     return joined.selectExpr(
@@ -252,13 +259,27 @@ def code_tables(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     return [c.select(v[a].alias(a), v[b].alias(b)) for a, b in (("V1", "V2"), ("V2", "V3"), ("V3", "V4"))]
 
 
+def split_tables(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """Two (older, newer) tables of blocks of customers: of four, of three within a hundred, and of fifty; some are unlinked."""
+    key = F.col("c_custkey")
+    hundred, rest = F.floor(key / 100), key % 100
+    v = {
+        "W1": F.when(key % 7 > 0, F.concat(F.lit("P"), F.floor(key / 4).cast("string"))),
+        "W2": F.when(key % 11 > 0, F.concat(F.lit("Q"), hundred.cast("string"), F.lit("-"), F.floor(rest / 3).cast("string"))),
+        "W3": F.concat(F.lit("S"), F.floor(key / 50).cast("string")),
+    }
+    c = table(spark, sf_dir, "customer")
+    return [c.select(v[a].alias(a), v[b].alias(b)).distinct() for a, b in (("W1", "W2"), ("W2", "W3"))]
+
+
 def cells(spark: SparkSession, sf_dir: str, version: str) -> DataFrame:
-    """A customer is a cell of a grid; regions are segments of nations (A), blocks of cells (B) or nations (C)."""
+    """A customer is a cell of a grid; regions are segments of nations (A), blocks of cells (B, D) or nations (C)."""
     c = customers(spark, sf_dir)
     x, y = F.floor(F.col("c_custkey") / 10).cast("int"), (F.col("c_custkey") % 10).cast("int")
     region = {
         "A": F.col("geo2"),
         "B": F.concat(F.lit("B"), F.floor(F.col("c_custkey") / 50).cast("string")),
         "C": F.col("geo1"),
+        "D": F.concat(F.lit("D"), F.floor(F.col("c_custkey") / 240).cast("string")),
     }[version]
     return c.select(region.alias("region"), x.alias("cell_x"), y.alias("cell_y"))

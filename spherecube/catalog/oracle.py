@@ -114,6 +114,16 @@ add("write_cube_roundtrip", _conformed.format(value=r("m", VALUES, 2)), "monthly
 add("split_write_roundtrip", f"""
 SELECT code || '_' || priority || '_' || status AS descriptor, geo, TIME_PERIOD, {V2} FROM indicator""", "indicator")
 
+_tile_cells = f"""
+SELECT v.var, g.geo3 AS geo, q.time, {r('l.value', VALUES, 2)}
+FROM (SELECT DISTINCT var_id AS var FROM raw_long WHERE var_id IN ('ord_value', 'ord_count', 'nama_net', 'fin_share')) v
+CROSS JOIN regions g CROSS JOIN {ALL_QUARTERS} q
+LEFT JOIN raw_long l ON l.var_id = v.var AND l.geo = g.geo3 AND l.time = q.time"""
+add("tile_roundtrip", _tile_cells, "regions", "raw_long")
+add("tile_slice_time", _tile_cells + " WHERE q.time IN ('1998-Q2', '1996-Q1')", "regions", "raw_long")
+add("tile_slice_region", _tile_cells + """
+WHERE g.geo3 IN (SELECT min_by(geo3, c_custkey) FROM customers UNION ALL SELECT max_by(geo3, c_custkey) FROM customers)""", "regions", "raw_long")
+
 # --- time and space ---------------------------------------------------------------------------------------------------
 
 add("quarter_axis", f"SELECT time, ord, quarter_start FROM {ALL_QUARTERS}")
@@ -151,10 +161,10 @@ SELECT 'v' AS var, g.geo3 AS geo, s.time, {r('s.v', VALUES, 2)}
 FROM regions g JOIN (SELECT geo{_level} AS code, time, sum(price) AS v FROM sales GROUP BY ALL) s ON s.code = g.geo{_level}""",
         "regions", "sales")
 
-_some = "(SELECT geo2 AS code, time, sum(price) AS v FROM sales WHERE substr(geo2, 3, 1) <= 'T' GROUP BY ALL)"
+_segments = "(SELECT geo2 AS code, time, sum(price) AS v FROM sales GROUP BY ALL)"
 for _name in ("expand_finest_right", "resample_space_finest"):
     add(_name, f"""
-SELECT g.geo3 AS geo, s.time, {r('s.v', VALUES, 2)} FROM regions g LEFT JOIN {_some} s ON s.code = g.geo2""", "regions", "sales")
+SELECT g.geo3 AS geo, s.time, {r('s.v', VALUES, 2)} FROM settled g LEFT JOIN {_segments} s ON s.code = g.geo2""", "settled", "sales")
 
 add("resample_space_majority", f"""
 SELECT var, geo, time, {V2} FROM mixed_level m JOIN {_majority} j USING (var) WHERE j.level = 3
@@ -516,6 +526,17 @@ FULL JOIN (SELECT V3, V4 FROM codes WHERE V4 IS NOT NULL) cd ON ab.V3 = cd.V3"""
 
 _overlap = "SELECT DISTINCT ON (a) a, {o} AS other, count(*) AS n FROM cells GROUP BY a, {o} ORDER BY a, n DESC, other"
 add("largest_overlap", f"SELECT a AS region, other, n::DOUBLE AS overlap FROM ({_overlap.format(o='b')})", "cells")
+add("largest_overlap_of_covers", f"SELECT a AS region, other, n::DOUBLE AS overlap FROM ({_overlap.format(o='b')})", "cells")
+add("overlap_of_covers", "SELECT b AS a, d AS b, count(*)::DOUBLE AS area FROM cells GROUP BY b, d", "cells")
+_SQL["harmonised_ids"] = with_frames("""
+SELECT 1""", "split").replace("WITH ", "WITH RECURSIVE ", 1).replace("SELECT 1", "")  + """, links AS (
+  SELECT coalesce('W1/' || W1, 'W2/' || W2) AS a, coalesce('W2/' || W2, 'W1/' || W1) AS b FROM split
+  UNION SELECT coalesce('W2/' || W2, 'W3/' || W3), coalesce('W3/' || W3, 'W2/' || W2) FROM split),
+both_ways AS (SELECT a, b FROM links WHERE a IS NOT NULL UNION SELECT b, a FROM links WHERE a IS NOT NULL),
+reached(node, far) AS (SELECT a, b FROM both_ways UNION SELECT r.node, l.b FROM reached r JOIN both_ways l ON l.a = r.far),
+named AS (SELECT node, min(least(node, far)) AS area FROM reached GROUP BY node)
+SELECT split_part(node, '/', 1) AS vintage, split_part(node, '/', 2) AS code,
+  split_part(area, '/', 1) AS area_vintage, split_part(area, '/', 2) AS area_code FROM named"""
 add("crosswalk_by_overlap", f"""
 SELECT space_id, version, region FROM (
   SELECT row_number() OVER (ORDER BY b.a) AS space_id, b.a AS A, b.other AS B, c.other AS C
@@ -549,6 +570,38 @@ SELECT country, geo3, row_number() OVER (PARTITION BY country ORDER BY low, geo3
 FROM (SELECT country, geo3, min(day) AS low FROM sales GROUP BY country, geo3)""", "sales")
 add("price_quantiles", f"""
 SELECT status, count(*) AS n, {', '.join(r(f'quantile_cont(price, 0.{p // 10})', f'q{p}', 4) for p in (10, 50, 90))} FROM sales GROUP BY status""", "sales")
+
+
+def gap_sql(key: str, cells: str) -> str:
+    """Islands of missing cells of (key, feature, ord, gap)."""
+    return f"""
+SELECT {key}, feature, sum(size)::BIGINT AS n, coalesce(sum(size) FILTER (gap), 0)::BIGINT AS missing, count(*) FILTER (gap) AS gaps,
+  coalesce(max(size) FILTER (gap), 0) AS longest, coalesce(max(size) FILTER (gap AND first = 0), 0) AS lead,
+  coalesce(max(size) FILTER (gap AND last = whole), 0) AS trail
+FROM (SELECT {key}, feature, gap, count(*) AS size, min(ord) AS first, max(ord) AS last, any_value(whole) AS whole
+  FROM (SELECT *, ord - row_number() OVER (PARTITION BY {key}, feature, gap ORDER BY ord) AS island, max(ord) OVER () AS whole FROM ({cells}))
+  GROUP BY {key}, feature, gap, island)
+GROUP BY {key}, feature"""
+
+
+add("gap_runs", gap_sql("geo", f"""
+SELECT g.geo, f.feature, q.ord, l.value IS NULL AS gap
+FROM (SELECT DISTINCT geo FROM raw) g CROSS JOIN (SELECT unnest({FEATURES!r}) AS feature) f CROSS JOIN {ALL_QUARTERS} q
+LEFT JOIN raw_long l ON l.geo = g.geo AND l.time = q.time AND l.var_id = f.feature"""), "raw", "raw_long")
+add("gap_runs_daily", gap_sql("geo2", """
+SELECT g.geo2, f.feature, date_diff('day', a.first, q.day)::BIGINT AS ord,
+  CASE f.feature WHEN 'price' THEN c.price IS NULL ELSE c.urgent IS NULL END AS gap
+FROM (SELECT DISTINCT geo2 FROM sales) g CROSS JOIN (VALUES ('price'), ('urgent')) f(feature)
+CROSS JOIN (SELECT min(day) AS first FROM sales) a
+CROSS JOIN (SELECT unnest(range(min(day)::TIMESTAMP, max(day)::TIMESTAMP + INTERVAL 1 DAY, INTERVAL 1 DAY))::DATE AS day FROM sales) q
+LEFT JOIN (SELECT geo2, day, sum(price) AS price, sum(CASE WHEN priority = '1-URGENT' THEN price END) AS urgent FROM sales GROUP BY ALL) c
+  ON c.geo2 = g.geo2 AND c.day = q.day"""), "sales")
+_moment_columns = {"ord_value": "ord_value / 1e5", "ord_count": "ord_count", "fin_share": "fin_share", "ship_qty": "ship_qty / 100", "ship_disc": "ship_disc"}
+add("moments_merged", " UNION ALL ".join(f"""
+SELECT time[6:7] AS season, '{a}' AS x, '{b}' AS y, count(*) AS n, {r(f'avg({_moment_columns[a]})', 'mean_x')}, {r(f'avg({_moment_columns[b]})', 'mean_y')},
+  {r(f'covar_samp({_moment_columns[a]}, {_moment_columns[b]})', 'cov')}
+FROM raw WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY season"""
+    for i, a in enumerate(_moment_columns) for b in list(_moment_columns)[i:]), "raw")
 add("category_order", """
 SELECT status, count(*) AS n, CASE status WHEN 'P' THEN 1 WHEN 'O' THEN 2 END::INTEGER AS ord FROM sales GROUP BY status""", "sales")
 add("lookup_first", f"""

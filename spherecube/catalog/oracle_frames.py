@@ -52,6 +52,8 @@ DEPENDS = {
     "features": ["catalog"],
     "codes": ["customers"],
     "cells": ["customers"],
+    "settled": ["customers"],
+    "split": ["customers"],
     "events_yearly": ["intervals"],
     "flagged": ["axes", "events_yearly"],
     "domains_wide": ["axes"],
@@ -183,6 +185,14 @@ SELECT 'AA' || c_custkey AS V1, CASE WHEN c_acctbal >= 0 THEN 'AA' || c_custkey
   CASE WHEN c_custkey % 10 = 0 THEN 'AB' ELSE 'AA' END || c_custkey AS V3,
   CASE WHEN c_acctbal < 9000 THEN CASE WHEN c_custkey % 15 = 0 THEN 'AB' ELSE 'AA' END || c_custkey END AS V4
 FROM customers""")
+frame("settled", """
+SELECT geo3, geo2, geo1, geo0 FROM customers
+UNION ALL SELECT geo1 || 'Z' || c_custkey, geo1 || 'Z', geo1, geo0 FROM customers WHERE c_custkey % 10 = 0""")
+frame("split", """
+SELECT CASE WHEN c_custkey % 7 > 0 THEN 'P' || (c_custkey // 4) END AS W1,
+  CASE WHEN c_custkey % 11 > 0 THEN 'Q' || (c_custkey // 100) || '-' || (c_custkey % 100 // 3) END AS W2,
+  'S' || (c_custkey // 50) AS W3
+FROM customers""")
 frame("cells", """
-SELECT geo2 AS a, 'B' || (c_custkey // 50) AS b, geo1 AS c, c_custkey // 10 AS cell_x, c_custkey % 10 AS cell_y
+SELECT geo2 AS a, 'D' || (c_custkey // 240) AS d, 'B' || (c_custkey // 50) AS b, geo1 AS c, c_custkey // 10 AS cell_x, c_custkey % 10 AS cell_y
 FROM customers""")

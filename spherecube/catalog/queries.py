@@ -15,12 +15,13 @@ from ..functions import (
     strict_max_abs, tidy, united,
 )
 from ..operators import (
-    cca, crosswalk, datasets, density, factors, keys, moments, normalize, quantiles, regions, reshape, timeaxis,
+    cca, covers, crosswalk, datasets, density, factors, gaps, keys, moments, normalize, quantiles, regions, reshape, timeaxis,
     trajectories,
 )
 from ..plans import country, cubes, views
 from ..runtime import materialise, scratch_path, tune
 from ..schema import COUNTRY_AXES, KEYS
+from ..sources import tiles
 from . import frames as fx
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -255,6 +256,29 @@ def write_cube_roundtrip(spark, d):
     return rounded(sources.read_cube(spark, path), "values", digits=2)
 
 
+def _tiles(spark, d):
+    axis = fx.dim_geo(spark, d)
+    long = normalize.cube_to_long(fx.order_cells(spark, d)).select(F.col("var_id").alias("var"), "geo", "time", F.col("value").alias("values"))
+    return tiles.write_tiles(long, fx.dim_time(spark, d), axis, scratch_path(spark, "tiles"), regions=256)
+
+
+@query
+def tile_roundtrip(spark, d):
+    return rounded(tiles.read_tiles(spark, _tiles(spark, d)), "values", digits=2)
+
+
+@query
+def tile_slice_time(spark, d):
+    return rounded(tiles.read_tiles(spark, _tiles(spark, d), times=["1998-Q2", "1996-Q1"]), "values", digits=2)
+
+
+@query
+def tile_slice_region(spark, d):
+    """All times of the first and of the last region."""
+    first, last = fx.dim_geo(spark, d).agg(F.min_by("label", "ord"), F.max_by("label", "ord")).first()
+    return rounded(tiles.read_tiles(spark, _tiles(spark, d), regions=[first, last]), "values", digits=2)
+
+
 @query
 def split_write_roundtrip(spark, d):
     path = sources.split_write(fx.indicator(spark, d), "ord_val", scratch_path(spark, "split"))
@@ -340,16 +364,14 @@ def expand_level0(spark, d):
     return regions.expand_to_children(data, fx.regions(spark, d), 0)
 
 
-def _some_segments(spark, d):
-    """Cells of the segments of four in five nations, so that the segments of the others have none."""
-    return fx.sales(spark, d).where(F.substring("geo2", 3, 1) <= "T").groupBy(F.col("geo2").alias("geo"), "time").agg(
-        F.sum("price").alias("values")
-    )
+def _segments(spark, d):
+    return fx.sales(spark, d).groupBy(F.col("geo2").alias("geo"), "time").agg(F.sum("price").alias("values"))
 
 
 @query
 def expand_finest_right(spark, d):
-    out = regions.expand_to_children_right(_some_segments(spark, d), fx.regions(spark, d), 2)
+    """All segments, on a tree that also has segments without orders."""
+    out = regions.expand_to_children_right(_segments(spark, d), fx.settled(spark, d), 2)
     return rounded(out.select("geo", "time", "values"), "values", digits=2)
 
 
@@ -362,8 +384,8 @@ def resample_space_majority(spark, d):
 
 @query
 def resample_space_finest(spark, d):
-    tree = fx.regions(spark, d)
-    data = _some_segments(spark, d).unionByName(fx.at_level(spark, d, 0, "v").drop("var"))
+    tree = fx.settled(spark, d)
+    data = _segments(spark, d).unionByName(fx.at_level(spark, d, 0, "v").drop("var"))
     return rounded(regions.resample_space(data, tree, regions.region_levels(tree), "finest"), "values", digits=2)
 
 
@@ -883,6 +905,26 @@ def largest_overlap(spark, d):
     return out
 
 
+@query
+def overlap_of_covers(spark, d):
+    """Areas that blocks of 50 customers share with blocks of 240, both as covers of cells of mixed size."""
+    a, b = (materialise(covers.quad_cover(fx.cells(spark, d, v))) for v in "BD")
+    return covers.cover_overlap(a, b)
+
+
+@query
+def largest_overlap_of_covers(spark, d):
+    """The same as from unit cells."""
+    a, b = (materialise(covers.quad_cover(fx.cells(spark, d, v))) for v in "AB")
+    return covers.largest_overlap_of_covers(a, b)
+
+
+@query
+def harmonised_ids(spark, d):
+    """Areas over three vintages whose codes split and merge in chains."""
+    return crosswalk.harmonised_ids(fx.split_tables(spark, d))
+
+
 @query
 def crosswalk_by_overlap(spark, d):
     later = {"B": fx.cells(spark, d, "B"), "C": fx.cells(spark, d, "C")}
@@ -945,6 +987,35 @@ def level_order_within(spark, d):
     return keys.order_levels_within(fx.sales(spark, d), ["country"], "geo3", "day")
 
 
+@query
+def gap_runs(spark, d):
+    """Runs of quarters without a value, by region and feature."""
+    axis = fx.dim_time(spark, d).withColumnRenamed("label", "time")
+    return gaps.gap_runs(fx.raw_cube(spark, d), axis, fx.CUBE_FEATURES)
+
+
+@query
+def gap_runs_daily(spark, d):
+    """Runs of days without an order, and without an urgent one, by segment: an axis of some forty blocks."""
+    daily = fx.sales(spark, d).groupBy("geo2", F.col("day").alias("time")).agg(
+        F.sum("price").alias("price"), F.sum(F.when(F.col("priority") == "1-URGENT", F.col("price"))).alias("urgent")
+    )
+    days = daily.agg(F.sequence(F.min("time"), F.max("time")).alias("days")).select(F.posexplode("days").alias("ord", "time"))
+    return gaps.gap_runs(daily, days, ["price", "urgent"], "geo2")
+
+
+@query
+def moments_merged(spark, d):
+    """Co-moments by season: the state of the years to 1996, to which later quarters are added."""
+    cube = fx.stored_cube(spark, d).withColumns({"ord_value": F.col("ord_value") / 1e5, "ship_qty": F.col("ship_qty") / 100})
+    seasons = cube.withColumn("season", F.substring("time", 6, 2))
+    features = ["ord_value", "ord_count", "fin_share", "ship_qty", "ship_disc"]
+    old = materialise(moments.moment_state(seasons.where("time < '1997'"), features, ["season"]))
+    new = moments.moment_state(seasons.where("time >= '1997'"), features, ["season"])
+    merged = moments.moments_of(moments.merged_states([old, new], ["season"]), ["season"])
+    return rounded(merged, "mean_x", "mean_y", "cov")
+
+
 @query
 def category_order(spark, d):
     counts = fx.sales(spark, d).groupBy("status").agg(F.count(F.lit(1)).alias("n"))

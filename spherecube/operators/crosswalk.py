@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import region_code
+from .components import components, extended
 
 
 def extract_codes(table: DataFrame) -> DataFrame:
@@ -39,6 +40,28 @@ def harmonise_codes(tables: Sequence[DataFrame]) -> DataFrame:
     return crosswalk_chain([extract_codes(t) for t in tables])
 
 
+def _node(vintage: str) -> Column:
+    return F.when(F.col(vintage).isNotNull(), F.struct(F.lit(vintage).alias("vintage"), F.col(vintage).alias("code")))
+
+
+def harmonised_ids(tables: Sequence[DataFrame]) -> DataFrame:
+    """(vintage, code, area_vintage, area_code): one name per area for its codes in all vintages.
+
+    Each table links (older, newer) codes that are the same area, in whole or in part; a code may split into several and
+    several may merge into one. Codes that links join, directly or over other vintages, are one area, named by its
+    smallest vintage and code. Vintages are taken one after the other: a new one works on its own links and on the areas
+    they join, not on all former links. A code without a partner in a table is an area of its own if no other table
+    links it.
+    """
+    known = None
+    for table in tables:
+        older, newer = (_node(c) for c in table.columns)
+        # A code without a partner is linked with itself.
+        links = table.select(F.coalesce(older, newer).alias("a"), F.coalesce(newer, older).alias("b"))
+        known = components(links) if known is None else extended(known, links)
+    return known.select("node.vintage", "node.code", F.col("component.vintage").alias("area_vintage"), F.col("component.code").alias("area_code"))
+
+
 def sort_by_length(df: DataFrame, col: str) -> DataFrame:
     """Shorter codes first, equal lengths by value, missing codes last."""
     return df.orderBy(F.length(col).asc_nulls_last(), F.col(col).asc_nulls_last())

@@ -98,10 +98,17 @@ def common_observations(frames: Sequence[DataFrame], keys: Sequence[str]) -> Dat
     return seen.where("_in_all").drop("_in_all")
 
 
-def concat_unique(df: DataFrame, keys: Sequence[str], col: str, sep: str, name: str) -> DataFrame:
-    """Distinct texts of a key in one text. Repeats are dropped before anything is collected."""
+def concat_unique(df: DataFrame, keys: Sequence[str], col: str, sep: str, name: str, size: int = 10_000) -> DataFrame:
+    """Distinct texts of a key in one text, in ascending order. Repeats are dropped before anything is collected.
+
+    Range partitions number a key's texts, every `size` of them are joined in a task of their own, and only the joined
+    chunks of a key meet.
+    """
     once = df.select(*keys, col).where(F.col(col).isNotNull()).distinct()
-    return once.groupBy(*keys).agg(F.array_join(F.sort_array(F.collect_list(col)), sep).alias(name))
+    numbered = number_within(once, keys, [col], "_n").withColumn("_chunk", F.floor((F.col("_n") - 1) / size))
+    chunks = numbered.groupBy(*keys, "_chunk").agg(F.array_join(F.sort_array(F.collect_list(col)), sep).alias("_text"))
+    ordered = F.sort_array(F.collect_list(F.struct("_chunk", "_text")))
+    return chunks.groupBy(*keys).agg(F.array_join(ordered["_text"], sep).alias(name))
 
 
 def nest_by(df: DataFrame, keys: Sequence[str], order: Sequence[str], size: int = 1000) -> DataFrame:

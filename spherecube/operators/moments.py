@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Relative residual variance below which a feature counts as a combination of others.
@@ -122,3 +123,49 @@ def dependent_features(moments: Moments) -> list[str]:
         else:
             basis.append(k)
     return found
+
+
+def moment_state(df: DataFrame, features: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """(by..., x, y, n, mean_x, mean_y, product): co-moments of each pair of features over the rows that have both.
+
+    `product` is the sum of products of deviations from the means. One aggregation; the result does not grow with the
+    rows, and states of different rows add up, see `merged_states`. NaN counts as missing.
+    """
+    pairs = [(a, b) for i, a in enumerate(features) for b in features[i:]]
+    held = {c: F.when(~F.isnan(F.col(f"`{c}`").cast("double")), F.col(f"`{c}`").cast("double")) for c in features}
+    rows = df.select(*by, *[v.alias(f"_{k}") for k, v in enumerate(held.values())])
+    place = {c: f"_{k}" for k, c in enumerate(features)}
+    entries = []
+    for a, b in pairs:
+        both = F.col(place[a]).isNotNull() & F.col(place[b]).isNotNull()
+        x, y = F.when(both, F.col(place[a])), F.when(both, F.col(place[b]))
+        n = F.count(F.when(both, 1))
+        entries.append(F.struct(
+            F.lit(a).alias("x"), F.lit(b).alias("y"), n.alias("n"), F.avg(x).alias("mean_x"), F.avg(y).alias("mean_y"), (F.covar_pop(x, y) * n).alias("product"),
+        ))
+    grouped = rows.groupBy(*by).agg(F.array(*entries).alias("_all"))
+    return grouped.select(*by, F.inline("_all")).where("n > 0")
+
+
+def merged_states(states: Sequence[DataFrame], by: Sequence[str] = ()) -> DataFrame:
+    """The state of all rows behind the `states` together. Neither their rows nor their order matter.
+
+    Means are merged by weight, and a state's products gain what its means differ from the common ones.
+    """
+    parts = reduce(DataFrame.unionByName, states)
+    total = parts.groupBy(*by, "x", "y").agg(
+        F.sum("n").alias("n"), F.collect_list(F.struct("n", "mean_x", "mean_y", "product")).alias("_parts")  # as many as states
+    )
+
+    def mean(c: str) -> Column:
+        return F.aggregate("_parts", F.lit(0.0), lambda s, p: s + p["n"] / F.col("n") * p[c])
+
+    merged = total.withColumns({c: mean(c) for c in ("mean_x", "mean_y")})
+    product = F.aggregate("_parts", F.lit(0.0), lambda s, p: s + p["product"] + p["n"] * (p["mean_x"] - F.col("mean_x")) * (p["mean_y"] - F.col("mean_y")))
+    return merged.select(*by, "x", "y", "n", "mean_x", "mean_y", product.alias("product"))
+
+
+def moments_of(state: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., x, y, n, mean_x, mean_y, cov): what a state says; no covariance of a single row."""
+    cov = F.when(F.col("n") > 1, F.col("product") / (F.col("n") - 1))
+    return state.select(*by, "x", "y", "n", "mean_x", "mean_y", cov.alias("cov"))

@@ -42,16 +42,25 @@ def lag_by(df: DataFrame, part: Sequence[str], order: str, col: str, name: str,
     """Value of the row before, within `part` and by the number `order`, which must identify a row there.
 
     A group is cut into blocks of `span` order units that different tasks handle; only the last value of every block
-    goes on to the next one.
+    goes on to the next one. The ends of the blocks are carried on in the same way, by blocks of blocks, until a group
+    has at most `span` of them: so no task sees more than `span` places of a group, however long it is.
     """
+    low, high = df.agg(F.floor(F.min(order) / span), F.floor(F.max(order) / span)).first()
+    return _lagged(df, list(part), order, col, name, span, 0 if low is None else int(high) - int(low) + 1)
+
+
+def _lagged(df: DataFrame, part: list[str], order: str, col: str, name: str, span: int, blocks: int) -> DataFrame:
+    """`blocks`: how many blocks of `span` units a group can have."""
     block = F.floor(F.col(order) / span)
     blocked = df.withColumn("_block", block)
     inside = Window.partitionBy(*part, "_block").orderBy(order)
     ends = blocked.groupBy(*part, "_block").agg(F.max_by(F.struct(F.col(col).alias("v")), order).alias("_end"))
-    ends = ends.select(
-        *[F.col(c).alias(f"_p{k}") for k, c in enumerate(part)], F.col("_block").alias("_b"),
-        F.lag("_end").over(Window.partitionBy(*part).orderBy("_block")).alias("_before"),
-    )
+    if blocks > span:
+        ends = _lagged(ends.withColumnRenamed("_block", "_place"), part, "_place", "_end", "_before", span, -(-blocks // span) + 1)
+        ends = ends.withColumnRenamed("_place", "_block")
+    else:
+        ends = ends.withColumn("_before", F.lag("_end").over(Window.partitionBy(*part).orderBy("_block")))
+    ends = ends.select(*[F.col(c).alias(f"_p{k}") for k, c in enumerate(part)], F.col("_block").alias("_b"), "_before")
     same = reduce(
         Column.__and__, [F.col(c).eqNullSafe(F.col(f"_p{k}")) for k, c in enumerate(part)],
         F.col("_block").eqNullSafe(F.col("_b")),
