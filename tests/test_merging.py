@@ -211,11 +211,11 @@ def test_tiles_come_back_whole(spark, tiled):
     assert read(tiles.read_tiles(spark, path)) == every | cells
 
 
-def files_read(df, folder):
-    """Files that the scans of a folder have read."""
+def files_read(df, column):
+    """Files read by the scans that have the column."""
     leaves = df._jdf.queryExecution().executedPlan().collectLeaves()
     scans = [leaves.apply(k) for k in range(leaves.length())]
-    return sum(s.metrics().apply("numFiles").value() for s in scans if folder in s.toString())
+    return sum(s.metrics().apply("numFiles").value() for s in scans if column in s.toString())
 
 
 def test_slices_read_their_own_files_only(spark, tiled):
@@ -227,7 +227,7 @@ def test_slices_read_their_own_files_only(spark, tiled):
             got = tiles.read_tiles(spark, path, times, regions)
             wanted = {k: v for k, v in whole.items() if (times is None or k[2] in times) and (regions is None or k[1] in regions)}
             assert read(got) == wanted and len(wanted) > 0
-            assert files_read(got, "/tiles") == most
+            assert files_read(got, "tile_geo") == most
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     with pytest.raises(ValueError, match="not on the axis"):
