@@ -63,7 +63,8 @@ def event_caption(flagged: DataFrame, country: str, year, sep: str = "\n") -> Da
 def pca_frame(long: DataFrame, country: str, year) -> tuple[DataFrame, DataFrame]:
     """Path of one country in the plane of its first two components up to `year`, and the rotation.
 
-    Of each year the row of the first axis counts.
+    Of each year the row of the first axis counts. A year without a value in each of the three domains has no place in the
+    plane: it takes no part in the fit and is not in the path.
     """
     wide = domains_wide(long.where(F.col("country") == country)).dropna(subset=list(DOMAIN_NAMES))
     yearly = materialise(first_per_key(wide, ["country", "year"], ["cca_axis"]))

@@ -7,6 +7,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes of an Arrow batch that Spark sends to a Python worker.
+ARROW_BYTES = 4 << 20
+
+
+def bound_arrow(spark: SparkSession) -> None:
+    """Arrow batches of about ARROW_BYTES, for all operators alike.
+
+    Spark's own limits are 10,000 rows and 64 MB, and each task holds several such batches outside the heap, where long
+    texts or arrays would fill an executor's memory. The setting is the session's: there is none by operator.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+
 def tune(spark: SparkSession) -> SparkSession:
     """Adaptive execution with skew splitting, also where splitting costs one more shuffle.
 
@@ -18,6 +31,7 @@ def tune(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    bound_arrow(spark)
     return spark
 
 
