@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spherecube.runtime import materialise, remove_stage
+from spherecube.runtime import bound_arrow, materialise, remove_stage
 
 #: Fixed value: white space that separates words, as a regular expression class.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,18 +20,13 @@ SPACES = r"[\x20\x09-\x0D]+"
 #: Characters of text that an Arrow pass works on at a time, so that its memory does not follow the batch.
 SLICE_CHARS = 2_000_000
 
-#: Bytes of an Arrow batch that Spark sends to a Python worker. Its own limits are 10,000 rows and 64 MB, and each task
-#: holds several such batches outside the heap.
-BATCH_BYTES = 4 << 20
-
-
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def bounded_batches(docs: DataFrame) -> DataFrame:
-    """`docs`, whose session sends Arrow batches of about BATCH_BYTES from now on."""
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """`docs`, in whose session Arrow batches are bounded, as `tune` has them."""
+    bound_arrow(docs.sparkSession)
     return docs
 
 
@@ -45,7 +41,10 @@ def is_fold(doc_id, modulus: int, remainder: int):
 
 
 def in_slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """The rows of `batches` in pieces of at most `SLICE_CHARS` bytes of text, or one row."""
+    """The rows of `batches` in pieces of at most `SLICE_CHARS` bytes of text, or one row.
+
+    After each batch, memory that is free by then goes back to the system.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -58,6 +57,7 @@ def in_slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator
             total += size
         for a, b in [*ends, (start, batch.num_rows)]:
             yield batch.slice(a, b - a)
+        give_back()
 
 
 def text_slices(texts: pa.Array) -> Iterator[list[bytes]]:
@@ -74,6 +74,19 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def give_back() -> None:
+    """Returns memory that numpy and Arrow have freed to the system: a worker outlives its tasks and keeps it otherwise."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None and hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
+try:
+    _LIBC = ctypes.CDLL(None)
+except OSError:  # a system without a common library of C
+    _LIBC = None
+
+
 _HELD: dict[str, object] = {}
 
 
@@ -114,6 +127,11 @@ def maybe_in(words: Column, key: Column, bits: int) -> Column:
     return found[0] & found[1] & found[2]
 
 
+def in_few(df: DataFrame, rows: int) -> DataFrame:
+    """`df` of about `rows` short rows in as many partitions as such rows need: small tables are not written as many files."""
+    return df.coalesce(8 + rows // 100_000)
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Rows (v, component) for every vertex of the undirected `edges` (a, b); component is the smallest vertex reached.
 
@@ -124,23 +142,21 @@ def connected_components(edges: DataFrame) -> DataFrame:
     edges = materialise(edges.select(F.col("a").alias("a"), F.col("b").alias("b")).where("a <> b"))
     names, level = None, 0
     first = edges
-    while not edges.isEmpty():
+    while size := edges.count():
         level += 1
         rank = lambda c: F.struct(F.xxhash64(c, F.lit(level)).alias("h"), c.alias("v"))  # noqa: B023, E731
         both = edges.union(edges.select("b", "a"))
-        joined = materialise(
-            both.groupBy("a").agg(F.min(rank(F.col("b"))).alias("m"))
-            .select(F.col("a").alias("v"), F.least(rank(F.col("a")), F.col("m"))["v"].alias("r"))
-        )
+        chosen = both.groupBy("a").agg(F.min(rank(F.col("b"))).alias("m"))
+        chosen = chosen.select(F.col("a").alias("v"), F.least(rank(F.col("a")), F.col("m"))["v"].alias("r"))
+        joined = materialise(in_few(chosen, size))
         left, right = (joined.select(F.col("v").alias(x), F.col("r").alias(f"r{x}")) for x in "ab")
-        shorter = materialise(
-            edges.join(left, "a").join(right, "b").where("ra <> rb")
-            .select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
-        )
+        lifted = edges.join(left, "a").join(right, "b").where("ra <> rb")
+        shorter = materialise(in_few(lifted.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), size))
         step = joined.select(F.col("v").alias("r"), F.col("r").alias("s"))
-        moved = joined if names is None else materialise(
-            names.join(step, "r", "left").select("v", F.coalesce("s", "r").alias("r"))
-        )
+        if names is None:
+            moved, known = joined, 2 * size
+        else:
+            moved = materialise(in_few(names.join(step, "r", "left").select("v", F.coalesce("s", "r").alias("r")), known))
         for stale in (None if edges is first else edges, names, joined if names is not None else None):
             if stale is not None:
                 remove_stage(stale)

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from spherecube.runtime import materialise, remove_stage
 
-from .common import bloom_words, bounded_batches, connected_components, in_slices, maybe_in
+from .common import bloom_words, bounded_batches, connected_components, give_back, in_few, in_slices, maybe_in
 from .words import ODD, batch_words, mix, texts_of
 
 #: Most bits of the filter that keeps documents without a candidate out of the second reading (4 MiB); from some 20 million
@@ -39,8 +39,9 @@ BUCKET, GROUP = 500_000, 5000
 #: A shingle is reported by a slice if one in OFTEN of its documents has it, and hot if all reports together are one in HOT
 #: of all documents, LEAST_HOT at least.
 OFTEN, HOT, LEAST_HOT = 64, 256, 5000
-#: Pairs over components by row from which on documents are compared by stars once more, before all pairs left are.
-FEW = 16
+#: Pairs of different components by row, up to which all of them are looked at by size and place; and of those that may
+#: still link, up to which all are compared. Beyond, documents are compared by stars once more.
+WIDE, FEW = 1024, 1
 #: Fragments of the order in which overlaps are counted: 2 to this power.
 COUNT_BITS = 3
 
@@ -205,6 +206,7 @@ def shown_shingles(docs: DataFrame, reps: DataFrame, hot: np.ndarray, total: int
         group, columns = group[order], [c[order] for c in columns]
         starts = np.flatnonzero(np.diff(group, prepend=-1))
         parts = [[c for c in np.split(x, starts[1:])] if len(starts) else [] for x in columns]
+        give_back()
         return pa.table({"g": pa.array(group[starts], pa.int64()), **{n: pa.array(x, pa.list_(pa.int64())) for n, x in zip(names_counted, parts, strict=True)}})
 
     def heads(table: pa.Table) -> pa.Table:
@@ -218,6 +220,7 @@ def shown_shingles(docs: DataFrame, reps: DataFrame, hot: np.ndarray, total: int
         held = np.diff(np.append(starts, len(docs_)))
         pos = np.arange(len(docs_)) - np.repeat(starts, held) + sizes - after - np.repeat(held, held)
         shown = pos < shows(sizes)
+        give_back()
         out = (names[shown], late_names), (docs_[shown], late_docs), (sizes[shown], late_sizes), (pos[shown], -1 - late_pos)
         return pa.table({n: np.concatenate(x) for n, x in zip(("token", "rep", "n", "pos"), out, strict=True)})
 
@@ -272,7 +275,7 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
         .select("a", "b", "sa", "sb", "na", "nb", F.size(F.array_intersect("ta", "tb")).cast("long").alias("part"))
         .groupBy("a", "b", "sa", "sb", "na", "nb").agg(F.sum("part").alias("both"))
     )
-    linked = materialise(counted.where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b").distinct())
+    linked = materialise(in_few(counted.where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b").distinct(), pairs.count()))
     remove_stage(parts)
     return linked
 
@@ -310,13 +313,14 @@ def across(rows: DataFrame, may_link, percent: int) -> DataFrame:
 def with_links(near: DataFrame, links: DataFrame) -> DataFrame:
     """The components `near` (v, component) after more links (a, b): only components that the links join are worked on."""
     ends = links.select(F.explode(F.array("a", "b")).alias("v")).distinct()
+    size = near.count() + 2 * links.count()
     known = near.unionByName(ends.join(near, "v", "left_anti").withColumn("component", F.col("v")))
-    known = materialise(known)
+    known = materialise(in_few(known, size))
     left, right = (known.select(F.col("v").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
     lifted = links.join(left, "a").join(right, "b").where("ca <> cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct()
-    joined = materialise(connected_components(lifted))
+    joined = materialise(in_few(connected_components(lifted), size))
     renamed = joined.select(F.col("v").alias("component"), F.col("component").alias("to"))
-    out = materialise(known.join(renamed, "component", "left").select("v", F.coalesce("to", "component").alias("component")))
+    out = materialise(in_few(known.join(renamed, "component", "left").select("v", F.coalesce("to", "component").alias("component")), size))
     for stage in (known, joined, near):
         remove_stage(stage)
     return out
@@ -355,7 +359,7 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Da
     links = verified(tried, docs, width, percent)
     changed = members.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("doc_id", "a")
     more = members.join(changed, "doc_id").select("a", F.col("rep").alias("b")).where("a < b").distinct()
-    near = materialise(connected_components(links.union(more)))
+    near = materialise(in_few(connected_components(links.union(more)), 2 * links.count()))
     remove_stage(links)
 
     several = materialise(shared.where("k > 2").select("token", "rep", "n", "pos"))
@@ -380,9 +384,16 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Da
         several = rest
         if not rows:
             break
-        last = open_ <= FEW * rows or (left is not None and 2 * open_ > left)
-        found = across(several, may_link, percent) if last else star_of(several, turn, may_link)
-        found = materialise(found.distinct().join(tried, ["a", "b"], "left_anti"))
+        stuck = left is not None and 2 * open_ > left  # the last round has not halved them
+        found = None
+        if stuck or open_ <= WIDE * rows:
+            found = materialise(in_few(across(several, may_link, percent).distinct().join(tried, ["a", "b"], "left_anti"), rows))
+            last = stuck or found.count() <= FEW * rows
+        if not last:
+            if found is not None:
+                remove_stage(found)
+            found = star_of(several, turn, may_link).distinct().join(tried, ["a", "b"], "left_anti")
+            found = materialise(in_few(found, rows))
         if not found.isEmpty():
             links = verified(found, docs, width, percent)
             near = with_links(near, links)

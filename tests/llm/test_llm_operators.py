@@ -122,8 +122,10 @@ def test_copies_that_miss_the_smallest_are_not_all_compared(spark, monkeypatch):
     assert sum(compared) < 1000
 
 
-def test_rounds_lose_no_link(corpus, monkeypatch):
+@pytest.mark.parametrize("wide", [0, 1024])
+def test_rounds_lose_no_link(corpus, monkeypatch, wide):
     monkeypatch.setattr(ngram_join, "FEW", 0)
+    monkeypatch.setattr(ngram_join, "WIDE", wide)
     rows = [(r["doc_id"], r["text"]) for r in corpus.collect()]
     assert sorted_rows(ngram_join.jaccard_components(corpus, 5, 80), "doc_id", "n_shingles", "component_id") == linked(rows, 5, 80)
 
