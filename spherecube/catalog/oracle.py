@@ -325,6 +325,58 @@ def loadings(x: list[str], side: str, table: str = "m", extra: str = "") -> str:
 
 add_cca("cca_loadings", loadings(X, "x"))
 
+
+
+def canonical_correlations(x: list[str], y: list[str], table: str) -> str:
+    """Tables ending in `cor` (c1, c2, c3): canonical correlations of any features with three others.
+
+    Covariances, their Cholesky factors entry by entry, the whitened cross-covariance by forward substitution, and the
+    eigenvalues of its 3 x 3 Gram matrix by the trigonometric formula.
+    """
+    names, tables, last = [*x, *y], [], "s0"
+    p, q = len(x), len(y)
+    cov = lambda a, b: f"s_{min(a, b)}_{max(a, b)}"
+    entries = [f"covar_samp({names[a]}, {names[b]}) AS {cov(a, b)}" for a in range(p + q) for b in range(a, p + q)]
+    tables.append(f"s0 AS (SELECT {', '.join(entries)} FROM {table})")
+
+    def add_columns(columns: list[str]) -> None:
+        nonlocal last
+        new = f"s{len(tables)}"
+        tables.append(f"{new} AS (SELECT *, {', '.join(columns)} FROM {last})")
+        last = new
+
+    for side, start, size in (("l", 0, p), ("k", p, q)):
+        for j in range(size):
+            done = " + ".join([f"{side}_{j}_{m} * {side}_{j}_{m}" for m in range(j)] or ["0"])
+            add_columns([f"sqrt({cov(start + j, start + j)} - ({done})) AS {side}_{j}_{j}"])
+            below = []
+            for r_ in range(j + 1, size):
+                done = " + ".join([f"{side}_{r_}_{m} * {side}_{j}_{m}" for m in range(j)] or ["0"])
+                below.append(f"({cov(start + r_, start + j)} - ({done})) / {side}_{j}_{j} AS {side}_{r_}_{j}")
+            if below:
+                add_columns(below)
+    for r_ in range(p):  # rows whitened on the left, then columns on the right
+        add_columns([f"({cov(r_, p + c)} - ({' + '.join([f'l_{r_}_{m} * w_{m}_{c}' for m in range(r_)] or ['0'])})) / l_{r_}_{r_} AS w_{r_}_{c}" for c in range(q)])
+    for c in range(q):
+        add_columns([f"(w_{r_}_{c} - ({' + '.join([f'k_{c}_{m} * v_{r_}_{m}' for m in range(c)] or ['0'])})) / k_{c}_{c} AS v_{r_}_{c}" for r_ in range(p)])
+    add_columns([f"{' + '.join(f'v_{m}_{a} * v_{m}_{b}' for m in range(p))} AS g{a}{b}" for a in range(3) for b in range(a, 3)])
+    add_columns(["(g00 + g11 + g22) / 3 AS mean"])
+    add_columns(["sqrt(((g00 - mean) ** 2 + (g11 - mean) ** 2 + (g22 - mean) ** 2 + 2 * (g01 ** 2 + g02 ** 2 + g12 ** 2)) / 6) AS size"])
+    add_columns(["""acos(greatest(-1, least(1, ((g00 - mean) * ((g11 - mean) * (g22 - mean) - g12 ** 2) - g01 * (g01 * (g22 - mean) - g12 * g02)
+  + g02 * (g01 * g12 - (g11 - mean) * g02)) / (2 * size ** 3)))) / 3 AS angle"""])
+    turn = (0, 4, 2)
+    tables.append("cor AS (SELECT " + ", ".join(f"sqrt(greatest(mean + 2 * size * cos(angle + {t} * pi() / 3), 0)) AS c{k}" for k, t in enumerate(turn, 1)) + f" FROM {last})")
+    return ",\n".join(tables)
+
+
+_many_x, _many_y = ["ord_value", "ord_count", "ord_size", "nama_net", "fin_share"], ["ship_qty", "ship_disc", "ship_sq"]
+_many = with_frames("SELECT 1", "raw")
+_many = _many[: _many.rindex("\nSELECT 1")] + f""",
+many AS (SELECT {', '.join(f'{zscore(c)} AS {c}' for c in [*_many_x, *_many_y])}
+  FROM (SELECT *, ord_value / ord_count AS ord_size, ship_qty ** 2 AS ship_sq FROM raw)),
+""" + canonical_correlations(_many_x, _many_y, "many")
+_SQL["cca_many"] = _many + "\n" + " UNION ALL ".join(f"SELECT {k} AS axis, {r(f'c{k}', 'correlation')} FROM cor" for k in (1, 2, 3))
+
 SPHERES = {"atmo": ["ship_qty", "ship_disc"], "bio": ["ord_value", "ord_count"], "socio": ["nama_net", "fin_share"]}
 _pairs = list(permutations(SPHERES, 2))
 _pair_models = ",\n".join(two_by_two("scaled", SPHERES[a], SPHERES[b], f"_{a}_{b}") for a, b in _pairs)
