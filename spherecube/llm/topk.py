@@ -1,7 +1,7 @@
 """Exact search of the largest inner products with two cover trees.
 
-Equal vectors are one, with their smallest ids. The vectors are dealt into blocks by their nearest pivot; every block is
-indexed by a cover tree, and so are the queries that meet it. Pairs of nodes are visited together: a pair is pruned when
+Equal vectors are one, with their smallest ids. The vectors are dealt into blocks by a tree of pivots that grows with them, and so
+are the queries into pools; every block is indexed by a cover tree, and so are the queries that meet it. Pairs of nodes are visited together: a pair is pruned when
 no inner product within its covering radii can reach the worst k-th score among its queries. The scores of a bounded
 set of vectors give every query a first k-th score, so blocks and nodes are pruned from the start.
 """
@@ -19,6 +19,8 @@ from spherecube.runtime import materialise
 
 #: Vectors of a block and of a leaf, queries that meet a block together, pivots, and vectors for first k-th scores.
 BLOCK, LEAF, QUERIES, PIVOTS, SEEDS = 4096, 64, 8192, 64, 1024
+#: Splits of a cell at most, and vectors that meet a cell's pivots together.
+DEPTH, DEALT = 8, 16_384
 #: A child covers this share of its parent's radius.
 SHRINK = 0.7
 
@@ -163,6 +165,41 @@ def _smallest(rows: DataFrame, k: int) -> DataFrame:
     return ranked.groupBy("v").agg(F.array_sort(F.collect_set("vec_id")).alias("ids"))
 
 
+def dealt(rows: DataFrame, most: int, columns: str, least: int = 2) -> DataFrame:
+    """`rows` (v, key, cell, ...: `columns`) with cells of at most `most` vectors, found by a tree of pivots.
+
+    A cell that is too large is split by the nearest of its own pivots, its vectors of smallest key: about twice as many as
+    it needs, from `least` to PIVOTS. So cells get narrower as the table grows, and no pivots of the whole tree are ever
+    in one place: each group of DEALT vectors of a cell meets that cell's pivots. A cell that stays too large after DEPTH
+    splits is left as it is.
+    """
+
+    def nearest(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return left.drop_columns(["salt"])
+        points, pivots = _aligned(matrix(left["v"]).astype(np.float64), matrix(pa.array(right["pivots"][0].as_py(), pa.list_(pa.int64()))).astype(np.float64))
+        far = (pivots**2).sum(axis=1) - 2 * points @ pivots.T
+        cell = pa.array([f"{key[0].as_py()}.{k}" for k in far.argmin(axis=1).tolist()], pa.string())
+        out = left.drop_columns(["salt"])
+        return out.set_column(out.schema.get_field_index("cell"), "cell", cell)
+
+    names = rows.columns
+    for _ in range(DEPTH):
+        wide = materialise(rows.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > most))
+        if wide.isEmpty():
+            break
+        ways = F.least(F.lit(PIVOTS), F.greatest(F.lit(least), 2 * F.ceil(F.col("n") / most)))
+        place = F.row_number().over(Window.partitionBy("cell").orderBy("key", "v"))
+        first = rows.withColumn("r", place).where(F.col("r") <= PIVOTS).join(wide, "cell").where(F.col("r") <= ways)
+        pivots = materialise(first.groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("r", "v"))).alias("pivots")))
+        groups = wide.select("cell", F.ceil(F.col("n") / DEALT).alias("groups"))
+        salted = rows.join(groups, "cell").withColumn("salt", F.pmod(F.xxhash64("key", F.lit(1)), F.col("groups"))).select(*names, "salt")
+        sent = materialise(pivots.join(groups, "cell")).select("cell", F.col("pivots.v").alias("pivots"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("salt"))
+        split = salted.groupBy("cell", "salt").cogroup(sent.groupBy("cell", "salt")).applyInArrow(nearest, columns)
+        rows = materialise(split.unionByName(rows.join(wide.select("cell"), "cell", "left_anti").select(*names)))
+    return rows
+
+
 def search(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k highest inner products of each query with the other rows.
 
@@ -188,7 +225,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
         for batch in batches:
             points, p = _aligned(matrix(batch.column("v")).astype(np.float64), pivots)
             far = (p**2).sum(axis=1) - 2 * points @ p.T
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(far.argmin(axis=1), pa.int32())], names=[*batch.schema.names, "cell"])
+            cell = pa.array(list(map(str, far.argmin(axis=1).tolist())), pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, cell], names=[*batch.schema.names, "cell"])
 
     def floors(batches):
         """The (k + 1)-th best score of each query among the seeds: one of them may be the query itself."""
@@ -198,14 +236,18 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
             floor = scores[:, k] if scores.shape[1] > k else np.full(len(q), np.iinfo(np.int64).min)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(floor)], names=[*batch.schema.names, "floor"])
 
-    placed = distinct.mapInArrow(place, "v array<long>, ids array<long>, key long, cell int")
+    placed = materialise(distinct.mapInArrow(place, "v array<long>, ids array<long>, key long, cell string"))
+    placed = dealt(placed, BLOCK, "v array<long>, ids array<long>, key long, cell string")
     sizes = placed.groupBy("cell").agg(F.count("*").alias("n"))
     placed = placed.join(sizes, "cell").withColumn("block", F.struct("cell", F.pmod("key", F.ceil(F.col("n") / BLOCK)).alias("part")))
     blocks = materialise(placed.select("block", "v", "ids"))
-    pool = max(1, -(-questions.count() // QUERIES))
-    questions = materialise(
-        questions.mapInArrow(floors, "v array<long>, q long, floor long").withColumn("pool", F.pmod(F.xxhash64("q"), F.lit(pool)))
-    )
+    asked_with = "v array<long>, q long, floor long, key long, cell string"
+    questions = questions.mapInArrow(floors, "v array<long>, q long, floor long").withColumns({"key": F.xxhash64("q"), "cell": F.lit("")})
+    questions = dealt(materialise(questions), QUERIES, asked_with)
+    # What no pivots could split is dealt by key.
+    sizes = questions.groupBy("cell").agg(F.ceil(F.count("*") / QUERIES).alias("n"))
+    questions = questions.join(sizes, "cell").withColumn("pool", F.concat("cell", F.lit("/"), F.pmod("key", F.col("n")).cast("string")))
+    questions = materialise(questions.select("v", "q", "floor", "pool"))
 
     def ball(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         """A block's mean and radius, or for queries also the lowest floor: what decides whether they meet at all."""
@@ -214,12 +256,12 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
         radius = np.sqrt(((points - centre) ** 2).sum(axis=1).max())
         out = {"centre": pa.array([centre.tolist()]), "radius": pa.array([float(radius)])}
         if "floor" in table.column_names:
-            return pa.table({"pool": pa.array([key[0].as_py()], pa.int64()), **out, "floor": pa.array([min(table["floor"].to_pylist())], pa.int64())})
+            return pa.table({"pool": pa.array([key[0].as_py()], pa.string()), **out, "floor": pa.array([min(table["floor"].to_pylist())], pa.int64())})
         return pa.table({"block": pa.array([key[0].as_py()], table.schema.field("block").type), **out})
 
-    at = "struct<cell: int, part: long>"
+    at = "struct<cell: string, part: long>"
     data_balls = blocks.select("block", "v").groupBy("block").applyInArrow(ball, f"block {at}, centre array<double>, radius double")
-    query_balls = questions.groupBy("pool").applyInArrow(ball, "pool long, centre array<double>, radius double, floor long")
+    query_balls = questions.groupBy("pool").applyInArrow(ball, "pool string, centre array<double>, radius double, floor long")
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: F.coalesce(x * y, F.lit(0.0))), F.lit(0.0), lambda s, x: s + x)
     d, q = data_balls.alias("d"), query_balls.alias("q")
     norm = lambda c: F.sqrt(dot(F.col(c), F.col(c)))

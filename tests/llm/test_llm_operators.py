@@ -327,6 +327,20 @@ def test_search_is_exact(spark, monkeypatch):
     assert sorted(got) == best(rows, 5, lambda i: i % 5 == 0)
 
 
+def test_pools_and_blocks_of_clusters_seldom_meet(spark, monkeypatch):
+    for name, value in (("BLOCK", 64), ("QUERIES", 32), ("SEEDS", 256), ("LEAF", 8), ("PIVOTS", 8), ("DEALT", 100)):
+        monkeypatch.setattr(topk, name, value)
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(20, 16))
+    rows = [(i, (centres[i % 20] + 0.02 * rng.normal(size=16)).tolist()) for i in range(1600)]
+    seen, real = {}, topk.materialise
+    monkeypatch.setattr(topk, "materialise", lambda df: seen.setdefault(tuple(df.columns), real(df)) if "pool" in df.columns or "block" in df.columns else real(df))
+    got = sorted_rows(topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 5 == 0, 5), "query_id", "rank", "vec_id", "score")
+    assert sorted(got) == best(rows, 5, lambda i: i % 5 == 0)
+    blocks, pools = (seen[c].select(c[k]).distinct().count() for c, k in ((("block", "v", "ids"), 0), (("v", "q", "floor", "pool"), 3)))
+    assert blocks >= 20 and pools >= 10 and seen[("block", "pool")].count() <= 0.3 * blocks * pools
+
+
 def test_search_in_few_or_no_vectors(spark):
     schema = "vec_id long, embedding array<double>"
     assert topk.search(spark.createDataFrame([], schema), F.col("vec_id") % 5 == 0).count() == 0
