@@ -711,3 +711,17 @@ LEFT JOIN (SELECT geo3 AS geo, year(day)::VARCHAR AS time, sum(price) / 1e5 AS v
   ON c.geo = g.geo AND c.time = y.time"""
 add("threeway_estimate", f"SELECT geo, time, {rs(['ord_value', 'ord_count'])} FROM ({_years})", "sales")
 add("threeway_core", f"SELECT {r('sum(ord_value ** 2 + ord_count ** 2)', 'squares', 2)} FROM ({_years})", "sales")
+# The leading vector of the years' products by power iteration, and its share of all squares.
+_SQL["threeway_reduced"] = with_frames("SELECT 1", "sales").replace("WITH ", "WITH RECURSIVE ", 1).replace("\nSELECT 1", "") + f""",
+cube AS ({_years}),
+gram AS (SELECT a.time, list(s ORDER BY b_time) AS row FROM (
+  SELECT a.time, b.time AS b_time, sum(a.ord_value * b.ord_value + a.ord_count * b.ord_count) AS s
+  FROM cube a JOIN cube b ON a.geo = b.geo GROUP BY ALL) a GROUP BY a.time),
+whole AS (SELECT list(row ORDER BY time) AS g, list(time ORDER BY time) AS times FROM gram),
+power(step, v) AS (
+  SELECT 0, list_transform(times, lambda t: 1.0::DOUBLE) FROM whole
+  UNION ALL SELECT step + 1, list_transform(u, lambda x: x / sqrt(list_inner_product(u, u)))
+  FROM (SELECT step, list_transform(g, lambda r: list_inner_product(r, v)) AS u FROM power, whole WHERE step < 300)),
+found AS (SELECT v, g, times, list_inner_product(v, list_transform(g, lambda r: list_inner_product(r, v))) AS top FROM power, whole WHERE step = 300)
+SELECT label, {r('value')}, {r('top / (SELECT sum(ord_value ** 2 + ord_count ** 2) FROM cube)', 'fit')}
+FROM (SELECT unnest(times) AS label, unnest(v) AS value, top FROM found)"""

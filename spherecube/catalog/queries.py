@@ -774,13 +774,21 @@ def threeway_factors(spark, d):
     return rounded(factors.threeway_factors(spark, model), "value")
 
 
-def _yearly_model(spark, d):
-    """Factors of full ranks of the value and number of orders of regions by year."""
+def _yearly_model(spark, d, ranks=None):
+    """Factors of the value and number of orders of regions by year, of full ranks if none are given."""
     cells = fx.sales(spark, d).groupBy(F.col("geo3").alias("geo"), F.year("day").cast("string").alias("time")).agg(
         (F.sum("price") / 1e5).alias("ord_value"), F.count(F.lit(1)).cast("double").alias("ord_count")
     )
     times = [r["time"] for r in fx.quarters(spark, d).select(F.substring("time", 1, 4).alias("time")).distinct().sort("time").collect()]
-    return factors.threeway_fit(cells, ["ord_value", "ord_count"], times, (2 * len(times), 2, len(times)))
+    return factors.threeway_fit(cells, ["ord_value", "ord_count"], times, ranks or (2 * len(times), 2, len(times)))
+
+
+@query
+def threeway_reduced(spark, d):
+    """The years' factor and the share of squares that one component of time leaves of the cube."""
+    model = _yearly_model(spark, d, (2, 2, 1))
+    found = factors.threeway_factors(spark, model).where("mode = 'time'").select("label", "value")
+    return rounded(found.withColumn("fit", F.lit(model.fit)), "value", "fit")
 
 
 @query
