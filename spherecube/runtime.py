@@ -60,6 +60,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 ROW_GROUP = 32 << 20
 
 
+#: Stage tables this process has written and not removed.
+_WRITTEN: list[str] = []
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write `df` once as a table in the shared folder and go on from the table.
 
@@ -68,16 +72,33 @@ def materialise(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, "stage")
+    _WRITTEN.append(path)
     df.write.option("parquet.block.size", str(ROW_GROUP)).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
+
+
 def remove_stage(df: DataFrame) -> None:
     """Delete the table behind a frame that `materialise` returned, once nothing reads it any more."""
     spark = df.sparkSession
     root = shared_dir(spark).rstrip("/").partition(":")[2] or shared_dir(spark).rstrip("/")
-    jvm = spark.sparkContext._jvm
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
         if "/stage-" in folder and root.lstrip("/") in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(spark, folder)
+            _WRITTEN[:] = [p for p in _WRITTEN if p.rpartition("/")[2] != folder.rpartition("/")[2]]
+
+
+def remove_stages(spark: SparkSession) -> int:
+    """Delete all stage tables this process has written, and return their number.
+
+    For the end of a session, or after the results of its queries are written: frames that start from the tables cannot be
+    read any more.
+    """
+    removed = len(_WRITTEN)
+    while _WRITTEN:
+        _delete(spark, _WRITTEN.pop())
+    return removed

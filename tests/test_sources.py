@@ -86,3 +86,17 @@ def test_ingest_and_store(spark, table, tmp_path):
     assert out.count() == 16
     assert out.where("var = 'pop_T' and values = 4").count() == 8
     assert [tuple(r) for r in out.where("var = 'gdp' and values is not null").collect()] == [("gdp", "XA111", "2001-Q1", 2.0)]
+
+
+def test_stage_tables_are_removed_on_request(spark, monkeypatch):
+    import os
+
+    from spherecube import runtime
+
+    monkeypatch.setattr(runtime, "_WRITTEN", [])
+    one, two = (runtime.materialise(spark.range(k)) for k in (5, 7))
+    folders = [f.rpartition("/")[0].removeprefix("file://") for df in (one, two) for f in df.inputFiles()[:1]]
+    assert all(map(os.path.isdir, folders)) and len(runtime._WRITTEN) == 2
+    runtime.remove_stage(one)
+    assert [os.path.isdir(f) for f in folders] == [False, True] and len(runtime._WRITTEN) == 1
+    assert runtime.remove_stages(spark) == 1 and not any(map(os.path.isdir, folders)) and runtime.remove_stages(spark) == 0
