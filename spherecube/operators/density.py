@@ -16,8 +16,11 @@ from .quantiles import grouped_quantiles, quantiles
 
 
 def reference_bandwidth(sd: float, q1: float, q3: float, n: int) -> float:
-    """Normal-reference bandwidth of an axis; a quarter of it is the kernel's standard deviation."""
-    return 4 * 1.06 * min(sd, (q3 - q1) / 1.34) * n ** -0.2
+    """Normal-reference bandwidth of an axis; a quarter of it is the kernel's standard deviation.
+
+    Where half of the points share a place, so that the quartiles are equal, the deviation alone counts.
+    """
+    return 4 * 1.06 * (min(sd, (q3 - q1) / 1.34) if q3 > q1 else sd) * n ** -0.2
 
 
 def density2d(
