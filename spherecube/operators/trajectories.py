@@ -46,17 +46,18 @@ def lag_by(df: DataFrame, part: Sequence[str], order: str, col: str, name: str,
     has at most `span` of them: so no task sees more than `span` places of a group, however long it is.
     """
     low, high = df.agg(F.floor(F.min(order) / span), F.floor(F.max(order) / span)).first()
-    return _lagged(df, list(part), order, col, name, span, 0 if low is None else int(high) - int(low) + 1)
+    return _lagged(df, list(part), order, col, name, span, int(low or 0), int(high or 0))
 
 
-def _lagged(df: DataFrame, part: list[str], order: str, col: str, name: str, span: int, blocks: int) -> DataFrame:
-    """`blocks`: how many blocks of `span` units a group can have."""
+def _lagged(df: DataFrame, part: list[str], order: str, col: str, name: str, span: int, low: int, high: int) -> DataFrame:
+    """`low` and `high`: the first and the last block of `span` units that a group can have."""
     block = F.floor(F.col(order) / span)
     blocked = df.withColumn("_block", block)
     inside = Window.partitionBy(*part, "_block").orderBy(order)
     ends = blocked.groupBy(*part, "_block").agg(F.max_by(F.struct(F.col(col).alias("v")), order).alias("_end"))
-    if blocks > span:
-        ends = _lagged(ends.withColumnRenamed("_block", "_place"), part, "_place", "_end", "_before", span, -(-blocks // span) + 1)
+    wider = max(span, 2)  # blocks of one unit would never get fewer
+    if high - low >= wider:
+        ends = _lagged(ends.withColumnRenamed("_block", "_place"), part, "_place", "_end", "_before", wider, low // wider, high // wider)
         ends = ends.withColumnRenamed("_place", "_block")
     else:
         ends = ends.withColumn("_before", F.lag("_end").over(Window.partitionBy(*part).orderBy("_block")))
