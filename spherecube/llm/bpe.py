@@ -21,13 +21,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import SLICE_CHARS, bounded_batches, held_by_worker
+from .common import bounded_batches, give_back, held_by_worker
 from .units import GAP, ODD, PieceIds, byte_classes, expand, joined_calls, per_text, spread
 
 #: The rank file of the registered queries.
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Pieces of one call of the library.
 CALL = 200
+#: Bytes of text encoded at a time: an array of places takes eight times as many, and there are several.
+SLICE_BYTES = 500_000
 #: Fixed value: the letter that stands for the space byte.
 SPACE_LETTER = "\u0120"
 
@@ -190,7 +192,7 @@ def worker_encoder(shared) -> Encoder:
     return held_by_worker(f"encoder {shared.value.key}", lambda: Encoder(shared.value))
 
 
-def slices(sizes: list[int], most: int = SLICE_CHARS) -> list[tuple[int, int]]:
+def slices(sizes: list[int], most: int = SLICE_BYTES) -> list[tuple[int, int]]:
     out, start, total = [], 0, 0
     for i, size in enumerate(sizes):
         if i > start and total + size > most:
@@ -206,9 +208,13 @@ def id_lists(ids: list[np.ndarray]) -> pa.ListArray:
 
 
 def encode_texts(encoder: Encoder, texts: pa.Array) -> pa.Array:
-    """Token ids of each text of an Arrow batch, in slices of bounded size."""
+    """Token ids of each text of an Arrow batch, in slices of bounded size.
+
+    Then memory that is free goes back to the system: workers of several stages share an executor with its heap.
+    """
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
     out = [id_lists(encoder.encode(texts.slice(a, b - a).cast(pa.binary()).to_pylist())) for a, b in slices(sizes)]
+    give_back()
     return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int32()))
 
 

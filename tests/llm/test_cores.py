@@ -101,3 +101,13 @@ def test_packed_files_read_back_as_a_matrix(spark, tmp_path):
     for r in docs.collect():
         expected = encoder.encode([r["text"]])[0].tolist()
         assert [t for _, part in sorted(found[r["doc_id"]].items()) for t in part] == expected
+
+
+def test_encoding_works_on_short_slices_and_gives_memory_back(monkeypatch):
+    """A worker shares its executor with the heap: arrays of places follow a slice, and freed memory must not stay."""
+    assert bpe.slices([300_000] * 4) == [(0, 1), (1, 2), (2, 3), (3, 4)] and bpe.slices([2_000_000]) == [(0, 1)]
+    given = []
+    monkeypatch.setattr(bpe, "give_back", lambda: given.append(1))
+    encoder = bpe.Encoder(bpe.Vocabulary())
+    texts = ["some words " * 30_000, "more of them", None]
+    assert bpe.encode_texts(encoder, bpe.pa.array(texts)).to_pylist() == [e.tolist() for e in encoder.encode(texts)] and given
