@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import united
+from ..runtime import materialise
 from ..schema import KEYS
 from .keys import first_per_key, natural_left_chain, require
 
@@ -145,6 +146,47 @@ def complete_grid(df: DataFrame, *dims: DataFrame) -> DataFrame:
     return placed.withColumn("_axis", axis).select(*keys, F.inline(F.concat(found, absent))).select(*df.columns)
 
 
+#: Places of the short axis that one row of `conformed_rows` has.
+_SLOTS = 16
+
+
+def conformed_rows(
+    series: DataFrame, dim_time: DataFrame, dim_geo: DataFrame, order: Sequence[str] | None = None
+) -> DataFrame:
+    """`conform_to_axes` before its cells become rows: (var, geo, cells), up to 16 cells (time, values) of a region a row.
+
+    Cells and the places of the axes meet in one aggregation, which combines before its shuffle: a column for each place
+    of a stretch of the time axis, so that neither the dense grid nor the series is shuffled row by row.
+    """
+    labels = dim_time.agg(F.sort_array(F.collect_set("label")).alias("labels"))  # a short axis
+    times = materialise(labels.select(F.posexplode("labels").alias("_place", "time")))  # its size is known: it is sent along
+    axis = times.agg(F.sort_array(F.collect_list("time"))).scalar()
+    geos, variables = dim_geo.select(F.col("label").alias("geo")), series.select("var").distinct()
+    rows = series.dropna(subset=["geo", "time"])
+    if order:
+        rows = first_per_key(rows, ["var", "geo", "time"], list(order))
+    stretch, slot = F.floor(F.col("_place") / _SLOTS), (F.col("_place") % _SLOTS).cast("int")
+    value = F.col("values")
+    placed = rows.join(times, "time").select("var", "geo", stretch.alias("_stretch"), slot.alias("_slot"), "values", F.lit(0).alias("_wanted"))
+    stretches = times.select(stretch.alias("_stretch")).distinct()
+    wanted = grid(variables, geos, stretches).select(
+        "var", "geo", "_stretch", F.lit(None).cast("int").alias("_slot"), F.lit(None).cast(series.schema["values"].dataType).alias("values"), F.lit(1).alias("_wanted")
+    )
+    found = placed.unionByName(wanted).groupBy("var", "geo", "_stretch").agg(
+        *[F.min(F.when(F.col("_slot") == k, value)).alias(f"_v{k}") for k in range(_SLOTS)],
+        F.bit_or(F.when(value.isNull(), F.call_function("shiftleft", F.lit(1), F.col("_slot")))).alias("_empty"),
+        F.sum("_wanted").alias("_wanted"),
+    ).where(F.col("_wanted") > 0)
+    # NaN is the largest value, and a missing one goes before it.
+    known = lambda k: F.when(~(F.isnan(f"_v{k}") & (F.coalesce("_empty", F.lit(0)).bitwiseAND(F.lit(1 << k)) != 0)), F.col(f"_v{k}"))
+    values = F.array(*[known(k) for k in range(_SLOTS)])
+    names = F.slice("_axis", (F.col("_stretch") * _SLOTS + 1).cast("int"), F.lit(_SLOTS))
+    cells = F.transform(names, lambda t, k: F.struct(t.alias("time"), F.get("_values", k).alias("values")))
+    repeated = F.when(F.col("_wanted") == 1, F.col("_cells")).otherwise(F.flatten(F.array_repeat("_cells", F.col("_wanted").cast("int"))))
+    laid = found.select("var", "geo", "_stretch", "_wanted", values.alias("_values")).withColumn("_axis", axis)
+    return laid.select("var", "geo", "_wanted", cells.alias("_cells")).select("var", "geo", repeated.alias("cells"))
+
+
 def conform_to_axes(
     series: DataFrame, dim_time: DataFrame, dim_geo: DataFrame, fill: float | None = None,
     order: Sequence[str] | None = None,
@@ -154,17 +196,7 @@ def conform_to_axes(
     Rows off the axes are dropped, of several rows for one cell the first under `order` counts (by default the smallest
     value that is not missing), absent cells are added, and missing values become `fill`.
     """
-    ranks = list(order) if order else [F.col("values").isNull() | F.isnan("values"), "values"]
-    order = order or ()
-    times, geos = dim_time.select(F.col("label").alias("time")), dim_geo.select(F.col("label").alias("geo"))
-    on_axes = (
-        series.select("var", "geo", "time", "values", *[c for c in order if c not in ("var", "geo", "time", "values")])
-        .dropna(subset=["geo", "time"])
-        .join(times, "time", "left_semi")
-        .join(geos, "geo", "left_semi")
-    )
-    cells = first_per_key(on_axes, ["var", "geo", "time"], ranks).select("var", "geo", "time", "values")
-    full = complete_grid(cells, series.select("var").distinct(), geos, times)
+    full = conformed_rows(series, dim_time, dim_geo, order).select("var", "geo", F.inline("cells"))
     return full if fill is None else full.withColumn("values", F.coalesce("values", F.lit(fill)))
 
 

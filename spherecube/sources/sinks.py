@@ -6,16 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import united
-from ..operators.reshape import conform_to_axes
+from ..operators.reshape import conformed_rows
 from ..schema import FILL_VALUE, STABLE
 
 
 def write_cube(
     series: DataFrame, dim_time: DataFrame, dim_geo: DataFrame, path: str, fill: float | None = FILL_VALUE
 ) -> str:
-    """Bring every variable of (var, geo, time, values) to the full axes and store it, one folder per variable."""
-    full = conform_to_axes(series, dim_time, dim_geo, fill=fill)
-    full.hint("rebalance", "var").write.mode("overwrite").partitionBy("var").parquet(path)
+    """Bring every variable of (var, geo, time, values) to the full axes and store it, one folder per variable.
+
+    Dealt out by variable are rows of many cells, not the cells.
+    """
+    full = conformed_rows(series, dim_time, dim_geo).hint("rebalance", "var").select("var", "geo", F.inline("cells"))
+    if fill is not None:
+        full = full.withColumn("values", F.coalesce("values", F.lit(fill)))
+    full.write.mode("overwrite").partitionBy("var").parquet(path)
     return path
 
 

@@ -275,6 +275,24 @@ def test_conform_to_axes(table, rows):
     assert rows(out.where("values <> -9")) == [("v", "A", "1", 2.0)]
 
 
+def test_conform_to_axes_over_long_axes(spark, rows):
+    """More places than a row of cells has; labels that come twice; NaN, which a missing value of the same cell precedes."""
+    nan = float("nan")
+    series = spark.createDataFrame(
+        [("v", "A", "t00", 1.0), ("v", "A", "t17", nan), ("v", "A", "t39", nan), ("v", "A", "t39", None), ("v", "A", "t20", nan), ("v", "A", "t20", 2.0), (None, "B", "t05", 3.0)],
+        "var string, geo string, time string, values double",
+    )
+    times = spark.createDataFrame([(f"t{k:02}", k) for k in range(40)] + [("t05", 5)], "label string, ord int")
+    geos = spark.createDataFrame([("A", 0), ("B", 1), ("B", 2), (None, 3)], "label string, ord int")
+    out = reshape.conform_to_axes(series, times, geos)
+    assert out.count() == 2 * 4 * 40
+    found = {(r["var"], r["geo"], r["time"], str(r["values"])) for r in out.where("values is not null").collect()}
+    assert found == {("v", "A", "t00", "1.0"), ("v", "A", "t17", "nan"), ("v", "A", "t20", "2.0"), (None, "B", "t05", "3.0")}
+    assert out.where("values = 3").count() == 2
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "array_except" not in plan and "partial_min_by" not in plan
+
+
 def test_conform_to_axes_prefers_values(table, rows):
     series = table("var string, geo string, time string, values double",
                    ("v", "A", "1", 5.0), ("v", "A", "1", None), ("v", "A", "1", math.nan), ("v", "A", "2", None))
