@@ -232,3 +232,17 @@ def test_slices_read_their_own_files_only(spark, tiled):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     with pytest.raises(ValueError, match="not on the axis"):
         tiles.read_tiles(spark, path, ["never"])
+
+
+def test_many_tiles_share_few_folders(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tiles, "FOLDERS", 6)
+    times = spark.createDataFrame([(f"t{k}", k) for k in range(3)], "label string, ord int")
+    places = spark.createDataFrame([(f"g{k:02}", k) for k in range(20)], "label string, ord int")
+    cells = {(v, f"g{g:02}", f"t{t}"): float(100 * g + t) for v in "xy" for g in range(20) for t in range(3) if (g + t) % 4}
+    series = spark.createDataFrame([(*k, v) for k, v in cells.items()], "var string, geo string, time string, values double")
+    path = tiles.write_tiles(series, times, places, f"{tmp_path}/cube", regions=1, times=1)
+    assert len(list((tmp_path / "cube" / "tiles").glob("*/*"))) == 6
+    whole = {(v, f"g{g:02}", f"t{t}"): None for v in "xy" for g in range(20) for t in range(3)} | cells
+    assert read(tiles.read_tiles(spark, path)) == whole
+    got = read(tiles.read_tiles(spark, path, ["t2"], ["g00", "g19"]))
+    assert got == {k: v for k, v in whole.items() if k[2] == "t2" and k[1] in ("g00", "g19")}
