@@ -72,6 +72,37 @@ def expand_to_children_right(df: DataFrame, regions: DataFrame, level: int) -> D
     return expand_to_children(df, regions, level).unionByName(childless, allowMissingColumns=True)
 
 
+#: Rows that a part of a parent makes, and that a task makes of several parts.
+_PART_ROWS, _TASK_ROWS = 1 << 18, 1 << 20
+
+
+def _lift(rows: DataFrame, tree: DataFrame) -> DataFrame:
+    """Rows with `_level` above the leaves, their code replaced by each leaf below it.
+
+    The leaves of a parent, and its rows where there are more than leaves can divide, are dealt out to parts that make
+    about equally many rows, and the parts to as many tasks as the result needs: so neither few parents nor a large one
+    keep it to few tasks, however small the two sides are.
+    """
+    keys = ["_parent", "_level"]
+    upper = rows.where(F.col("_level") < LEAF_LEVEL).withColumnRenamed("geo", "_parent")
+    tree = tree.withColumnRenamed("parent", "_parent")
+    counts = [df.groupBy(*keys).agg(F.count(F.lit(1)).alias(n)) for df, n in ((upper, "_rows"), (tree, "_leaves"))]
+    made = F.col("_rows") * F.col("_leaves")
+    sized = counts[0].join(counts[1], keys).withColumns({"_made": made, "_shares": F.least("_leaves", F.ceil(made / _PART_ROWS))})
+    parts = materialise(sized.withColumn("_cuts", F.ceil(F.col("_made") / _PART_ROWS / F.col("_shares"))))  # of known size, as the levels
+    tasks = -(-(parts.agg(F.sum("_made")).first()[0] or 1) // _TASK_ROWS)
+
+    def dealt(df: DataFrame, own: str, by: list[str], other: str) -> DataFrame:
+        """Each row in one of its parent's parts `own`, and once in each of the parts of the other side."""
+        known = df.join(parts.select(*keys, "_shares", "_cuts"), keys)
+        placed = known.withColumns({f"{own}_at": F.pmod(F.xxhash64(*by), own) + 1, f"{other}_at": F.explode(F.sequence(F.lit(1).cast("long"), other))})
+        return placed.drop("_shares", "_cuts").repartition(tasks, *keys, "_shares_at", "_cuts_at")
+
+    values = [c for c in rows.columns if c not in ("geo", "_level")]
+    leaves = dealt(tree.withColumnRenamed("leaf", "geo"), "_shares", ["geo"], "_cuts")
+    return dealt(upper, "_cuts", values, "_shares").join(leaves, [*keys, "_shares_at", "_cuts_at"]).select(*rows.columns)
+
+
 def resample_space(
     df: DataFrame, regions: DataFrame, levels: DataFrame, level_policy: str = "majority", by: Sequence[str] = ()
 ) -> DataFrame:
@@ -82,6 +113,7 @@ def resample_space(
     and leaves without a value appear with NULL. A dataset none of whose codes is known is an error.
     """
     choose = {"majority": majority_level, "finest": infer_level}[level_policy]
+    df = materialise(df)  # the levels, the rows of leaves and the rows above them each start from it
     chosen = choose(df, levels, by).withColumnRenamed("level", "_level")
     if by:
         chosen = df.select(*by).distinct().join(chosen, list(by), "left")
@@ -90,10 +122,9 @@ def resample_space(
     placed = df.join(chosen, list(by)) if by else df.withColumn("_level", chosen.select("_level").scalar())
     tree = ancestors(regions).withColumnRenamed("level", "_level")
 
-    # Leaf-level rows pass as they are; an inner join with the tree can be split at hot parents on either side.
+    # Leaf-level rows pass as they are.
     leaf_rows = placed.where(F.col("_level") == LEAF_LEVEL).select(*df.columns)
-    below = placed.join(tree, (F.col("geo") == F.col("parent")) & (placed["_level"] == tree["_level"]))
-    lifted = leaf_rows.unionByName(below.withColumn("geo", F.col("leaf")).select(*df.columns))
+    lifted = leaf_rows.unionByName(_lift(placed, tree).select(*df.columns))
     if level_policy == "majority":
         return lifted
 

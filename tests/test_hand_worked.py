@@ -2,6 +2,7 @@
 
 import datetime
 import math
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -108,6 +109,23 @@ def test_resample_space_per_dataset(tree, table, rows):
     assert rows(out) == [("a", f"XA{k}", 1.0) for k in ("111", "112", "121", "131")] + [("b", "XA131", 2.0)]
 
 
+def test_few_regions_of_many_leaves_are_lifted_by_many_tasks(spark, table, monkeypatch):
+    monkeypatch.setattr(regions, "_PART_ROWS", 500, raising=False)
+    monkeypatch.setattr(regions, "_TASK_ROWS", 1000, raising=False)
+    tree = spark.range(0, 400, 1, 1).selectExpr("concat('XA1', id) geo3", "'XA1' geo2", "'X' geo1", "'W' geo0")
+    tree = tree.union(spark.range(1).selectExpr("'YB2' geo3", "'YB' geo2", "'Y' geo1", "'W' geo0")).coalesce(1)
+    held = [("a", "XA1", f"t{k % 40}", float(k % 3)) for k in range(50)] + [("a", "YB", f"t{k}", None) for k in range(1200)]
+    held += [("b", "W", "t", 1.0), ("b", "W", "t", 1.0), ("b", "W", None, 2.0), ("b", None, "t", 3.0), ("b", "unknown", "t", 4.0)]
+    out = regions.resample_space(table("code string, geo string, time string, values double", *held), tree, regions.region_levels(tree), by=["code"])
+    leaves = [f"XA1{k}" for k in range(400)]
+    below = {"XA1": leaves, "YB": ["YB2"], "W": [*leaves, "YB2"]}
+    expected = sorted(((c, leaf, t, v) for c, g, t, v in held for leaf in below.get(g, [])), key=repr)
+    got = out.withColumn("part", F.spark_partition_id()).collect()
+    assert sorted(((r["code"], r["geo"], r["time"], r["values"]) for r in got), key=repr) == expected
+    sizes = Counter(r["part"] for r in got)
+    assert max(sizes.values()) < len(got) / 3
+
+
 def test_region_parents_with_letters(table, rows):
     out = regions.region_parents(table("geo string, level int", ("DEA11", 3), ("DEA1", 2)))
     assert rows(out) == [("DEA11", "DEA1", "DEA", "DE")]
