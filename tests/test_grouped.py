@@ -116,6 +116,24 @@ def test_interval_join_is_by_equal_values(spark):
     assert "Cross" not in plan and "(_level" in plan and "(_block" in plan
 
 
+def test_interval_join_is_exact_for_large_numbers(spark):
+    far = 2**53
+    p = spark.createDataFrame([("a", s * (far + k)) for s in (1, -1) for k in range(4)], "k string, t long")
+    held = [("a", far + 1, far + 1, 1), ("a", far + 2, far + 3, 2), ("a", -far - 3, -far - 1, 3), ("a", far - 5, far - 1, 4)]
+    found = trajectories.interval_join(p, spark.createDataFrame(held, "k string, lo long, hi long, e int"), ["k"], "t", "lo", "hi")
+    expected = [(far + 1, 1), (far + 2, 2), (far + 3, 2), (-far - 1, 3), (-far - 2, 3), (-far - 3, 3)]
+    assert sorted((r["t"], r["e"]) for r in found.collect()) == sorted(expected)
+
+
+def test_pieces_of_whole_numbers_of_either_kind(spark):
+    spans = spark.createDataFrame([(-9, 6), (3, 3), (0, 40)], "a int, b int")
+    for kind in ("int", "long"):
+        for levels in (1, 3, 7):
+            pieces = trajectories.dyadic_pieces(F.col("a").cast(kind), F.col("b").cast(kind), levels)
+            for r in spans.select("a", "b", pieces.alias("p")).collect():
+                assert sorted(n for x in r["p"] for n in range(x["block"] << x["level"], x["block"] + 1 << x["level"])) == list(range(r["a"], r["b"] + 1))
+
+
 def test_levels_in_order_within_groups(spark):
     rows = [(f"g{k % 3}", f"l{k % 17}", (k * 7919) % 101) for k in range(500)] + [("g0", None, 3), (None, "l1", 2), ("g1", "empty", None)]
     got = {(r["g"], r["l"]): r["ord"] for r in keys.order_levels_within(spark.createDataFrame(rows, "g string, l string, v int"), ["g"], "l", "v").collect()}
