@@ -146,15 +146,17 @@ def complete_grid(df: DataFrame, *dims: DataFrame) -> DataFrame:
     return placed.withColumn("_axis", axis).select(*keys, F.inline(F.concat(found, absent))).select(*df.columns)
 
 
-#: Places of the short axis that one row of `conformed_rows` has.
-_SLOTS = 16
+#: Places of the short axis that one row of `conformed_rows` has, and regions of which a task makes the empty places.
+_SLOTS, _TASK_REGIONS = 16, 1 << 13
 
 
 def conformed_rows(
     series: DataFrame, dim_time: DataFrame, dim_geo: DataFrame, order: Sequence[str] | None = None
-) -> DataFrame:
-    """`conform_to_axes` before its cells become rows: (var, geo, cells), up to 16 cells (time, values) of a region a row.
+) -> tuple[DataFrame, Column]:
+    """`conform_to_axes` before its cells become rows, which `laid_out` makes of them, and the time axis as an array.
 
+    A row (var, geo, _stretch, _values) has the values of 16 places of a region, in order and without their labels; places
+    beyond the axis have none.
     Cells and the places of the axes meet in one aggregation, which combines before its shuffle: a column for each place
     of a stretch of the time axis, so that neither the dense grid nor the series is shuffled row by row.
     """
@@ -165,11 +167,12 @@ def conformed_rows(
     rows = series.dropna(subset=["geo", "time"])
     if order:
         rows = first_per_key(rows, ["var", "geo", "time"], list(order))
-    stretch, slot = F.floor(F.col("_place") / _SLOTS), (F.col("_place") % _SLOTS).cast("int")
+    stretch, slot = F.floor(F.col("_place") / _SLOTS).cast("int"), (F.col("_place") % _SLOTS).cast("int")
     value = F.col("values")
     placed = rows.join(times, "time").select("var", "geo", stretch.alias("_stretch"), slot.alias("_slot"), "values", F.lit(0).alias("_wanted"))
     stretches = times.select(stretch.alias("_stretch")).distinct()
-    wanted = grid(variables, geos, stretches).select(
+    dealt = geos.repartition(-(-geos.count() // _TASK_REGIONS) or 1, "geo")  # a short table would make the whole grid in one task
+    wanted = grid(variables, dealt, stretches).select(
         "var", "geo", "_stretch", F.lit(None).cast("int").alias("_slot"), F.lit(None).cast(series.schema["values"].dataType).alias("values"), F.lit(1).alias("_wanted")
     )
     found = placed.unionByName(wanted).groupBy("var", "geo", "_stretch").agg(
@@ -180,11 +183,20 @@ def conformed_rows(
     # NaN is the largest value, and a missing one goes before it.
     known = lambda k: F.when(~(F.isnan(f"_v{k}") & (F.coalesce("_empty", F.lit(0)).bitwiseAND(F.lit(1 << k)) != 0)), F.col(f"_v{k}"))
     values = F.array(*[known(k) for k in range(_SLOTS)])
-    names = F.slice("_axis", (F.col("_stretch") * _SLOTS + 1).cast("int"), F.lit(_SLOTS))
-    cells = F.transform(names, lambda t, k: F.struct(t.alias("time"), F.get("_values", k).alias("values")))
-    repeated = F.when(F.col("_wanted") == 1, F.col("_cells")).otherwise(F.flatten(F.array_repeat("_cells", F.col("_wanted").cast("int"))))
-    laid = found.select("var", "geo", "_stretch", "_wanted", values.alias("_values")).withColumn("_axis", axis)
-    return laid.select("var", "geo", "_wanted", cells.alias("_cells")).select("var", "geo", repeated.alias("cells"))
+    repeated = F.when(F.col("_wanted") == 1, F.col("_values")).otherwise(F.flatten(F.array_repeat("_values", F.col("_wanted").cast("int"))))
+    return found.select("var", "geo", "_stretch", "_wanted", values.alias("_values")).select("var", "geo", "_stretch", repeated.alias("_values")), axis
+
+
+def laid_out(rows: DataFrame, axis: Column) -> DataFrame:
+    """Rows of `conformed_rows`, with any other columns -> a row (time, values) per cell.
+
+    Labels are looked up cell by cell and are never shuffled. No row is without values, so the outer form adds none; of the
+    other one Spark derives a filter that repeats the making of the array, in a method too long to be compiled.
+    """
+    others = [c for c in rows.columns if c not in ("_stretch", "_values")]
+    cells = rows.select(*others, "_stretch", F.posexplode_outer("_values").alias("_at", "values"))
+    time = F.get(axis, F.col("_stretch") * _SLOTS + F.col("_at") % _SLOTS)
+    return cells.select(*others, time.alias("time"), "values").where(F.col("time").isNotNull())
 
 
 def conform_to_axes(
@@ -196,7 +208,7 @@ def conform_to_axes(
     Rows off the axes are dropped, of several rows for one cell the first under `order` counts (by default the smallest
     value that is not missing), absent cells are added, and missing values become `fill`.
     """
-    full = conformed_rows(series, dim_time, dim_geo, order).select("var", "geo", F.inline("cells"))
+    full = laid_out(*conformed_rows(series, dim_time, dim_geo, order))
     return full if fill is None else full.withColumn("values", F.coalesce("values", F.lit(fill)))
 
 

@@ -6,10 +6,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import united
-from ..operators.reshape import conformed_rows
+from ..operators.reshape import conformed_rows, laid_out
+from ..runtime import ROW_GROUP
 from ..schema import FILL_VALUE, STABLE
 
 
+#: Folders that a task writes side by side; with more, the rest of its rows is sorted by folder.
+WRITERS = 8
+
+
+def _write_folders(df: DataFrame, column: str, path: str) -> None:
+    """A folder per value of the column. Rows go to the open file of their folder, as they come and without a sort."""
+    conf, key = df.sparkSession.conf, "spark.sql.maxConcurrentOutputFileWriters"
+    before = conf.get(key)
+    conf.set(key, str(WRITERS))
+    try:
+        df.write.mode("overwrite").option("parquet.block.size", str(ROW_GROUP)).partitionBy(column).parquet(path)
+    finally:
+        conf.set(key, before)
+
+
 def write_cube(
     series: DataFrame, dim_time: DataFrame, dim_geo: DataFrame, path: str, fill: float | None = FILL_VALUE
 ) -> str:
@@ -17,10 +33,11 @@ def write_cube(
 
     Dealt out by variable are rows of many cells, not the cells.
     """
-    full = conformed_rows(series, dim_time, dim_geo).hint("rebalance", "var").select("var", "geo", F.inline("cells"))
+    rows, axis = conformed_rows(series, dim_time, dim_geo)
+    full = laid_out(rows.hint("rebalance", "var"), axis)
     if fill is not None:
         full = full.withColumn("values", F.coalesce("values", F.lit(fill)))
-    full.write.mode("overwrite").partitionBy("var").parquet(path)
+    _write_folders(full, "var", path)
     return path
 
 

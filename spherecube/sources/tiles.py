@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.keys import assign_id
-from ..operators.reshape import conformed_rows
+from ..operators.reshape import conformed_rows, laid_out
 from ..runtime import materialise
 
 #: Regions and times of a tile.
@@ -41,8 +41,9 @@ def write_tiles(
         described = {"size": F.lit(size), "total": F.lit(totals[name]), "band": F.lit(bands[name])}
         places[name].withColumns(described).write.mode("overwrite").parquet(f"{path}/axes/{name}")
     place = {name: axis.select(F.col("label").alias(name), F.col("place").alias(f"_{name}")) for name, axis in places.items()}
-    rows = conformed_rows(series, dim_time, dim_geo).join(place["geo"], "geo")  # a region's cells find their place at once
-    placed = rows.select("var", "_geo", F.inline("cells")).join(place["time"], "time")
+    rows, labels = conformed_rows(series, dim_time, dim_geo)
+    numbered = rows.join(place["geo"], "geo").drop("geo")  # a region's cells find their place at once
+    placed = laid_out(numbered, labels).join(place["time"], "time")
     tile = {f"tile_{name}": F.floor(F.col(f"_{name}") / size).cast("int") for name, size in (("time", times), ("geo", regions))}
     cell = F.struct("_geo", "_time", "values")
     tiles = placed.withColumns(tile).groupBy("var", *tile).agg(F.sort_array(F.collect_list(cell)).alias("_cells"))  # regions * times

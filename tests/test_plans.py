@@ -95,3 +95,20 @@ def test_common_keys_of_many_frames_are_one_shuffle(stored):
     frames = [stored.where(F.col(c) > 0) for c in fx.CUBE_FEATURES]
     text = plan(keys.common_observations(frames, ["geo", "time"]))
     assert exchanges(text) == 1 and "Join" not in text
+
+
+def test_cells_of_a_grid_are_made_by_compiled_code(spark):
+    """Java never compiles methods above 8000 bytes, nor does Spark functions of lambdas; a short axis is dealt out before it meets the others."""
+    series = spark.createDataFrame([("v", "a", "1", 1.0)], "var string, geo string, time string, values double")
+    axes = [spark.createDataFrame([(label, 0)], "label string, ord int") for label in ("1", "a")]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = reshape.conform_to_axes(series, *axes, fill=0.0)
+        parts = out._jdf.queryExecution().debug().codegenToSeq()
+        sizes = [parts.apply(k)._3().maxMethodCodeSize() for k in range(parts.size())]
+        text = plan(out)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert max(sizes) < 8000
+    assert "lambda" not in text
+    assert "REPARTITION_BY_NUM" in text

@@ -72,6 +72,40 @@ def test_stored_cube_marks_missing_cells(spark, table, tmp_path, rows):
     assert rows(sources.read_cube(spark, path)) == [("7", "A", "1", 3.0), ("7", "B", "1", None)]
 
 
+def test_stored_cube_of_many_variables(spark, tmp_path, rows):
+    """More variables in a task than it writes side by side, and fewer."""
+    key = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(key)
+    cells = [(f"v{v:02}", g, t, float(v) if t == "t03" else None) for v in range(30) for g in "AB" for t in ("t03", "t19")]
+    series = spark.createDataFrame(cells, "var string, geo string, time string, values double")
+    times, geos = (spark.createDataFrame([(x, k) for k, x in enumerate(labels)], "label string, ord int") for labels in ([f"t{k:02}" for k in range(20)], "AB"))
+    seen = []
+    for some in (series, series.where("var < 'v05'")):
+        path = sources.write_cube(some, times, geos, str(tmp_path / f"cube{len(seen)}"))
+        out = sources.read_cube(spark, path)
+        n = some.select("var").distinct().count()
+        assert out.count() == n * 2 * 20
+        assert rows(out.where("values is not null")) == sorted((f"v{v:02}", g, "t03", float(v)) for v in range(n) for g in "AB")
+        seen.append(path)
+    assert spark.conf.get(key) == before
+
+
+def test_cube_is_written_without_a_sort(spark, table, tmp_path, monkeypatch):
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    held, parquet = {}, DataFrameWriter.parquet
+
+    def noted(self, path, *args, **named):
+        held[path] = int(spark.conf.get("spark.sql.maxConcurrentOutputFileWriters"))
+        parquet(self, path, *args, **named)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", noted)
+    series = table("var string, geo string, time string, values double", ("7", "A", "1", 3.0))
+    axis = table("label string, ord int", ("A", 0)), table("label string, ord int", ("1", 0))
+    path = sources.write_cube(series, axis[1], axis[0], str(tmp_path / "cube"))
+    assert held[path] > 1
+
+
 def test_ingest_and_store(spark, table, tmp_path):
     tree = table("geo3 string, geo2 string, geo1 string, geo0 string", ("XA111", "XA11", "XA1", "XA"), ("XA121", "XA12", "XA1", "XA"))
     annual = table("freq string, unit string, geo string, TIME_PERIOD string, values double, sex string",
