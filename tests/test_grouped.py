@@ -116,6 +116,36 @@ def test_interval_join_is_by_equal_values(spark):
     assert "Cross" not in plan and "(_level" in plan and "(_block" in plan
 
 
+def test_interval_join_sends_points_once(spark):
+    """Where lengths are alike there is one level; a few long intervals add some, and make few blocks each."""
+    p = spark.range(2000).select(F.lit("a").alias("k"), F.col("id").alias("t"))
+    h = spark.range(90).select(F.lit("a").alias("k"), (F.col("id") * 20).alias("lo"), (F.col("id") * 21).alias("hi"))
+    assert "explode([0])" in plan_of(trajectories.interval_join(p, h, ["k"], "t", "lo", "hi"))
+    alike = spark.range(1, 91).select(F.col("id").alias("n"))
+    assert trajectories._levels(F.col("n"), alike)[1] == 1
+    finest, levels, _ = trajectories._levels(F.col("n"), alike.union(spark.sql("SELECT 1L << 40")))
+    assert finest <= 6 and 2**40 >> finest + levels - 1 <= 1 << 16
+    assert trajectories._levels(F.col("n"), alike.limit(0)) == (0, 1, 1)
+
+
+def test_interval_join_of_very_different_lengths(spark, monkeypatch):
+    """Several levels above a coarse finest one, in several tasks."""
+    monkeypatch.setattr(trajectories, "_MEAN_PIECES", 1)
+    monkeypatch.setattr(trajectories, "_MOST_PIECES", 3)
+    monkeypatch.setattr(trajectories, "_TASK_PIECES", 50)
+    rng = random.Random(4)
+    held = [(rng.choice("ab"), a := rng.randrange(-300, 300), a + rng.choice([5, 9, 14, 40, 700, -33]), i) for i in range(80)]
+    points = [(rng.choice("ab"), rng.randrange(-400, 1100), i) for i in range(400)]
+    p, h = spark.createDataFrame(points, "k string, t int, e int"), spark.createDataFrame(held, "k string, lo int, hi int, e int")
+    finest, levels, tasks = trajectories._levels(F.abs(F.col("hi") - F.col("lo")) + 1, h)
+    assert finest > 2 and levels > 2 and tasks > 1
+    expected = sorted((k, t, i, a, b, e) for k, t, i in points for q, a, b, e in held if k == q and min(a, b) <= t <= max(a, b))
+    assert sorted(map(tuple, trajectories.interval_join(p, h, ["k"], "t", "lo", "hi").collect())) == expected
+    left = trajectories.interval_join(p, h, ["k"], "t", "lo", "hi", "left")
+    assert left.columns == ["k", "t", "e", "lo", "hi", "e"]
+    assert sorted(tuple(r) for r in left.collect() if r[5] is not None) == expected
+
+
 def test_interval_join_is_exact_for_large_numbers(spark):
     far = 2**53
     p = spark.createDataFrame([("a", s * (far + k)) for s in (1, -1) for k in range(4)], "k string, t long")
